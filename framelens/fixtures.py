@@ -107,3 +107,41 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_m(10), F.lit(None).cast("string")).otherwise(F.lit(FIXTURE_DATE)).alias("published"),
         rest.alias("body_text"),
     )
+
+
+FIXTURE_FETCHED = "2025-12-01 08:00:00"
+REPEATS = 50
+
+
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw (unclassified) article rows with their doc_id as the write order."""
+    a = articles(spark, sf_dir)
+    return a.select(F.col("row_idx").alias("doc_id"), "source", "perspective", "original_language",
+                    "raw_title", "title", "full_text", "published_date", "link",
+                    F.lit(FIXTURE_FETCHED).alias("fetch_timestamp"))
+
+
+def land_raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write three landed CSV tables under a fresh folder of the shared
+    checkpoint dir and return that folder:
+
+    A: doc_id % 3 = 0, all columns; B: % 3 = 1, no full_text;
+    C: % 3 = 2 plus the first 50 A rows again (same title/source, new
+    full_text), columns in another order. Each is written in doc_id order.
+    """
+    from framelens.session import staging_path
+    from framelens.sources.landed import write_csv
+
+    root = staging_path(spark, "raw")
+    r = raw_articles(spark, sf_dir)
+    cols = [c for c in r.columns if c != "doc_id"]
+    a = r.where(F.col("doc_id") % 3 == 0)
+    b = r.where(F.col("doc_id") % 3 == 1)
+    c = r.where(F.col("doc_id") % 3 == 2)
+    rep = (a.where(F.col("doc_id") < 3 * REPEATS)
+           .withColumn("full_text", F.concat(F.lit("repeat "), F.col("doc_id").cast("string"))))
+    c = c.unionByName(rep)
+    write_csv(a.orderBy("doc_id").select(*cols), f"{root}/A")
+    write_csv(b.orderBy("doc_id").select(*[x for x in cols if x != "full_text"]), f"{root}/B")
+    write_csv(c.orderBy("doc_id").select(*reversed(cols)), f"{root}/C")
+    return root

@@ -35,3 +35,84 @@ def q_source_breakdown(spark, sf_dir):
     return rollups.source_breakdown(fx.articles(spark, sf_dir))
 def flagship(spark, sf_dir):
     return QUERIES["tactics_summary"](spark, sf_dir)
+
+
+# --- ingest -----------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from framelens.operators import ingest  # noqa: E402
+from framelens.operators.indexing import dense_index  # noqa: E402
+from framelens.schema import RAW_ARTICLE_COLUMNS  # noqa: E402
+from framelens.sources.landed import read_landed_csv  # noqa: E402
+
+
+def _raw_union(spark, sf_dir):
+    root = fx.land_raw_files(spark, sf_dir)
+    u = read_landed_csv(spark, root)
+    return dense_index(u, "_order", "pos").select("pos", *RAW_ARTICLE_COLUMNS)
+
+
+@query("raw_union")
+def q_raw_union(spark, sf_dir):
+    return _raw_union(spark, sf_dir)
+
+
+@query("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    return ingest.dedupe_first(_raw_union(spark, sf_dir), ["title", "source"], "pos")
+
+
+@query("clean_articles")
+def q_clean_articles(spark, sf_dir):
+    c = ingest.clean_articles(_raw_union(spark, sf_dir), "pos")
+    return c.select("row_idx", *RAW_ARTICLE_COLUMNS)
+
+
+@query("row_index")
+def q_row_index(spark, sf_dir):
+    a = ingest.full_text_fallback(ingest.drop_conflicted(fx.articles(spark, sf_dir)))
+    return dense_index(a.withColumnRenamed("row_idx", "src_idx"), "src_idx", "row_idx")
+
+
+def _classified(spark, sf_dir):
+    return ingest.load_classified(fx.articles(spark, sf_dir)).withColumnRenamed("_src_idx", "src_idx")
+
+
+@query("load_classified")
+def q_load_classified(spark, sf_dir):
+    return _classified(spark, sf_dir)
+
+
+@query("headlines_page")
+def q_headlines_page(spark, sf_dir):
+    return ingest.headlines_page(_classified(spark, sf_dir), 100)
+
+
+def _top_entries(spark, sf_dir):
+    return ingest.feed_topk(fx.feed_entries(spark, sf_dir))
+
+
+@query("feed_topk")
+def q_feed_topk(spark, sf_dir):
+    return _top_entries(spark, sf_dir).select("source", "pos", "title")
+
+
+@query("feed_enrich")
+def q_feed_enrich(spark, sf_dir):
+    e = ingest.feed_enrich(_top_entries(spark, sf_dir), fx.feeds(spark, sf_dir))
+    return e.select("source", "pos", "perspective", "original_language", "title")
+
+
+def _built(spark, sf_dir):
+    e = ingest.feed_enrich(_top_entries(spark, sf_dir), fx.feeds(spark, sf_dir))
+    return ingest.article_build(e)
+
+
+@query("article_build")
+def q_article_build(spark, sf_dir):
+    return _built(spark, sf_dir)
+
+
+@query("feed_counts")
+def q_feed_counts(spark, sf_dir):
+    return _built(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))

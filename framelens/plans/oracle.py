@@ -79,3 +79,115 @@ SELECT s.source, l.tactic_label, count(served.source) AS n
 FROM s CROSS JOIN l
 LEFT JOIN served ON served.source = s.source AND served.tactic_label = l.tactic_label
 GROUP BY 1, 2 ORDER BY 1, 2"""
+
+
+def na(expr: str) -> str:
+    from framelens.schema import PANDAS_NA_TOKENS
+    toks = ", ".join(_q(t) for t in PANDAS_NA_TOKENS)
+    return f"CASE WHEN {expr} IN ({toks}) THEN NULL ELSE {expr} END"
+
+
+_RAWC = ["source", "perspective", "original_language", "raw_title", "title", "full_text",
+         "published_date", "link", "fetch_timestamp"]
+
+
+def _sel(ft: str) -> str:
+    return ", ".join(ft if c == "full_text" else c for c in _RAWC)
+
+
+RAW_UNION = f"""
+raw AS (SELECT row_idx AS doc_id, source, perspective, original_language, raw_title, title, full_text,
+               published_date, link, '2025-12-01 08:00:00' AS fetch_timestamp FROM articles),
+landed AS (
+  SELECT 0 AS f, doc_id, {_sel('full_text')} FROM raw WHERE doc_id % 3 = 0
+  UNION ALL SELECT 1, doc_id, {_sel('NULL')} FROM raw WHERE doc_id % 3 = 1
+  UNION ALL SELECT 2, doc_id, {_sel('full_text')} FROM raw WHERE doc_id % 3 = 2
+  UNION ALL SELECT 2, doc_id, {_sel("'repeat ' || CAST(doc_id AS VARCHAR)")} FROM raw WHERE doc_id % 3 = 0 AND doc_id < 150
+),
+raw_union AS (
+  SELECT row_number() OVER (ORDER BY f, doc_id) - 1 AS pos, {", ".join(na(c) + " AS " + c for c in _RAWC)}
+  FROM landed
+),
+deduped AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY title, source ORDER BY pos) AS rn FROM raw_union) WHERE rn = 1
+),
+cleaned AS (
+  SELECT row_number() OVER (ORDER BY pos) - 1 AS row_idx, {_sel("coalesce(nullif(full_text, ''), title) AS full_text")}
+  FROM deduped WHERE NOT coalesce(regexp_matches(title, '<<<<<<|>>>>>>|======='), false)
+)"""
+
+SQL["raw_union"] = with_(ARTICLES, RAW_UNION) + "SELECT * FROM raw_union"
+SQL["dedupe_first"] = with_(ARTICLES, RAW_UNION) + "SELECT * FROM deduped"
+SQL["clean_articles"] = with_(ARTICLES, RAW_UNION) + "SELECT * FROM cleaned"
+
+SQL["row_index"] = with_(ARTICLES) + """
+SELECT row_idx AS src_idx, source, perspective, original_language, raw_title, title,
+  coalesce(nullif(full_text, ''), title) AS full_text, published_date, link, tactic_label,
+  row_number() OVER (ORDER BY row_idx) - 1 AS row_idx
+FROM articles WHERE NOT coalesce(regexp_matches(title, '<<<<<<|>>>>>>|======='), false)"""
+
+CLASSIFIED = """
+classified AS (
+  SELECT row_idx AS src_idx, source, perspective, original_language, raw_title, title, full_text,
+    published_date, link, tactic_label, row_number() OVER (ORDER BY row_idx) - 1 AS row_idx
+  FROM articles WHERE title IS NOT NULL AND tactic_label IS NOT NULL
+)"""
+
+SQL["load_classified"] = with_(ARTICLES, CLASSIFIED) + "SELECT * FROM classified"
+
+_CLS_COLS = ["src_idx", "source", "perspective", "original_language", "raw_title", "title", "full_text",
+             "published_date", "link", "tactic_label", "row_idx"]
+SQL["headlines_page"] = with_(ARTICLES, CLASSIFIED) + "SELECT " + ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), 'N/A') AS {c}" for c in _CLS_COLS) + \
+    " FROM (SELECT * FROM classified ORDER BY row_idx LIMIT 100)"
+
+ENTRIES = """
+entries AS (
+  SELECT source, doc_id AS pos,
+    CASE WHEN doc_id % 83 = 0 THEN '  '
+         WHEN doc_id % 13 = 0 THEN '　 ' || split_part(text, chr(10), 1) || chr(9) || chr(10)
+         ELSE split_part(text, chr(10), 1) END AS title,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE split_part(text, chr(10), 2) END AS summary,
+    CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 'No Link'
+         ELSE 'https://' || source || '/' || CAST(doc_id AS VARCHAR) END AS link,
+    CASE WHEN doc_id % 10 = 0 THEN NULL ELSE '""" + FIXTURE_DATE + """' END AS published,
+    substring(text, length(split_part(text, chr(10), 1)) + length(split_part(text, chr(10), 2)) + 3) AS body_text
+  FROM documents
+),
+top_entries AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS rn FROM entries) WHERE rn <= 40
+  AND coalesce(""" + strip("title") + """, '') <> ''
+),
+enriched AS (
+  SELECT t.*, f.perspective, f.lang AS original_language FROM top_entries t JOIN feeds f USING (source)
+)"""
+
+
+def _route(expr: str) -> str:
+    return (f"CASE WHEN original_language = 'en' OR ({expr}) IS NULL OR ({expr}) = '' THEN ({expr}) "
+            f"ELSE substring({expr}, 1, 800) END")
+
+
+_T = strip("coalesce(title, '')")
+_S = strip("coalesce(summary, '')")
+_B = (f"CASE WHEN link IS NOT NULL AND link <> '' AND link <> 'No Link' "
+      f"THEN substring({collapse('coalesce(body_text, ' + chr(39) + chr(39) + ')')}, 1, 1500) ELSE '' END")
+
+BUILT = f"""
+built AS (
+  SELECT source, perspective, original_language, pos, raw_title, title,
+    substring(concat_ws(' ', nullif(title, ''), nullif(s, ''), nullif(b, '')), 1, 2000) AS full_text,
+    published_date, link
+  FROM (SELECT source, perspective, original_language, pos, {_T} AS raw_title,
+          {_route(_T)} AS title, {_route(_S)} AS s, {_route(_B)} AS b,
+          coalesce(published, 'No Date') AS published_date, coalesce(link, '') AS link
+        FROM enriched)
+)"""
+
+SQL["feed_topk"] = with_(FEEDS, ENTRIES) + "SELECT source, pos, title FROM top_entries"
+SQL["feed_enrich"] = with_(FEEDS, ENTRIES) + \
+    "SELECT source, pos, perspective, original_language, title FROM enriched"
+SQL["article_build"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT * FROM built"
+SQL["feed_counts"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT source, count(*) AS n FROM built GROUP BY source"
