@@ -116,3 +116,81 @@ def q_article_build(spark, sf_dir):
 @query("feed_counts")
 def q_feed_counts(spark, sf_dir):
     return _built(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- similarity and clustering ------------------------------------------------
+from framelens.operators import components, similarity, tfidf  # noqa: E402
+from framelens.schema import DBSCAN_EPS, DBSCAN_MIN_SAMPLES  # noqa: E402
+
+DENSE_EPS = 0.60  # the given embeddings are near-orthogonal: 0 pairs at 0.40
+
+
+def _doc_vectors(spark, sf_dir):
+    return tfidf.tfidf(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _doc_edges(spark, sf_dir, vec=None):
+    vec = _doc_vectors(spark, sf_dir) if vec is None else vec
+    return similarity.sparse_similarity_join(vec, DBSCAN_EPS)
+
+
+@query("text_vectors")
+def q_text_vectors(spark, sf_dir):
+    return _doc_vectors(spark, sf_dir).select(
+        F.col("id").alias("doc_id"), "token", "tf", "df", F.round("w", 6).alias("w"))
+
+
+@query("similar_pairs")
+def q_similar_pairs(spark, sf_dir):
+    return _doc_edges(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
+def _event_labels(spark, sf_dir, min_samples=DBSCAN_MIN_SAMPLES):
+    docs = fx.table(spark, sf_dir, "documents")
+    edges = _doc_edges(spark, sf_dir).checkpoint()
+    return edges, components.dbscan(docs, edges, min_samples, id_col="doc_id")
+
+
+@query("event_labels")
+def q_event_labels(spark, sf_dir):
+    _, lab = _event_labels(spark, sf_dir)
+    return lab.withColumnRenamed("id", "doc_id")
+
+
+def cluster_stats(labels, edges):
+    """(n_edges, n_clusters, n_noise, largest_cluster) in one global aggregate."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("cnt")).select(
+        "label", "cnt", F.lit(0).alias("e"))
+    ones = edges.select(F.lit(None).cast("long").alias("label"), F.lit(0).cast("long").alias("cnt"),
+                        F.lit(1).alias("e"))
+    return sizes.unionByName(ones).agg(
+        F.sum("e").cast("long").alias("n_edges"),
+        F.count_if(F.col("label") >= 0).alias("n_clusters"),
+        F.coalesce(F.sum(F.when(F.col("label") == -1, F.col("cnt"))), F.lit(0)).cast("long").alias("n_noise"),
+        F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("cnt"))), F.lit(0)).cast("long")
+        .alias("largest_cluster"))
+
+
+@query("cluster_stats")
+def q_cluster_stats(spark, sf_dir):
+    edges, lab = _event_labels(spark, sf_dir)
+    return cluster_stats(lab, edges)
+
+
+@query("dbscan_general")
+def q_dbscan_general(spark, sf_dir):
+    _, lab = _event_labels(spark, sf_dir, min_samples=3)
+    return lab.withColumnRenamed("id", "doc_id")
+
+
+@query("similar_pairs_dense")
+def q_similar_pairs_dense(spark, sf_dir):
+    e = similarity.dense_similarity_join(fx.table(spark, sf_dir, "embeddings"), DENSE_EPS)
+    return e.select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
+@query("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    k = similarity.knn_blocked(fx.table(spark, sf_dir, "embeddings"), 10)
+    return k.select(F.col("id").alias("vec_id"), "nbr", F.col("rank").cast("long").alias("rank"),
+                    F.round("dist", 6).alias("dist"))

@@ -191,3 +191,66 @@ SQL["feed_enrich"] = with_(FEEDS, ENTRIES) + \
     "SELECT source, pos, perspective, original_language, title FROM enriched"
 SQL["article_build"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT * FROM built"
 SQL["feed_counts"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT source, count(*) AS n FROM built GROUP BY source"
+
+
+# --- similarity and clustering -------------------------------------------------
+TFIDF = """
+toks AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(substring(text, 1, 2000)), '[\\p{L}\\p{N}]+')) AS token
+         FROM documents),
+tf AS (SELECT id, token, count(*) AS tf FROM toks GROUP BY id, token),
+dfs AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+w0 AS (SELECT id, token, tf, df, tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) AS w0
+       FROM tf JOIN dfs USING (token)),
+nrm AS (SELECT id, sqrt(sum(w0 * w0)) AS nr FROM w0 GROUP BY id),
+vec AS (SELECT id, token, tf, df, w0 / nr AS w FROM w0 JOIN nrm USING (id) WHERE nr > 0),
+pairs AS (SELECT a.id AS src, b.id AS dst, sum(a.w * b.w) AS dot
+          FROM vec a JOIN vec b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2),
+edges AS (SELECT src, dst, dot, least(greatest(1 - dot, 0), 2) AS dist FROM pairs
+          WHERE least(greatest(1 - dot, 0), 2) <= 0.4)"""
+
+
+def dbscan_sql(min_samples: int, points: str = "SELECT doc_id AS id FROM documents") -> str:
+    """Independent DBSCAN: degree, core set, closure by recursive CTE, border."""
+    return f"""
+adj AS (SELECT src AS v, dst AS u FROM edges UNION SELECT dst AS v, src AS u FROM edges),
+deg AS (SELECT v, count(*) AS deg FROM adj GROUP BY v),
+core AS (SELECT v FROM deg WHERE deg + 1 >= {min_samples}),
+cadj AS (SELECT a.v, a.u FROM adj a JOIN core c1 ON c1.v = a.v JOIN core c2 ON c2.v = a.u),
+reach(v, c) AS (SELECT v, v FROM core UNION SELECT cadj.u, reach.c FROM reach JOIN cadj ON cadj.v = reach.v),
+comp AS (SELECT v, min(c) AS comp FROM reach GROUP BY v),
+clab AS (SELECT v, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM comp),
+blab AS (SELECT a.v, min(clab.label) AS label FROM adj a JOIN clab ON clab.v = a.u
+         WHERE a.v NOT IN (SELECT v FROM core) GROUP BY a.v),
+alllab AS (SELECT v, label FROM clab UNION ALL SELECT v, label FROM blab),
+labels AS (SELECT p.id, CAST(coalesce(l.label, -1) AS BIGINT) AS label FROM ({points}) p
+           LEFT JOIN alllab l ON l.v = p.id)"""
+
+
+SQL["text_vectors"] = with_(TFIDF) + "SELECT id AS doc_id, token, tf, df, round(w, 6) AS w FROM vec"
+SQL["similar_pairs"] = with_(TFIDF) + "SELECT src, dst, round(dist, 6) AS dist FROM edges"
+SQL["event_labels"] = "WITH RECURSIVE " + TFIDF + "," + dbscan_sql(2) + \
+    "\nSELECT id AS doc_id, label FROM labels"
+SQL["dbscan_general"] = "WITH RECURSIVE " + TFIDF + "," + dbscan_sql(3) + \
+    "\nSELECT id AS doc_id, label FROM labels"
+SQL["cluster_stats"] = "WITH RECURSIVE " + TFIDF + "," + dbscan_sql(2) + """
+, sizes AS (SELECT label, count(*) AS cnt FROM labels GROUP BY label)
+SELECT (SELECT count(*) FROM edges) AS n_edges,
+  (SELECT count(*) FROM sizes WHERE label >= 0) AS n_clusters,
+  (SELECT coalesce(sum(cnt), 0) FROM sizes WHERE label = -1) AS n_noise,
+  (SELECT coalesce(max(cnt), 0) FROM sizes WHERE label >= 0) AS largest_cluster"""
+
+DENSE = """
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dpairs AS (SELECT a.vec_id AS src, b.vec_id AS dst,
+             list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS cos
+           FROM emb a JOIN emb b ON a.vec_id < b.vec_id)"""
+
+SQL["similar_pairs_dense"] = with_(DENSE) + """
+SELECT src, dst, round(least(greatest(1 - cos, 0), 2), 6) AS dist FROM dpairs
+WHERE least(greatest(1 - cos, 0), 2) <= 0.6"""
+
+SQL["knn_graph"] = with_(DENSE) + """
+, d AS (SELECT a.vec_id, b.vec_id AS nbr, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE list_distance(a.v, b.v) END AS dist
+        FROM emb a JOIN emb b ON true)
+SELECT vec_id, nbr, rank, round(dist, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS rank FROM d) WHERE rank <= 10"""
