@@ -33,8 +33,6 @@ def q_tactics_summary(spark, sf_dir):
 @query("source_breakdown")
 def q_source_breakdown(spark, sf_dir):
     return rollups.source_breakdown(fx.articles(spark, sf_dir))
-def flagship(spark, sf_dir):
-    return QUERIES["tactics_summary"](spark, sf_dir)
 
 
 # --- ingest -----------------------------------------------------------------
@@ -194,3 +192,93 @@ def q_knn_graph(spark, sf_dir):
     k = similarity.knn_blocked(fx.table(spark, sf_dir, "embeddings"), 10)
     return k.select(F.col("id").alias("vec_id"), "nbr", F.col("rank").cast("long").alias("rank"),
                     F.round("dist", 6).alias("dist"))
+
+
+# --- narrative core -----------------------------------------------------------
+from framelens.operators import narrative  # noqa: E402
+
+
+def narrative_rows(spark, classified):
+    """Cluster the classified rows (text = full_text else title) and attach
+    event keys. Labels are checkpointed: they feed several aggregates."""
+    docs = classified.select(F.col("row_idx").alias("id"),
+                             F.coalesce(F.col("full_text"), F.col("title")).alias("text"))
+    vec = tfidf.tfidf(docs, "id", "text")
+    edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
+    labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
+    return narrative.event_rows(classified, labels)
+
+
+def _rows(spark, sf_dir):
+    return narrative_rows(spark, _classified(spark, sf_dir))
+
+
+def _flat(deltas):
+    return deltas.select(
+        "event_id", "is_event_cluster", "headline_count", "representative_title",
+        F.array_join("sources", "|").alias("sources"), F.array_join("perspectives", "|").alias("perspectives"),
+        "dominant_tactic", "agreement_score", "delta_score", "severity_score",
+        F.array_join("unique_tactics", "|").alias("unique_tactics"))
+
+
+@query("narrative_delta")
+def q_narrative_delta(spark, sf_dir):
+    d = narrative.narrative_delta(_rows(spark, sf_dir))
+    return d.select("event_id", "dominant_tactic", "agreement_score", "delta_score", "severity_score",
+                    F.array_join("unique_tactics", "|").alias("unique_tactics"))
+
+
+@query("event_severity")
+def q_event_severity(spark, sf_dir):
+    d = narrative.narrative_delta(_rows(spark, sf_dir))
+    return d.select("event_id", "headline_count", "severity_score", "n_unknown")
+
+
+@query("framing_map")
+def q_framing_map(spark, sf_dir):
+    f = narrative.framing_map(_rows(spark, sf_dir))
+    return f.select("event_id", "perspective", F.array_join("tactics", "|").alias("tactics"))
+
+
+@query("events")
+def q_events(spark, sf_dir):
+    return _flat(narrative.narrative_delta(_rows(spark, sf_dir)))
+
+
+@query("events_ranked")
+def q_events_ranked(spark, sf_dir):
+    r = narrative.events_ranked(narrative.narrative_delta(_rows(spark, sf_dir)))
+    return r.select("rank", "event_id", "delta_score")
+
+
+@query("report_meta")
+def q_report_meta(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return narrative.report_meta(rows, narrative.narrative_delta(rows))
+
+
+@query("contested_top")
+def q_contested_top(spark, sf_dir):
+    return narrative.contested_top(narrative.narrative_delta(_rows(spark, sf_dir)))
+
+
+@query("tactic_distribution")
+def q_tactic_distribution(spark, sf_dir):
+    return rollups.histogram(_classified(spark, sf_dir), "tactic_label")
+
+
+@query("source_distribution")
+def q_source_distribution(spark, sf_dir):
+    return rollups.histogram(_classified(spark, sf_dir), "source")
+
+
+@query("event_headlines")
+def q_event_headlines(spark, sf_dir):
+    return narrative.event_headlines(_rows(spark, sf_dir)).drop("x", "y", "z")
+
+
+def flagship(spark, sf_dir):
+    """The full run: classified rows -> TF-IDF -> exact similarity join ->
+    DBSCAN -> narrative deltas -> events in report order."""
+    r = narrative.events_ranked(narrative.narrative_delta(_rows(spark, sf_dir)))
+    return _flat(r).join(r.select("event_id", "rank"), "event_id").orderBy("rank")

@@ -194,22 +194,29 @@ SQL["feed_counts"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT source, count(*) AS
 
 
 # --- similarity and clustering -------------------------------------------------
-TFIDF = """
-toks AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(substring(text, 1, 2000)), '[\\p{L}\\p{N}]+')) AS token
-         FROM documents),
+def tfidf_sql(docs: str = "docs", eps: float = 0.4) -> str:
+    """TF-IDF vectors and eps-edges over a (id, text) relation, brute force."""
+    return f"""
+toks AS (SELECT id, unnest(regexp_extract_all(lower(substring(text, 1, 2000)), '[\\p{{L}}\\p{{N}}]+')) AS token
+         FROM {docs}),
 tf AS (SELECT id, token, count(*) AS tf FROM toks GROUP BY id, token),
 dfs AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-w0 AS (SELECT id, token, tf, df, tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) AS w0
+w0 AS (SELECT id, token, tf, df, tf * ln(((SELECT count(*) FROM {docs}) + 1.0) / (df + 1.0)) AS w0
        FROM tf JOIN dfs USING (token)),
 nrm AS (SELECT id, sqrt(sum(w0 * w0)) AS nr FROM w0 GROUP BY id),
 vec AS (SELECT id, token, tf, df, w0 / nr AS w FROM w0 JOIN nrm USING (id) WHERE nr > 0),
 pairs AS (SELECT a.id AS src, b.id AS dst, sum(a.w * b.w) AS dot
           FROM vec a JOIN vec b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2),
 edges AS (SELECT src, dst, dot, least(greatest(1 - dot, 0), 2) AS dist FROM pairs
-          WHERE least(greatest(1 - dot, 0), 2) <= 0.4)"""
+          WHERE least(greatest(1 - dot, 0), 2) <= {eps})"""
+
+
+DOCS = """
+docs AS (SELECT doc_id AS id, text FROM documents)"""
+TFIDF = DOCS + "," + tfidf_sql("docs")
 
 
-def dbscan_sql(min_samples: int, points: str = "SELECT doc_id AS id FROM documents") -> str:
+def dbscan_sql(min_samples: int, points: str = "SELECT id FROM docs") -> str:
     """Independent DBSCAN: degree, core set, closure by recursive CTE, border."""
     return f"""
 adj AS (SELECT src AS v, dst AS u FROM edges UNION SELECT dst AS v, src AS u FROM edges),
@@ -254,3 +261,61 @@ SQL["knn_graph"] = with_(DENSE) + """
         FROM emb a JOIN emb b ON true)
 SELECT vec_id, nbr, rank, round(dist, 6) AS dist FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS rank FROM d) WHERE rank <= 10"""
+
+
+# --- narrative core -------------------------------------------------------------
+NARR = ("WITH RECURSIVE " + ARTICLES + "," + CLASSIFIED + """,
+docs AS (SELECT row_idx AS id, coalesce(full_text, title) AS text FROM classified),""" + tfidf_sql("docs") + ","
+        + dbscan_sql(2) + "," + SEVERITY + """,
+erows AS (
+  SELECT CASE WHEN l.label >= 0 THEN 'evt_' || CAST(l.label AS VARCHAR)
+              ELSE 'standalone_' || CAST(c.row_idx AS VARCHAR) END AS event_id,
+    l.label >= 0 AS is_event_cluster, l.label, c.row_idx, c.title, c.source,
+    coalesce(c.perspective, 'Unknown') AS perspective, c.tactic_label,
+    coalesce(s.severity_h, 0) AS severity_h, s.severity_h IS NULL AS unknown_label
+  FROM classified c JOIN labels l ON l.id = c.row_idx LEFT JOIN severity s ON s.tactic_label = c.tactic_label
+),
+pt AS (SELECT event_id, tactic_label, count(*) AS c, min(row_idx) AS first FROM erows GROUP BY 1, 2),
+dom AS (SELECT event_id, tactic_label AS dominant_tactic, c AS dominant_count FROM (
+          SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY c DESC, first) AS rn FROM pt) WHERE rn = 1),
+ut AS (SELECT event_id, string_agg(tactic_label, '|' ORDER BY tactic_label) AS unique_tactics FROM pt GROUP BY 1),
+ev AS (SELECT event_id, bool_or(is_event_cluster) AS is_event_cluster, max(label) AS label,
+         min(row_idx) AS first_row, count(*) AS headline_count, arg_min(title, row_idx) AS representative_title,
+         string_agg(DISTINCT source, '|' ORDER BY source) AS sources,
+         string_agg(DISTINCT perspective, '|' ORDER BY perspective) AS perspectives,
+         sum(severity_h) AS sum_h, count(*) FILTER (WHERE unknown_label) AS n_unknown
+       FROM erows GROUP BY 1),
+d0 AS (SELECT ev.*, dom.dominant_tactic, dom.dominant_count, ut.unique_tactics,
+         (2000 * dom.dominant_count + ev.headline_count) // (2 * ev.headline_count) AS agreement_milli,
+         (20 * ev.sum_h + ev.headline_count) // (2 * ev.headline_count) AS severity_milli
+       FROM ev JOIN dom USING (event_id) JOIN ut USING (event_id)),
+deltas AS (SELECT *, 1000 - agreement_milli AS delta_milli,
+             CAST(agreement_milli AS DOUBLE) / 1000 AS agreement_score,
+             CAST(1000 - agreement_milli AS DOUBLE) / 1000 AS delta_score,
+             CAST(severity_milli AS DOUBLE) / 1000 AS severity_score FROM d0)
+""")
+
+SQL["narrative_delta"] = NARR + """SELECT event_id, dominant_tactic, agreement_score, delta_score, severity_score,
+  unique_tactics FROM deltas"""
+SQL["event_severity"] = NARR + "SELECT event_id, headline_count, severity_score, n_unknown FROM deltas"
+SQL["framing_map"] = NARR + """SELECT event_id, perspective, string_agg(DISTINCT tactic_label, '|' ORDER BY tactic_label) AS tactics
+FROM erows GROUP BY 1, 2"""
+SQL["events"] = NARR + """SELECT event_id, is_event_cluster, headline_count, representative_title, sources, perspectives,
+  dominant_tactic, agreement_score, delta_score, severity_score, unique_tactics FROM deltas"""
+SQL["events_ranked"] = NARR + """SELECT row_number() OVER (ORDER BY delta_milli DESC, is_event_cluster,
+  CASE WHEN is_event_cluster THEN label ELSE first_row END) - 1 AS rank, event_id, delta_score FROM deltas"""
+SQL["report_meta"] = NARR + """SELECT
+  (SELECT count(*) FROM erows) AS total_headlines,
+  (SELECT count(DISTINCT source) FROM erows) AS total_sources,
+  (SELECT count(DISTINCT tactic_label) FROM erows) AS total_tactics,
+  (SELECT count(*) FROM deltas WHERE is_event_cluster) AS total_event_clusters,
+  (SELECT count(*) FROM deltas WHERE is_event_cluster AND delta_milli >= 500) AS contested_events,
+  (SELECT CAST((20 * sum(severity_h) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000 FROM erows) AS avg_severity"""
+SQL["contested_top"] = NARR + """SELECT event_id, delta_score, substring(representative_title, 1, 65) AS title_preview,
+  replace(unique_tactics, '|', ', ') AS tactics_seen
+FROM deltas WHERE is_event_cluster ORDER BY delta_milli DESC, label LIMIT 5"""
+SQL["tactic_distribution"] = with_(ARTICLES, CLASSIFIED) + \
+    "SELECT tactic_label, count(*) AS n FROM classified GROUP BY 1 ORDER BY n DESC, tactic_label"
+SQL["source_distribution"] = with_(ARTICLES, CLASSIFIED) + \
+    "SELECT source, count(*) AS n FROM classified GROUP BY 1 ORDER BY n DESC, source"
+SQL["event_headlines"] = NARR + "SELECT event_id, row_idx, title, source, perspective, tactic_label FROM erows"
