@@ -145,3 +145,59 @@ def land_raw_files(spark: SparkSession, sf_dir: str) -> str:
     write_csv(b.orderBy("doc_id").select(*[x for x in cols if x != "full_text"]), f"{root}/B")
     write_csv(c.orderBy("doc_id").select(*reversed(cols)), f"{root}/C")
     return root
+
+
+OUT_OF_RANGE_ID = 99_999_999
+QUOTA_FROM_BATCH = 150
+
+
+def llm_answers(spark: SparkSession, sf_dir: str, with_quota: bool = False) -> DataFrame:
+    """One model answer text per batch of five article rows, with its status.
+
+    Items: {"id": r, "tactic_label": <fixture label or null>,
+    "specific_technique": "tech <r%7>", "confidence": 0.<(r*37)%100>,
+    "reasoning": "row <r>"}. The answer shape is chosen by batch_index % 11:
+    0 fenced with a language tag, 1 fenced without, 2 object not array,
+    3 truncated, 4 empty, 5 only ids (missing keys), 6 explicit null labels,
+    7 duplicate id (last says Disinformation), 8 extra out-of-range and
+    negative ids, 9 confidence as text, 10 plain. Status FAILED for 3 and 4;
+    with ``with_quota`` QUOTA_EXHAUSTED from batch 150 on.
+    """
+    a = articles(spark, sf_dir)
+    r = F.col("row_idx")
+    b = F.floor(r / 5).cast("long")
+    shape = (b % 11).cast("int")
+    conf = F.concat(F.lit("0."), F.lpad(((r * 37) % 100).cast("string"), 2, "0"))
+    label = F.when(F.col("tactic_label").isNull() | (shape == 6), F.lit("null")) \
+        .otherwise(F.concat(F.lit('"'), F.col("tactic_label"), F.lit('"')))
+    rid = r.cast("string")
+    full = F.concat(F.lit('{"id": '), rid, F.lit(', "tactic_label": '), label,
+                    F.lit(', "specific_technique": "tech '), (r % 7).cast("string"),
+                    F.lit('", "confidence": '),
+                    F.when(shape == 9, F.concat(F.lit('"'), conf, F.lit('"'))).otherwise(conf),
+                    F.lit(', "reasoning": "row '), rid, F.lit('"}'))
+    item = F.when(shape == 5, F.concat(F.lit('{"id": '), rid, F.lit("}"))).otherwise(full)
+    per = a.select(b.alias("batch_index"), r.alias("r"), item.alias("item"))
+    g = per.groupBy("batch_index").agg(
+        F.array_sort(F.collect_list(F.struct("r", "item"))).alias("xs"))
+    body = F.array_join(F.transform("xs", lambda x: x["item"]), ", ")
+    first_id = F.col("xs")[0]["r"].cast("string")
+    shp = (F.col("batch_index") % 11).cast("int")
+    extra = (F.when(shp == 7, F.concat(F.lit(', {"id": '), first_id,
+                                       F.lit(', "tactic_label": "Disinformation", "specific_technique": "dup", '
+                                             '"confidence": 0.99, "reasoning": "second answer"}')))
+             .when(shp == 8, F.lit(', {"id": ' + str(OUT_OF_RANGE_ID) + ', "tactic_label": "Disinformation"}, '
+                                   '{"id": -1, "tactic_label": "Disinformation"}'))
+             .otherwise(F.lit("")))
+    arr = F.concat(F.lit("["), body, extra, F.lit("]"))
+    answer = (F.when(shp == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+              .when(shp == 1, F.concat(F.lit("```\n"), arr, F.lit("\n```")))
+              .when(shp == 2, F.element_at(F.transform("xs", lambda x: x["item"]), 1))
+              .when(shp == 3, F.substring(arr, 1, F.floor(F.length(arr) / 2).cast("int")))
+              .when(shp == 4, F.lit(""))
+              .otherwise(arr))
+    status = F.when(shp.isin(3, 4), F.lit("FAILED")).otherwise(F.lit("SUCCESS"))
+    if with_quota:
+        status = F.when(F.col("batch_index") >= QUOTA_FROM_BATCH, F.lit("QUOTA_EXHAUSTED")).otherwise(status)
+    return g.select("batch_index", status.alias("status"),
+                    F.when(status == "SUCCESS", answer).alias("answer"))

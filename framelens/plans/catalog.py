@@ -282,3 +282,66 @@ def flagship(spark, sf_dir):
     DBSCAN -> narrative deltas -> events in report order."""
     r = narrative.events_ranked(narrative.narrative_delta(_rows(spark, sf_dir)))
     return _flat(r).join(r.select("event_id", "rank"), "event_id").orderBy("rank")
+
+
+# --- inference ------------------------------------------------------------------
+from framelens.operators import inference  # noqa: E402
+
+
+def _parsed(spark, sf_dir, with_quota=False):
+    arts = fx.articles(spark, sf_dir)
+    n = arts.count()
+    ans = fx.llm_answers(spark, sf_dir, with_quota)
+    if with_quota:
+        ans = inference.quota_cut(ans)
+    return arts, inference.parse_answers(ans, n)
+
+
+@query("llm_parse")
+def q_llm_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir)[1]
+
+
+def _classified_out(rows):
+    return rows.select("row_idx", "source", "title", "tactic_label", "specific_technique",
+                       "tactic_confidence", "llm_reasoning")
+
+
+@query("classified")
+def q_classified(spark, sf_dir):
+    arts, parsed = _parsed(spark, sf_dir)
+    return _classified_out(inference.merge_answers(arts.select("row_idx", "source", "title"), parsed))
+
+
+@query("quota_cut")
+def q_quota_cut(spark, sf_dir):
+    arts, parsed = _parsed(spark, sf_dir, with_quota=True)
+    return _classified_out(inference.merge_answers(arts.select("row_idx", "source", "title"), parsed))
+
+
+def _clean_rows(spark, sf_dir):
+    a = ingest.full_text_fallback(ingest.drop_conflicted(fx.articles(spark, sf_dir)))
+    return dense_index(a.withColumnRenamed("row_idx", "src_idx"), "src_idx", "row_idx")
+
+
+@query("classify_batches")
+def q_classify_batches(spark, sf_dir):
+    b = inference.batch_items(_clean_rows(spark, sf_dir), n_keys=2)
+    return b.drop("payload")
+
+
+@query("lexicon_tactics")
+def q_lexicon_tactics(spark, sf_dir):
+    rows = _clean_rows(spark, sf_dir).select(
+        "row_idx", F.coalesce(F.col("full_text"), F.lit("nan")).alias("text"))
+    return inference.lexicon_tactics(spark, rows)
+
+
+@query("classify_run")
+def q_classify_run(spark, sf_dir):
+    rows = _clean_rows(spark, sf_dir)
+    n = rows.count()
+    runs = inference.run_batches(inference.batch_items(rows), inference.lexicon_model)
+    parsed = inference.parse_answers(inference.quota_cut(runs), n)
+    out = inference.merge_answers(rows, parsed)
+    return out.select("row_idx", "tactic_label", "specific_technique", "tactic_confidence")

@@ -319,3 +319,116 @@ SQL["tactic_distribution"] = with_(ARTICLES, CLASSIFIED) + \
 SQL["source_distribution"] = with_(ARTICLES, CLASSIFIED) + \
     "SELECT source, count(*) AS n FROM classified GROUP BY 1 ORDER BY n DESC, source"
 SQL["event_headlines"] = NARR + "SELECT event_id, row_idx, title, source, perspective, tactic_label FROM erows"
+
+
+# --- inference -------------------------------------------------------------------
+def answers_sql(with_quota: bool) -> str:
+    status = "CASE WHEN batch_index % 11 IN (3, 4) THEN 'FAILED' ELSE 'SUCCESS' END"
+    if with_quota:
+        status = f"CASE WHEN batch_index >= 150 THEN 'QUOTA_EXHAUSTED' ELSE {status} END"
+    return f"""
+ai AS (SELECT row_idx AS r, row_idx // 5 AS batch_index, (row_idx // 5) % 11 AS shp,
+         '0.' || lpad(CAST((row_idx * 37) % 100 AS VARCHAR), 2, '0') AS conf, tactic_label FROM articles),
+aitem AS (SELECT batch_index, r,
+  CASE WHEN shp = 5 THEN '{{"id": ' || CAST(r AS VARCHAR) || '}}'
+  ELSE '{{"id": ' || CAST(r AS VARCHAR) || ', "tactic_label": '
+    || CASE WHEN tactic_label IS NULL OR shp = 6 THEN 'null' ELSE '"' || tactic_label || '"' END
+    || ', "specific_technique": "tech ' || CAST(r % 7 AS VARCHAR) || '", "confidence": '
+    || CASE WHEN shp = 9 THEN '"' || conf || '"' ELSE conf END
+    || ', "reasoning": "row ' || CAST(r AS VARCHAR) || '"}}' END AS item
+  FROM ai),
+ag AS (SELECT batch_index, batch_index % 11 AS shp, string_agg(item, ', ' ORDER BY r) AS body,
+         min(r) AS first_id, arg_min(item, r) AS first_item FROM aitem GROUP BY 1),
+aa AS (SELECT *, '[' || body || CASE
+    WHEN shp = 7 THEN ', {{"id": ' || CAST(first_id AS VARCHAR) || ', "tactic_label": "Disinformation", "specific_technique": "dup", "confidence": 0.99, "reasoning": "second answer"}}'
+    WHEN shp = 8 THEN ', {{"id": 99999999, "tactic_label": "Disinformation"}}, {{"id": -1, "tactic_label": "Disinformation"}}'
+    ELSE '' END || ']' AS arr FROM ag),
+answers AS (SELECT batch_index, {status} AS status,
+  CASE WHEN {status} <> 'SUCCESS' THEN NULL
+       WHEN shp = 0 THEN '```json' || chr(10) || arr || chr(10) || '```'
+       WHEN shp = 1 THEN '```' || chr(10) || arr || chr(10) || '```'
+       WHEN shp = 2 THEN first_item
+       ELSE arr END AS answer FROM aa)"""
+
+
+def parse_sql(with_quota: bool) -> str:
+    cut = ("WHERE batch_index < coalesce((SELECT min(batch_index) FROM answers WHERE status = 'QUOTA_EXHAUSTED'), 1 << 62)"
+           if with_quota else "")
+    s0 = strip("answer")
+    fenced = strip(f"regexp_replace(regexp_replace({s0}, '^`+|`+$', '', 'g'), 'json', '')")
+
+    def txt(k, d):
+        return (f"CASE WHEN json_type(item, '$.{k}') IS NULL THEN {d} WHEN json_type(item, '$.{k}') = 'NULL' "
+                f"THEN NULL ELSE json_extract_string(item, '$.{k}') END")
+    return f"""
+kept AS (SELECT * FROM answers {cut}),
+cleaned AS (SELECT batch_index, CASE WHEN starts_with({s0}, '```') THEN {fenced} ELSE {s0} END AS c
+            FROM kept WHERE status = 'SUCCESS'),
+arrs AS (SELECT batch_index, c FROM cleaned WHERE json_valid(c) AND json_type(c) = 'ARRAY'),
+items AS (SELECT batch_index, pos, json_extract(c, '$[' || CAST(pos AS VARCHAR) || ']') AS item
+          FROM (SELECT batch_index, c, unnest(range(CAST(json_array_length(c) AS BIGINT))) AS pos FROM arrs)),
+fields AS (SELECT batch_index, CAST(pos AS BIGINT) AS pos, item,
+   json_type(item, '$.id') IN ('BIGINT', 'UBIGINT') AS id_ok,
+   CASE WHEN json_type(item, '$.id') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(item, '$.id') AS BIGINT) END AS id,
+   {txt('tactic_label', "'Neutral Reporting'")} AS tactic_label,
+   {txt('specific_technique', "'None'")} AS specific_technique,
+   CASE WHEN json_type(item, '$.confidence') IS NULL THEN 0.0
+        ELSE TRY_CAST(json_extract_string(item, '$.confidence') AS DOUBLE) END AS confidence,
+   {txt('reasoning', "''")} AS reasoning
+   FROM items),
+parsed AS (SELECT batch_index, pos, id, tactic_label, specific_technique, confidence, reasoning,
+   CASE WHEN json_type(item) <> 'OBJECT' THEN 'item_not_object'
+        WHEN json_type(item, '$.id') IS NULL OR json_type(item, '$.id') = 'NULL' THEN 'no_id'
+        WHEN NOT id_ok THEN 'id_not_integer'
+        WHEN id < 0 OR id >= (SELECT count(*) FROM articles) THEN 'id_out_of_range'
+        WHEN confidence IS NULL THEN 'bad_confidence' END AS quarantine
+   FROM fields),
+lastans AS (SELECT * EXCLUDE (rn) FROM (
+   SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_index DESC, pos DESC) AS rn
+   FROM parsed WHERE quarantine IS NULL) WHERE rn = 1),
+classified_ans AS (SELECT a.row_idx, a.source, a.title, l.tactic_label, l.specific_technique,
+   l.confidence AS tactic_confidence, l.reasoning AS llm_reasoning
+   FROM articles a JOIN lastans l ON l.id = a.row_idx WHERE l.tactic_label IS NOT NULL)"""
+
+
+SQL["llm_parse"] = with_(ARTICLES, answers_sql(False), parse_sql(False)) + "SELECT * FROM parsed"
+SQL["classified"] = with_(ARTICLES, answers_sql(False), parse_sql(False)) + "SELECT * FROM classified_ans"
+SQL["quota_cut"] = with_(ARTICLES, answers_sql(True), parse_sql(True)) + "SELECT * FROM classified_ans"
+
+CLEAN_ROWS = """
+clean_rows AS (
+  SELECT row_idx AS src_idx, source, title, coalesce(nullif(full_text, ''), title) AS full_text,
+    row_number() OVER (ORDER BY row_idx) - 1 AS row_idx
+  FROM articles WHERE NOT coalesce(regexp_matches(title, '<<<<<<|>>>>>>|======='), false)
+)"""
+
+SQL["classify_batches"] = with_(ARTICLES, CLEAN_ROWS) + """
+SELECT row_idx // 5 AS batch_index, (row_idx // 5) % 2 AS key_route, count(*) AS n_items,
+  min(row_idx) AS first_id, max(row_idx) AS last_id,
+  sum(length(substring(coalesce(full_text, 'nan'), 1, 1500))) AS text_chars
+FROM clean_rows GROUP BY 1"""
+
+
+def _lexicon_values() -> str:
+    from framelens.operators.inference import LABEL_ORDER, LEXICON
+    return ", ".join(f"({_q(t)}, {_q(lab)}, {w}, {LABEL_ORDER[lab]})" for t, lab, w in LEXICON)
+
+
+LEXICON_SQL = f"""
+lexicon(token, tactic_label, weight, label_idx) AS (VALUES {_lexicon_values()}),
+ltoks AS (SELECT row_idx, unnest(regexp_extract_all(lower(substring(coalesce(full_text, 'nan'), 1, 1500)),
+           '[\\p{{L}}\\p{{N}}]+')) AS token FROM clean_rows),
+lper AS (SELECT row_idx, l.tactic_label, l.label_idx, sum(weight) AS score
+         FROM ltoks JOIN lexicon l USING (token) GROUP BY 1, 2, 3),
+lbest AS (SELECT row_idx, tactic_label, score, total FROM (
+   SELECT *, sum(score) OVER (PARTITION BY row_idx) AS total,
+     row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, label_idx) AS rn FROM lper) WHERE rn = 1),
+lex AS (SELECT c.row_idx, coalesce(b.tactic_label, 'Neutral Reporting') AS tactic_label,
+   CAST(coalesce(b.score, 0) AS BIGINT) AS score,
+   CASE WHEN b.total > 0 THEN CAST((2000 * b.score + b.total) // (2 * b.total) AS DOUBLE) / 1000 ELSE 0.0 END
+     AS confidence
+   FROM clean_rows c LEFT JOIN lbest b USING (row_idx))"""
+
+SQL["lexicon_tactics"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + "SELECT * FROM lex"
+SQL["classify_run"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + """
+SELECT row_idx, tactic_label, 'lexicon match' AS specific_technique, confidence AS tactic_confidence FROM lex"""
