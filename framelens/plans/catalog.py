@@ -345,3 +345,49 @@ def q_classify_run(spark, sf_dir):
     parsed = inference.parse_answers(inference.quota_cut(runs), n)
     out = inference.merge_answers(rows, parsed)
     return out.select("row_idx", "tactic_label", "specific_technique", "tactic_confidence")
+
+
+# --- pages, feeds, translation -------------------------------------------------
+from framelens.functions.text import py_strip  # noqa: E402
+from framelens.sources import feeds as feedsrc  # noqa: E402
+from framelens.sources import pages as pagesrc  # noqa: E402
+
+
+@query("page_bodies")
+def q_page_bodies(spark, sf_dir):
+    pg = fx.table(spark, sf_dir, "pages")
+    return pagesrc.page_bodies(pg).select("page_id", "url", "body")
+
+
+def _feed_docs(spark, sf_dir):
+    """Landed RSS documents built from the feed entries, plus one malformed
+    document per run (a truncated copy of the first page of src0)."""
+    docs = feedsrc.feed_documents(fx.feed_entries(spark, sf_dir))
+    bad = docs.where((F.col("source") == "src0") & (F.col("page") == 0)).select(
+        F.lit("src0-broken").alias("source"), "page",
+        F.substring("xml", 1, F.floor(F.length("xml") / 2).cast("int")).alias("xml"))
+    return docs.unionByName(bad)
+
+
+@query("feed_entries")
+def q_feed_entries(spark, sf_dir):
+    e = feedsrc.parse_feeds(_feed_docs(spark, sf_dir))
+    return e.select("source", "page", "item", py_strip("title").alias("title"),
+                    py_strip(F.coalesce("summary", F.lit(""))).alias("summary"),
+                    F.coalesce("link", F.lit("")).alias("link"), "published")
+
+
+@query("translate_route")
+def q_translate_route(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    t = ingest.translate_route(F.col("text"), F.col("lang"))
+    return d.select("doc_id", "lang", F.length(t).alias("n_chars"), F.md5(t).alias("md5"))
+
+
+@query("translate_preview")
+def q_translate_preview(spark, sf_dir):
+    b = _built(spark, sf_dir).where(F.col("original_language") != "en")
+    top = b.orderBy("source", "pos").limit(3)
+    return top.select("source", F.substring("raw_title", 1, 80).alias("original"),
+                      F.substring("title", 1, 80).alias("translated"),
+                      F.substring("full_text", 1, 150).alias("full_text"))

@@ -352,7 +352,7 @@ answers AS (SELECT batch_index, {status} AS status,
 
 
 def parse_sql(with_quota: bool) -> str:
-    cut = ("WHERE batch_index < coalesce((SELECT min(batch_index) FROM answers WHERE status = 'QUOTA_EXHAUSTED'), 1 << 62)"
+    cut = ("WHERE batch_index < coalesce((SELECT min(batch_index) FROM answers WHERE status = 'QUOTA_EXHAUSTED'), 9223372036854775807)"
            if with_quota else "")
     s0 = strip("answer")
     fenced = strip(f"regexp_replace(regexp_replace({s0}, '^`+|`+$', '', 'g'), 'json', '')")
@@ -432,3 +432,20 @@ lex AS (SELECT c.row_idx, coalesce(b.tactic_label, 'Neutral Reporting') AS tacti
 SQL["lexicon_tactics"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + "SELECT * FROM lex"
 SQL["classify_run"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + """
 SELECT row_idx, tactic_label, 'lexicon match' AS specific_technique, confidence AS tactic_confidence FROM lex"""
+
+
+# --- feeds, translation ---------------------------------------------------------
+SQL["feed_entries"] = with_(ENTRIES) + f"""
+SELECT source, pos // 50 AS page, row_number() OVER (PARTITION BY source, pos // 50 ORDER BY pos) - 1 AS item,
+  {strip('title')} AS title, {strip("coalesce(summary, '')")} AS summary,
+  coalesce(link, '') AS link, published FROM entries"""
+
+SQL["translate_route"] = """
+SELECT doc_id, lang, length(t) AS n_chars, md5(t) AS md5 FROM (
+  SELECT doc_id, lang, CASE WHEN lang = 'en' OR text IS NULL OR text = '' THEN text
+                            ELSE substring(text, 1, 800) END AS t FROM documents)"""
+
+SQL["translate_preview"] = with_(FEEDS, ENTRIES, BUILT) + """
+SELECT source, substring(raw_title, 1, 80) AS original, substring(title, 1, 80) AS translated,
+  substring(full_text, 1, 150) AS full_text
+FROM built WHERE original_language <> 'en' ORDER BY source, pos LIMIT 3"""
