@@ -391,3 +391,105 @@ def q_translate_preview(spark, sf_dir):
     return top.select("source", F.substring("raw_title", 1, 80).alias("original"),
                       F.substring("title", 1, 80).alias("translated"),
                       F.substring("full_text", 1, 150).alias("full_text"))
+
+
+# --- map, phrases, report, streams ----------------------------------------------
+from framelens.operators import phrases, projection  # noqa: E402
+from framelens.session import staging_path  # noqa: E402
+from framelens.sources import report as reportsrc  # noqa: E402
+from framelens.streaming import jobs as streams  # noqa: E402
+
+
+@query("map_coords")
+def q_map_coords(spark, sf_dir):
+    coords, _ = projection.pca_coordinates(fx.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return coords.withColumnRenamed("id", "vec_id")
+
+
+@query("fuzzy_graph")
+def q_fuzzy_graph(spark, sf_dir):
+    knn = similarity.knn_blocked(fx.table(spark, sf_dir, "embeddings"), 10)
+    return projection.fuzzy_graph(knn, 10)
+
+
+@query("similar_pairs_lsh")
+def q_similar_pairs_lsh(spark, sf_dir):
+    e = similarity.lsh_candidates(fx.table(spark, sf_dir, "embeddings"), DENSE_EPS)
+    return e.select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
+@query("key_phrase")
+def q_key_phrase(spark, sf_dir):
+    k = phrases.key_phrases(fx.table(spark, sf_dir, "documents"))
+    return k.withColumnRenamed("id", "doc_id")
+
+
+RUN_TS = "2025-12-01T08:00:00"
+
+
+def write_report(spark, sf_dir, path):
+    rows = _rows(spark, sf_dir)
+    deltas = narrative.narrative_delta(rows)
+    ranked = narrative.events_ranked(deltas)
+    fm = narrative.framing_map_nested(rows)
+    events = ranked.join(fm, "event_id").select(
+        "event_id", "is_event_cluster", "headline_count", "representative_title", "sources", "perspectives",
+        F.struct("dominant_tactic", "agreement_score", "delta_score", "severity_score", "unique_tactics",
+                 "framing_map").alias("narrative_delta"), "rank")
+    meta = narrative.report_meta(rows, deltas).join(
+        rollups.histogram(rows, "tactic_label").groupBy().agg(
+            F.map_from_entries(F.collect_list(F.struct("tactic_label", "n"))).alias("tactic_distribution")),
+        how="left").join(
+        rollups.histogram(rows, "source").groupBy().agg(
+            F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("source_distribution")),
+        how="left")
+    reportsrc.export_report(meta, events, narrative.event_headlines(rows), path, RUN_TS)
+
+
+@query("narratives")
+def q_narratives(spark, sf_dir):
+    path = staging_path(spark, "report")
+    write_report(spark, sf_dir, path)
+    _, events, _ = reportsrc.narratives(spark, path)
+    nd = "narrative_delta"
+    return events.select(
+        "event_id", "is_event_cluster", "headline_count", "representative_title",
+        F.array_join("sources", "|").alias("sources"), F.array_join("perspectives", "|").alias("perspectives"),
+        F.col(f"{nd}.dominant_tactic").alias("dominant_tactic"),
+        F.col(f"{nd}.agreement_score").alias("agreement_score"),
+        F.col(f"{nd}.delta_score").alias("delta_score"), F.col(f"{nd}.severity_score").alias("severity_score"),
+        F.array_join(f"{nd}.unique_tactics", "|").alias("unique_tactics"))
+
+
+FETCH_BASE = "2025-12-01 00:00:00"
+
+
+@query("articles_stream")
+def q_articles_stream(spark, sf_dir):
+    """Raw articles landed as files (fetch time = base + doc_id minutes; the
+    50 repeats of fixture file C land again an hour later), deduped on
+    (title, source) by the stream."""
+    base = staging_path(spark, "stream-articles")
+    r = fx.raw_articles(spark, sf_dir)
+    ts = F.date_format(F.to_timestamp_ntz(F.lit(FETCH_BASE)) + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.col("doc_id").cast("int"), F.lit(0)), "yyyy-MM-dd HH:mm:ss")
+    landed = r.withColumn("fetch_timestamp", ts)
+    rep = landed.where(F.col("doc_id") < 3 * fx.REPEATS).where(F.col("doc_id") % 3 == 0).withColumn(
+        "fetch_timestamp", F.date_format(F.to_timestamp_ntz("fetch_timestamp") + F.expr("INTERVAL 1 HOUR"),
+                                         "yyyy-MM-dd HH:mm:ss"))
+    landed.unionByName(rep).drop("doc_id").repartition(4).write.parquet(f"{base}/landed")
+    q = streams.articles_stream(spark, f"{base}/landed", f"{base}/sink", f"{base}/ckpt")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/sink")
+    return out.select("source", "title").distinct()
+
+
+@query("tactic_counts_stream")
+def q_tactic_counts_stream(spark, sf_dir):
+    base = staging_path(spark, "stream-counts")
+    ev = fx.table(spark, sf_dir, "events")
+    ev.repartition(4).write.parquet(f"{base}/landed")
+    q = streams.tactic_counts_stream(spark, f"{base}/landed", ev.schema, f"{base}/sink", f"{base}/ckpt")
+    q.awaitTermination()
+    c = streams.latest_counts(spark, f"{base}/sink")
+    return c.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label", "n")

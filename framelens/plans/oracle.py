@@ -449,3 +449,29 @@ SQL["translate_preview"] = with_(FEEDS, ENTRIES, BUILT) + """
 SELECT source, substring(raw_title, 1, 80) AS original, substring(title, 1, 80) AS translated,
   substring(full_text, 1, 150) AS full_text
 FROM built WHERE original_language <> 'en' ORDER BY source, pos LIMIT 3"""
+
+
+# --- map, phrases, report, streams ------------------------------------------------
+SQL["key_phrase"] = """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 1500)), '[\\p{L}\\p{N}]+') AS tok FROM documents),
+g AS (
+  SELECT doc_id, unnest(list_concat(
+    [array_to_string(tok[i:i + 1], ' ') for i in range(1, len(tok))],
+    [array_to_string(tok[i:i + 2], ' ') for i in range(1, len(tok) - 1)],
+    [array_to_string(tok[i:i + 3], ' ') for i in range(1, len(tok) - 2)])) AS gram FROM t),
+tf AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY 1, 2),
+df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1),
+sc AS (SELECT doc_id, gram, tf, df, tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) AS score
+       FROM tf JOIN df USING (gram))
+SELECT doc_id, gram AS phrase, tf, df FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gram) AS rn FROM sc) WHERE rn = 1"""
+
+SQL["narratives"] = SQL["events"]
+
+SQL["articles_stream"] = with_(ARTICLES) + "SELECT DISTINCT source, title FROM articles"
+
+SQL["tactic_counts_stream"] = """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label, count(*) AS n
+FROM events GROUP BY 1, 2"""
+
+DENSE_LSH_NOTE = "similar_pairs_lsh is approximate: rows-only check, recall tested in tests/"
