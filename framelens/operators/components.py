@@ -1,18 +1,23 @@
 """Connected components and DBSCAN over an edge DataFrame.
 
-Connected components: min-label propagation with pointer jumping. Each round
-is two equi-joins and one aggregate over the edge list:
-
-1. every vertex takes the least label among itself and its neighbours
-   (edges joined to labels on the neighbour, min-aggregated per vertex —
-   partial aggregation combines a hub's messages map-side);
-2. pointer jumping: label := label(label), which halves chain lengths.
-
-Labels only decrease, so the loop stops when a round changes nothing; the
-changed-row count is the only value that reaches the driver. Each round's
-labels are cut from the lineage with a reliable ``checkpoint()`` in the
-shared checkpoint folder, so a lost executor recomputes one round, not all.
-Only vertices that lie on an edge take part.
+Connected components: the large-star / small-star alternation of Kiveris,
+Lattanzi, Mirrokni, Rastogi and Vassilvitskii ("Connected Components in
+MapReduce and Beyond", SoCC 2014), O(log^2 n) rounds in the worst case and
+about log n in practice, also on long chains (plain min-label propagation
+needs ~diameter rounds). The edge set is kept undirected as (hi, lo), hi > lo:
+
+* large-star: every node u links each strictly larger neighbour to
+  m(u) = min(u, neighbours);
+* small-star: every node u links itself and each smaller neighbour to the
+  least of them;
+
+until a round leaves the edge set unchanged: each component is then a star
+around its least vertex. Each step is a min aggregate (map-side partial
+aggregation) and an equi-join on the node; AQE splits a hub's skewed join
+partition. Every round's edges are cut from the lineage with a reliable
+``checkpoint()`` in the shared checkpoint folder, so a lost executor costs
+one round. Only vertices that lie on an edge take part; the edge-set size
+and the changed-edge count are the only values that reach the driver.
 """
 
 from __future__ import annotations
@@ -29,31 +34,51 @@ def _sym(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
 
 
+def _both(e: DataFrame) -> DataFrame:
+    """(u, v): v is a neighbour of u, from undirected (hi, lo) edges."""
+    return e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
+        e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    both = _both(e)
+    m = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return (both.where(F.col("v") > F.col("u")).join(m, "u")
+            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    both = _both(e)
+    down = both.where(F.col("v") < F.col("u"))
+    m = down.groupBy("u").agg(F.min("v").alias("m"))
+    j = down.join(m, "u")
+    nbrs = j.where(F.col("v") != F.col("m")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    self_ = m.select(F.col("u").alias("hi"), F.col("m").alias("lo"))
+    return nbrs.unionByName(self_).distinct()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64, log: list | None = None) -> DataFrame:
+                         max_rounds: int = 100, log: list | None = None) -> DataFrame:
     """(vertex, comp): comp = least vertex id of the component."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    adj = _sym(edges, src, dst).checkpoint()
-    labels = adj.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("lab")).checkpoint()
-    for r in range(max_rounds):
-        msgs = (adj.join(labels.select(F.col("v").alias("u"), F.col("lab").alias("m")), "u")
-                .groupBy("v").agg(F.min("m").alias("m")))
-        prop = labels.join(msgs, "v", "left").select(
-            "v", F.least(F.col("lab"), F.coalesce(F.col("m"), F.col("lab"))).alias("lab"))
-        hop = prop.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
-        jumped = prop.join(hop, "lab", "left").select(
-            "v", F.least(F.col("lab"), F.coalesce(F.col("lab2"), F.col("lab"))).alias("lab")).checkpoint()
-        changed = (jumped.join(labels.select("v", F.col("lab").alias("old")), "v")
-                   .where(F.col("lab") != F.col("old")).count())
-        labels = jumped
+    checkpoint_dir(edges.sparkSession)
+    e = (edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
+         .where(F.col("hi") != F.col("lo")).distinct().checkpoint())
+    n = e.count()
+    for _ in range(max_rounds):
+        new = _small_star(_large_star(e)).checkpoint()
+        n_new = new.count()
+        changed = new.join(e, ["hi", "lo"], "left_anti").count()
         if log is not None:
             log.append(changed)
-        if changed == 0:
+        e = new
+        if changed == 0 and n_new == n:
             break
+        n = n_new
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    return labels.select(F.col("v").alias("vertex"), F.col("lab").alias("comp"))
+    members = e.select(F.col("hi").alias("vertex"), F.col("lo").alias("comp"))
+    centres = e.select(F.col("lo").alias("vertex"), F.col("lo").alias("comp"))
+    return members.unionByName(centres).distinct()
 
 
 def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str = "id",
