@@ -63,17 +63,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     checkpoint_dir(edges.sparkSession)
     e = (edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
          .where(F.col("hi") != F.col("lo")).distinct().checkpoint())
-    n = e.count()
     for _ in range(max_rounds):
         new = _small_star(_large_star(e)).checkpoint()
-        n_new = new.count()
-        changed = new.join(e, ["hi", "lo"], "left_anti").count()
+        # one action: edges added plus edges removed by this round
+        diff = (new.withColumn("_n", F.lit(True)).join(e.withColumn("_o", F.lit(True)), ["hi", "lo"], "full_outer")
+                .agg(F.count_if(F.col("_n").isNull() | F.col("_o").isNull()).alias("d")).first().d)
         if log is not None:
-            log.append(changed)
+            log.append(diff)
         e = new
-        if changed == 0 and n_new == n:
+        if diff == 0:
             break
-        n = n_new
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     members = e.select(F.col("hi").alias("vertex"), F.col("lo").alias("comp"))

@@ -427,8 +427,21 @@ def q_key_phrase(spark, sf_dir):
 RUN_TS = "2025-12-01T08:00:00"
 
 
+def narrative_rows_with_coords(spark, classified):
+    """Rows with event keys and 3D coordinates (TF-IDF hashed to 64 dims,
+    then PCA(3)); coordinates are attached by an equi-join on row_idx."""
+    docs = classified.select(F.col("row_idx").alias("id"),
+                             F.coalesce(F.col("full_text"), F.col("title")).alias("text"))
+    vec = tfidf.tfidf(docs, "id", "text").checkpoint()
+    edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
+    labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
+    coords, _ = projection.pca_coordinates(projection.hashed_dense(vec), "id", "v")
+    with_xyz = classified.join(coords.withColumnRenamed("id", "row_idx"), "row_idx", "left")
+    return narrative.event_rows(with_xyz, labels)
+
+
 def write_report(spark, sf_dir, path):
-    rows = _rows(spark, sf_dir)
+    rows = narrative_rows_with_coords(spark, _classified(spark, sf_dir)).checkpoint()
     deltas = narrative.narrative_delta(rows)
     ranked = narrative.events_ranked(deltas)
     fm = narrative.framing_map_nested(rows)
@@ -436,13 +449,7 @@ def write_report(spark, sf_dir, path):
         "event_id", "is_event_cluster", "headline_count", "representative_title", "sources", "perspectives",
         F.struct("dominant_tactic", "agreement_score", "delta_score", "severity_score", "unique_tactics",
                  "framing_map").alias("narrative_delta"), "rank")
-    meta = narrative.report_meta(rows, deltas).join(
-        rollups.histogram(rows, "tactic_label").groupBy().agg(
-            F.map_from_entries(F.collect_list(F.struct("tactic_label", "n"))).alias("tactic_distribution")),
-        how="left").join(
-        rollups.histogram(rows, "source").groupBy().agg(
-            F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("source_distribution")),
-        how="left")
+    meta = narrative.report_meta(rows, deltas, with_distributions=True)
     reportsrc.export_report(meta, events, narrative.event_headlines(rows), path, RUN_TS)
 
 

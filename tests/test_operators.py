@@ -343,3 +343,22 @@ def test_sigma_solves_log2k():
     rho, sigma = _smooth_knn(d, 10)
     s = np.exp(-np.maximum(d - rho[:, None], 0) / sigma[:, None]).sum(axis=1)
     assert np.allclose(s, math.log2(10), atol=1e-6)
+
+
+def test_report_round_trip_with_coords_and_maps(spark):
+    from framelens.plans import catalog
+    from framelens.session import staging_path
+    from framelens.sources import report
+    from framelens.schema import META_SCHEMA, assert_schema
+    path = staging_path(spark, "report-test")
+    catalog.write_report(spark, "/root/testdata/sf0.001", path)
+    meta, events, heads = report.narratives(spark, path)
+    m = assert_schema(meta, META_SCHEMA).first()
+    assert m.total_headlines == sum(m.tactic_distribution.values()) == sum(m.source_distribution.values())
+    assert events.count() == heads.select("event_id").distinct().count()
+    assert heads.where("x IS NULL OR y IS NULL OR z IS NULL").count() == 0
+    one = events.orderBy("rank").first().event_id
+    d = report.event_detail(events, heads, one).first()
+    assert len(d.headlines) == d.headline_count
+    with pytest.raises(FileNotFoundError):
+        report.narratives(spark, path + "-missing")
