@@ -25,7 +25,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.text import cap, py_strip
@@ -177,12 +177,14 @@ def quota_cut(answers: DataFrame) -> DataFrame:
 
 def merge_answers(rows: DataFrame, parsed: DataFrame) -> DataFrame:
     """Attach the last usable answer per row id (batch order, then position);
-    drop rows left without a label."""
+    drop rows left without a label. ``max_by`` over (batch_index, pos) is a
+    partial aggregate, so an id named by many answers is combined map-side."""
     good = parsed.where(F.col("quarantine").isNull())
-    w = Window.partitionBy("id").orderBy(F.desc("batch_index"), F.desc("pos"))
-    last = (good.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-            .select(F.col("id").alias("row_idx"), "tactic_label", "specific_technique",
-                    F.col("confidence").alias("tactic_confidence"), F.col("reasoning").alias("llm_reasoning")))
+    ans = F.struct("tactic_label", "specific_technique", "confidence", "reasoning")
+    last = good.groupBy("id").agg(F.max_by(ans, F.struct("batch_index", "pos")).alias("a")).select(
+        F.col("id").alias("row_idx"), F.col("a.tactic_label").alias("tactic_label"),
+        F.col("a.specific_technique").alias("specific_technique"),
+        F.col("a.confidence").alias("tactic_confidence"), F.col("a.reasoning").alias("llm_reasoning"))
     base = rows.drop("tactic_label", "specific_technique", "tactic_confidence", "llm_reasoning")
     return base.join(last, "row_idx", "left").where(F.col("tactic_label").isNotNull())
 
