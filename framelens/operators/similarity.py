@@ -33,7 +33,6 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SLACK = 1e-9
 
@@ -130,7 +129,7 @@ def dense_similarity_join(df: DataFrame, eps: float, id_col: str = "vec_id",
     rep = rep.select("id", "v", "blk",
                      F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
 
-    def block_pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(key[0]), int(key[1])
         ids = pdf["id"].to_numpy()
         m = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
@@ -175,7 +174,7 @@ def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "e
     rep = rep.select("id", "v", "blk", F.least("blk", "other").alias("lo"),
                      F.greatest("blk", "other").alias("hi"))
 
-    def block_pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(key[0]), int(key[1])
         ids = pdf["id"].to_numpy()
         m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
@@ -243,5 +242,3 @@ def lsh_candidates(df: DataFrame, eps: float, id_col: str = "vec_id", vec_col: s
     dist = F.least(F.greatest(F.lit(1.0) - F.col("dot"), F.lit(0.0)), F.lit(2.0))
     return out.withColumn("dist", dist).where(F.col("dist") <= eps)
 
-
-_ = T  # types kept for callers that build schemas from this module
