@@ -134,7 +134,8 @@ def _doc_edges(spark, sf_dir, vec=None):
 
 @query("text_vectors")
 def q_text_vectors(spark, sf_dir):
-    return _doc_vectors(spark, sf_dir).select(
+    vec = tfidf.tfidf(fx.table(spark, sf_dir, "documents"), "doc_id", "text", hashed=False)
+    return vec.select(
         F.col("id").alias("doc_id"), "token", "tf", "df", F.round("w", 6).alias("w"))
 
 
