@@ -204,7 +204,8 @@ def narrative_rows(spark, classified):
     event keys. Labels are checkpointed: they feed several aggregates."""
     docs = classified.select(F.col("row_idx").alias("id"),
                              F.coalesce(F.col("full_text"), F.col("title")).alias("text"))
-    vec = tfidf.tfidf(docs, "id", "text")
+    # cut points: vectors (read by four branches of the join), edges, labels
+    vec = tfidf.tfidf(docs, "id", "text").checkpoint()
     edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
     labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
     return narrative.event_rows(classified, labels)
