@@ -57,3 +57,28 @@ def staging_path(spark: SparkSession, name: str) -> str:
         base = base[len("file:"):]
     path = os.path.join(base, "staged", f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``framelens`` importable in executor Python workers (mapInPandas /
+    applyInPandas steps) by zipping the package once per application and
+    registering it with ``SparkContext.addPyFile``, which distributes it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="framelens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
