@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import decontam, secretscan, simhash, toxicity
+from framelens.llm import decontam, linetemplates, mixing, secretscan, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +35,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(docs, secretscan.learn(docs)))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_tokens").alias("tokens"), F.round("_weight", 6).alias("weight"), F.round("_rate", 6).alias("rate"),
+        F.col("_sampled").alias("sampled"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetemplates.drop_recurring(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op6_simhash, op7_decontam, op8_secrets)
+    f.__name__: f for f in (op2_toxicity, op6_simhash, op7_decontam, op8_secrets, op9_mixing, op10_lines)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mixing": mixing.sql(), "op10_lines": linetemplates.SQL}
