@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import decontam, simhash, toxicity
+from framelens.llm import decontam, linetemplates, mixing, simhash, toxicity
 from framelens.llm.common import cut
 from framelens.session import ship_package
 
@@ -19,6 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: lines of templates that recur across documents go, all rows stay."""
+    ship_package(spark)
+    return linetemplates.keep_new_lines(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each SimHash group stays."""
     ship_package(spark)
@@ -31,10 +37,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents sampled to the target weights of sources, languages and topics."""
+    ship_package(spark)
+    return mixing.keep_sampled(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("lines", drop_recurring_lines),
     ("simhash", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
 ]
 
 #: Fitted models and the edit search have no SQL form; the tests hold each stage against brute force.
