@@ -1,18 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-The token counts of all documents form a table of cells (source, language, topic). Raking multiplies the cells
-by one factor per source, then per language, then per topic, so that each marginal meets its target in turn;
-``rounds`` sweeps of the three bring all close together. A document's weight is its cell's fitted share over
-its own share; documents are sampled with probability weight / largest weight (largest over cells with
-tokens), so the expected tokens of the sample have the target marginals. The draw is a hash of the doc_id: the same
-at every run and on every executor.
-
-Only the cells (distinct combinations, aggregated before the shuffle) are iterated on. They are stored, so
-Spark knows their size and broadcasts them to the documents only below its broadcast threshold; beyond it the
-join is shuffled and its skew split.
+The token counts of all documents form a table of cells (source, language, topic). A sample that holds the
+share ``share`` of all tokens is wanted, its tokens distributed over sources, languages and topics as the
+targets say. Raking starts from that share of every cell and multiplies the cells by one factor per source,
+then per language, then per topic, so that each marginal meets its target in turn; ``rounds`` sweeps of the
+three bring all close together. No cell can give more tokens than it has: one that would have to is taken
+whole, and the following factors make the rest of its marginal up from other cells. Where a whole marginal
+falls short of its target (all its cells taken whole), the sample is smaller by that much. A document's
+sampling probability is its cell's fitted tokens over its own tokens, so the expected tokens of the sample are the
+fitted ones. The draw is a hash of the doc_id: the same at every run and on every executor.
+
+Only the cells (distinct combinations, aggregated before the shuffle) are iterated on. They are stored after
+every factor, so plans stay small and Spark knows the cells' size: it broadcasts them to the documents only
+below its broadcast threshold; beyond it the join is shuffled and its skew split.
 
 Edge cases. A null source, language or topic is a category of its own. Null and empty texts have no tokens:
-their cell gets weight 0 if no document in it has tokens, and such documents are not sampled. Targets for
+they are sampled as the others of their cell, and not at all if their cell has no tokens. Targets for
 categories that the corpus lacks are left out and the others scaled up; categories without target get none.
 Repeated rows count again and are drawn alike; a null doc_id draws as the empty string. An empty table gives
 an empty result. Extra columns are carried.
@@ -27,6 +30,7 @@ from framelens.llm.common import cut
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 8
+SHARE = 0.7
 WORDS = r"[^ \t\n\x0B\f\r]+"
 #: Topics by what a text holds, first that fits (fixed values).
 TOPICS = (("legal", r"[Ll]icen[sc]e|[Rr]ights reserved"), ("contact", "[a-z]@[a-z]"), ("shout", "!!"), ("record", "[0-9][0-9][0-9]"))
@@ -39,13 +43,14 @@ def topic(text: Column) -> Column:
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight`` and ``rate``.
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, rate) of the stored ``cells`` (source, lang, topic, tokens).
 
     ``targets[dim]`` has (dim, target) rows; a dimension without them is tempered: the square root of its own
     token counts. Targets need not add up to anything.
     """
-    marginals = []
+    wanted = share * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now = cells.withColumn("y", F.col("tokens") * share)
     for d in DIMS:
         own = cells.groupBy(d).agg(F.sum("tokens").alias("own"))
         if targets and d in targets:
@@ -55,36 +60,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             own = own.select(d, F.sqrt("own").alias("target"))
         own = cut(own, f"target-{d}")
         total = own.agg(F.sum("target")).first()[0] or 1.0
-        marginals.append((d, own.select(d, (F.col("target") / total).alias("target"))))
-    all_tokens = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    now = cells.withColumn("w", F.col("tokens") / F.lit(all_tokens))
+        now = now.join(own.select(d, (F.col("target") / total).alias(f"t_{d}")), d)
+    now = cut(now, "targets")
     for _ in range(rounds):
-        for d, target in marginals:
-            factor = now.groupBy(d).agg(F.sum("w").alias("m")).join(target, d)
-            factor = factor.select(d, F.when(F.col("m") > 0, F.col("target") / F.col("m")).otherwise(0.0).alias("f"))
-            now = now.join(factor, d).select(*DIMS, "tokens", (F.col("w") * F.col("f")).alias("w"))
-        now = cut(now, "raked")
-    weight = F.when(F.col("tokens") > 0, F.col("w") * all_tokens / F.col("tokens")).otherwise(0.0)
-    top = now.agg(F.max(weight)).first()[0] or 1.0
-    return cut(now.select(*DIMS, weight.alias("weight"), (weight / F.lit(top)).alias("rate")), "weights")
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with _tokens, _weight, _rate and _sampled (boolean)."""
+        for d in DIMS:
+            m, t = F.sum("y"), F.first(f"t_{d}")
+            factor = now.groupBy(d).agg(F.when(m > 0, t * F.lit(wanted) / m).otherwise(0.0).alias("f"))
+            fitted = F.least(F.col("tokens").cast("double"), F.col("y") * F.col("f"))
+            now = cut(now.join(factor, d).select(*DIMS, "tokens", fitted.alias("y"), *[f"t_{x}" for x in DIMS]), "raked")
+    return now.select(*DIMS, F.when(F.col("tokens") > 0, F.col("y") / F.col("tokens")).otherwise(0.0).alias("rate"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with _tokens, _rate (the sampling probability) and _sampled (boolean)."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
     named = docs.withColumns({"_source": part("source"), "_lang": part("lang"), "_topic": topic(F.col("text"))})
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     cells = cut(named.groupBy("_source", "_lang", "_topic").agg(F.sum(tokens).alias("tokens")).toDF(*DIMS, "tokens"), "cells")
-    rates = rake(cells, targets, rounds).toDF(*(f"_{d}" for d in DIMS), "_weight", "_rate")
+    rates = rake(cells, targets, share, rounds).toDF(*(f"_{d}" for d in DIMS), "_rate")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
     out = named.join(rates, [f"_{d}" for d in DIMS])
-    return out.select(*docs.columns, tokens.alias("_tokens"), "_weight", "_rate", (draw < F.col("_rate")).alias("_sampled"))
+    return out.select(*docs.columns, tokens.alias("_tokens"), "_rate", (draw < F.col("_rate")).alias("_sampled"))
 
 
 def keep_sampled(docs: DataFrame) -> DataFrame:
-    """The sampled documents with their columns and their mixture weight."""
-    out = mix(docs).where("_sampled")
-    return out.select(*docs.columns, F.round("_weight", 6).alias("mix_weight"))
+    """The sampled documents with their columns and their sampling probability."""
+    return mix(docs).where("_sampled").select(*docs.columns, F.round("_rate", 6).alias("mix_rate"))
 
 
 def sql() -> str:
@@ -94,18 +95,18 @@ def sql() -> str:
     parts = [f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
   CASE {cases} ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), {ws})) AS tokens FROM documents),
 c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
-s0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM c) AS w FROM c)"""]
+s0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens * {SHARE} AS y FROM c)"""]
     for x in DIMS:
         parts.append(f"t_{x} AS MATERIALIZED (SELECT {x}, target / sum(target) OVER () AS target FROM (SELECT {x}, sqrt(sum(tokens)) AS target FROM c GROUP BY {x}))")
     last = "s0"
     for k in range(ROUNDS):
         for x in DIMS:
             new = f"s{k}_{x}"
-            parts.append(f"{new} AS MATERIALIZED (SELECT s.source, s.lang, s.topic, s.tokens, s.w * CASE WHEN m.m > 0 THEN t.target / m.m ELSE 0 END AS w "
-                         f"FROM {last} s JOIN (SELECT {x}, sum(w) AS m FROM {last} GROUP BY {x}) m ON s.{x} = m.{x} JOIN t_{x} t ON s.{x} = t.{x})")
+            parts.append(f"{new} AS MATERIALIZED (SELECT s.source, s.lang, s.topic, s.tokens, "
+                         f"least(s.tokens, s.y * CASE WHEN m.m > 0 THEN t.target * (SELECT {SHARE} * sum(tokens) FROM c) / m.m ELSE 0 END) AS y "
+                         f"FROM {last} s JOIN (SELECT {x}, sum(y) AS m FROM {last} GROUP BY {x}) m ON s.{x} = m.{x} JOIN t_{x} t ON s.{x} = t.{x})")
             last = new
-    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w * (SELECT sum(tokens) FROM c) / tokens ELSE 0 END AS weight FROM {last})")
+    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN y / tokens ELSE 0 END AS rate FROM {last})")
     return "WITH " + ",\n".join(parts) + """
-SELECT d.doc_id, d.tokens, round(r.weight, 6) AS weight, round(r.weight / (SELECT max(weight) FROM r), 6) AS rate,
-  CAST(('0x' || md5(coalesce(d.doc_id::VARCHAR, ''))[1:12]) AS BIGINT) / 281474976710656.0 < r.weight / (SELECT max(weight) FROM r) AS sampled
+SELECT d.doc_id, d.tokens, round(r.rate, 6) AS rate, CAST(('0x' || md5(coalesce(d.doc_id::VARCHAR, ''))[1:12]) AS BIGINT) / 281474976710656.0 < r.rate AS sampled
 FROM d JOIN r USING (source, lang, topic)"""

@@ -59,7 +59,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("_tokens").alias("tokens"), F.round("_weight", 6).alias("weight"), F.round("_rate", 6).alias("rate"),
+        "doc_id", F.col("_tokens").alias("tokens"), F.round("_rate", 6).alias("rate"),
         F.col("_sampled").alias("sampled"))
 
 
