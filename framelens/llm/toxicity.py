@@ -82,8 +82,8 @@ def _share(h: Column, bound: int, n: int) -> Column:
     return F.pmod(h, F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, bound / max(n, 1)))
 
 
-def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable: Column, max_positive: int = 4000,
-        max_unlabelled: int = 12_000, max_features: int = 1024, prior: float | None = None) -> ToxicityModel:
+def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable: Column, max_positive: int = 3000,
+        max_unlabelled: int = 9000, max_features: int = 512, prior: float | None = None) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) where ``learnable``.
 
     ``toxic_ids`` (doc_id) are the confirmed ones, ``known_ids`` all labelled ones; their ratio is the class
@@ -132,10 +132,14 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable:
                                 "on": [sorted(index[f] for f in features(t) & index.keys()) for t in b["text"]]})
 
     seen = sample.mapInPandas(rows, "pos boolean, unl boolean, on array<int>").collect()  # the bounded sample
-    x = np.zeros((len(seen), len(names)), np.float32)
-    for k, r in enumerate(seen):
-        x[k, r.on] = 1
-    w, bias = nnpu_fit(x[[r.pos for r in seen]], x[[r.unl for r in seen]], prior)
+
+    def matrix(chosen: list) -> np.ndarray:
+        x = np.zeros((len(chosen), len(names)), np.float32)
+        for k, r in enumerate(chosen):
+            x[k, r.on] = 1
+        return x
+
+    w, bias = nnpu_fit(matrix([r for r in seen if r.pos]), matrix([r for r in seen if r.unl]), prior)
     return ToxicityModel({f: float(v) for f, v in zip(names, w, strict=True) if v}, bias, prior)
 
 
