@@ -58,18 +58,17 @@ def jump_tables(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
               .select("tree", "node", F.col("p").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
                       F.col("score").alias("total")), "jump-0")
     limit = max(1, now.count()).bit_length() + 1
-    ups = []
-    while len(ups) <= limit:
-        open_ = now.where("up is not null")
-        if not open_.limit(1).count():
-            break
-        ups.append(open_.select("tree", "node", "up"))
-        above = now.select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("far"),
-                           F.col("depth").alias("more"), F.col("total").alias("plus"))
-        now = cut(now.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("u")), "left")
-                  .select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                          (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), f"jump-{len(ups)}")
-    return now.where("up is null").drop("up"), ups  # what still has an ancestor after so many steps goes round
+    closed, ups = now.where("up is null"), []
+    now = now.where("up is not null")
+    while len(ups) <= limit and now.limit(1).count():
+        ups.append(now.select("tree", "node", "up"))
+        above = closed.unionByName(now).select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("far"),
+                                               F.col("depth").alias("more"), F.col("total").alias("plus"))
+        step = cut(now.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("u")))
+                   .select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+                           (F.col("total") + F.col("plus")).alias("total")), f"jump-{len(ups)}")
+        closed, now = closed.unionByName(step.where("up is null")), step.where("up is not null")
+    return closed.drop("up"), ups  # what still has an ancestor after so many steps goes round
 
 
 def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
