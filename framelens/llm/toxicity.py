@@ -7,7 +7,7 @@ The learner sees confirmed toxic texts P and unlabelled texts U (any text, toxic
 with the logistic loss: the class prior corrects U for the toxic texts hidden in it, and a negative corrected
 risk (the sign of overfitting) is not followed below zero but pushed back. The classifier is linear over the
 presence of words and of word beginnings, fitted in numpy on the driver from a bounded sample
-(``max_positive`` and ``max_unlabelled`` documents, ``max_features`` features); scoring reads every whole text
+(``max_positive`` and ``max_unlabelled`` documents, ``max_features`` features, at most four per positive); scoring reads every whole text
 in Arrow batches.
 
 Edge cases. Null and empty texts are scored by the bias alone. A document labelled twice is toxic if one of
@@ -42,6 +42,8 @@ class ToxicityModel:
     prior: float
 
     def score(self, text: str | None) -> float:
+        if not self.weights:
+            return self.prior
         z = self.bias + sum(self.weights[f] for f in features(text) & self.weights.keys())
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable:
     toxic = toxic_ids.select("doc_id").distinct()
     n_pos = toxic.count()
     if not n_pos:
-        return ToxicityModel({}, -500.0, 0.0)
+        return ToxicityModel({}, 0.0, 0.0)
     prior = prior or min(0.9, n_pos / max(known_ids.select("doc_id").distinct().count(), n_pos))
     n_unl = docs.where(learnable).count()
     mark = F.xxhash64(F.col("doc_id"), F.lit("pu"))
@@ -118,11 +120,11 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable:
 
     size = sample.agg(F.count_if("pos").alias("p"), F.count_if("unl").alias("u")).first()
     if not size.p or not size.u:
-        return ToxicityModel({}, -500.0, 0.0)
+        return ToxicityModel({}, 0.0, 0.0)
     a, b = (F.col("p") + 0.5) / (size.p + 1), (F.col("u") + 0.5) / (size.u + 1)
     z = (a - b) / F.sqrt(a * (1 - a) / size.p + b * (1 - b) / size.u)
     best = (sample.mapInPandas(tally, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-            .where(F.col("p") >= min(5, size.p)).orderBy(F.abs(z).desc(), "f").limit(max_features).select("f").collect())
+            .where(F.col("p") >= min(5, size.p)).orderBy(F.abs(z).desc(), "f").limit(min(max_features, 4 * size.p)).select("f").collect())
     names = [r.f for r in best]
     index = {f: k for k, f in enumerate(names)}
 
