@@ -46,7 +46,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(raw_title))
     full_text = (F.when(_m(29), F.lit(None).cast("string"))
                  .when(_m(31), F.lit(""))
-                 .otherwise(cap("text", 2000)))
+                 .otherwise(F.col("text")))
     link = (F.when(_m(17), F.lit(""))
             .when(_m(19), F.lit(NO_LINK))
             .otherwise(F.concat(F.lit("https://"), F.col("source"), F.lit("/"),

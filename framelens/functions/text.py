@@ -50,8 +50,8 @@ def first_line(c: Column | str) -> Column:
     return F.split_part(_c(c), F.lit("\n"), F.lit(1))
 
 
-def tokens(c: Column | str, max_chars: int | None = 2000) -> Column:
-    """Lower-cased letter/digit runs of the first ``max_chars`` characters."""
+def tokens(c: Column | str, max_chars: int | None = None) -> Column:
+    """Lower-cased letter/digit runs of the whole text, or of its first ``max_chars`` characters."""
     text = _c(c) if max_chars is None else cap(c, max_chars)
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 

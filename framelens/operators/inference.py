@@ -22,6 +22,7 @@ quarantine, answer cleaning/parsing, last-answer-wins merge, quota cut.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -55,52 +56,42 @@ def batch_items(rows: DataFrame, n_keys: int = 1, text_col: str = "full_text") -
         F.to_json("items").alias("payload"))
 
 
-def prompt_for(payload: str) -> str:
-    """The instruction text sent with a batch (labels + definitions + items)."""
-    from framelens.schema import TACTIC_DEFINITIONS
-    defs = "\n".join(f'- "{k}": {v}' for k, v in TACTIC_DEFINITIONS.items())
-    return ("Assign each article one broad category from this list:\n" + defs +
-            "\nName the specific 2 to 4 word micro-tactic. Articles (JSON array of id/text):\n" +
-            payload + "\nAnswer with a JSON array of objects with keys id, tactic_label, "
-            "specific_technique, confidence (0.0-1.0) and reasoning.")
-
-
 class QuotaExhausted(Exception):
     """Raised by a model when its daily quota is spent."""
 
 
-def _is_quota(e: Exception) -> bool:
-    s = str(e).lower()
-    return isinstance(e, QuotaExhausted) or ("rate limit" in s and ("tokens per day" in s or "tpd" in s))
+def _typed_quota(e: Exception) -> bool:
+    return isinstance(e, QuotaExhausted)
+
+
+_FENCED = re.compile(r"\s*```(?:json)?(?P<body>.*?)(?:```\s*)?", re.DOTALL)
 
 
-def call_with_retries(model: Callable[[str, int], str], payload: str,
-                      attempts: int = MAX_ATTEMPTS) -> tuple[int, str, str | None, str | None]:
-    """(attempts_used, status, answer, error). Temperature schedule is the
-    model's business: it receives the attempt number (0, 1, 2)."""
+def answer_json(answer: str) -> object:
+    """The JSON value of an answer, which may stand in a code fence; raises ValueError if there is none."""
+    fenced = _FENCED.fullmatch(answer)
+    return json.loads(fenced["body"] if fenced else answer)
+
+
+def call_with_retries(model: Callable[[str, int], str], payload: str, attempts: int = MAX_ATTEMPTS,
+                      is_quota: Callable[[Exception], bool] = _typed_quota) -> tuple[int, str, str | None, str | None]:
+    """(attempts_used, status, answer, error). The model receives the attempt number (0, 1, 2). ``is_quota`` tells
+    the errors of a spent quota; by default a model raises QuotaExhausted. Import errors fail the job."""
     err = None
     for a in range(attempts):
         try:
             ans = model(payload, a)
-            if not ans:
-                raise ValueError("empty answer")
-            json.loads(clean_answer_py(ans))
+            answer_json(ans or "")
             return a + 1, SUCCESS, ans, None
+        except ImportError:
+            raise
         except Exception as e:  # noqa: BLE001 - every failure is retried or reported
-            if _is_quota(e):
-                return a + 1, QUOTA, None, str(e)[:200]
-            err = f"{type(e).__name__}: {str(e)[:200]}"
+            if is_quota(e):
+                return a + 1, QUOTA, None, str(e)
+            err = f"{type(e).__name__}: {e}"
     return attempts, FAILED, None, err
 
 
-def clean_answer_py(s: str) -> str:
-    """Python twin of ``clean_answer`` (used only to decide retries)."""
-    c = s.strip()
-    if c.startswith("```"):
-        c = c.strip("`").replace("json", "", 1).strip()
-    return c
-
-
 RUN_SCHEMA = "batch_index long, key_route long, attempts int, status string, answer string, error string"
 
 

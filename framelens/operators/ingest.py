@@ -120,9 +120,12 @@ def load_classified(df: DataFrame, order: str = "row_idx") -> DataFrame:
 
 
 def served_table(df: DataFrame) -> DataFrame:
-    """The API's view: every column as text, every null as 'N/A'.
+    """The API's view: every column as text, every null or NaN as 'N/A'.
     (``na.fill`` alone touches string columns only, so cast first.)"""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(SERVED_NA)).alias(c) for c in df.columns])
+    def text(name: str, kind: str) -> Column:
+        c = F.nanvl(F.col(name), F.lit(None).cast(kind)) if kind in ("double", "float") else F.col(name)
+        return F.coalesce(c.cast("string"), F.lit(SERVED_NA)).alias(name)
+    return df.select(*[text(n, k) for n, k in df.dtypes])
 
 
 def headlines_page(df: DataFrame, limit: int = 100, order: str = "row_idx") -> DataFrame:

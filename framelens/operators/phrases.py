@@ -1,7 +1,6 @@
 """Micro-tactic phrase stand-in (M6): the best TF-IDF 2-4-gram per article.
 
-n-grams of consecutive tokens of the inference text (first 1500 chars, the
-span the model reads) are built with ``transform``/``slice`` and exploded;
+n-grams of consecutive tokens of the whole text are built with ``transform``/``slice`` and exploded;
 tf is a (id, gram) aggregate, df a gram aggregate joined back; the best gram
 per article is ``max_by`` on (score, then the smaller gram text).
 """
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.text import tokens
-from framelens.schema import INFERENCE_TEXT_CAP
 
 
 def ngrams(tok, n: int):
@@ -25,7 +23,7 @@ def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_min: int = 2, n_max: int = 4, n_docs: int | None = None) -> DataFrame:
     """(id, phrase, tf, df) — one row per document that has a 2-gram."""
     n = docs.count() if n_docs is None else n_docs
-    t = docs.select(F.col(id_col).alias("id"), tokens(text_col, INFERENCE_TEXT_CAP).alias("tok"))
+    t = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("tok"))
     allg = F.concat(*[ngrams(F.col("tok"), k) for k in range(n_min, n_max + 1)])
     g = t.select("id", F.explode(allg).alias("gram"))
     tf = g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))

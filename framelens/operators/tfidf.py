@@ -1,6 +1,6 @@
 """Sparse TF-IDF vectors in long form: one row per (id, token).
 
-tokens = letter/digit runs of lower(first 2000 chars); tf = count in the doc;
+tokens = letter/digit runs of lower(whole text); tf = count in the doc;
 idf = ln((N+1)/(df+1)); w = tf*idf / ||tf*idf||. Docs whose weights are all
 zero get no rows (zero vector: cosine 0 with everything).
 
@@ -30,7 +30,7 @@ def token_key(c: str = "token"):
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                max_chars: int | None = 2000, hashed: bool = False) -> DataFrame:
+                max_chars: int | None = None, hashed: bool = False) -> DataFrame:
     toks = docs.select(F.col(id_col).alias("id"),
                        F.explode(tokens(text_col, max_chars)).alias("token"))
     if hashed:
@@ -39,7 +39,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          max_chars: int | None = 2000, n_docs: int | None = None, hashed: bool = True) -> DataFrame:
+          max_chars: int | None = None, n_docs: int | None = None, hashed: bool = True) -> DataFrame:
     """(id, token, tf, df, w) with unit-norm w per id (token = text, or its
     128-bit key when ``hashed``)."""
     n = docs.count() if n_docs is None else n_docs

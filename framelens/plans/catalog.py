@@ -490,7 +490,7 @@ def q_articles_stream(spark, sf_dir):
     q = streams.articles_stream(spark, f"{base}/landed", f"{base}/sink", f"{base}/ckpt")
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/sink")
-    return out.select("source", "title").distinct()
+    return out.select("source", "title")
 
 
 @query("tactic_counts_stream")

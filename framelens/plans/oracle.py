@@ -41,7 +41,7 @@ articles AS (
     CASE WHEN doc_id % 89 = 0 THEN NULL
          WHEN doc_id % 97 = 0 THEN (CASE WHEN doc_id % 83 = 0 THEN '' ELSE split_part(text, chr(10), 1) END) || ' ======='
          ELSE (CASE WHEN doc_id % 83 = 0 THEN '' ELSE split_part(text, chr(10), 1) END) END AS title,
-    CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN '' ELSE substring(text, 1, 2000) END AS full_text,
+    CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN '' ELSE text END AS full_text,
     CASE WHEN doc_id % 10 = 0 THEN NULL ELSE {_q(FIXTURE_DATE)} END AS published_date,
     CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'No Link'
          ELSE 'https://' || source || '/' || CAST(doc_id AS VARCHAR) END AS link,
@@ -197,7 +197,7 @@ SQL["feed_counts"] = with_(FEEDS, ENTRIES, BUILT) + "SELECT source, count(*) AS
 def tfidf_sql(docs: str = "docs", eps: float = 0.4) -> str:
     """TF-IDF vectors and eps-edges over a (id, text) relation, brute force."""
     return f"""
-toks AS (SELECT id, unnest(regexp_extract_all(lower(substring(text, 1, 2000)), '[\\p{{L}}\\p{{N}}]+')) AS token
+toks AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token
          FROM {docs}),
 tf AS (SELECT id, token, count(*) AS tf FROM toks GROUP BY id, token),
 dfs AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
@@ -453,7 +453,7 @@ FROM built WHERE original_language <> 'en' ORDER BY source, pos LIMIT 3"""
 
 # --- map, phrases, report, streams ------------------------------------------------
 SQL["key_phrase"] = """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 1500)), '[\\p{L}\\p{N}]+') AS tok FROM documents),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS tok FROM documents),
 g AS (
   SELECT doc_id, unnest(list_concat(
     [array_to_string(tok[i:i + 1], ' ') for i in range(1, len(tok))],

@@ -26,15 +26,18 @@ RAW_STREAM_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c i
 
 
 def articles_stream(spark: SparkSession, landed: str, sink: str, checkpoint: str,
-                    delay: str = "30 days", available_now: bool = True):
-    """Start the dedupe stream; returns the StreamingQuery."""
+                    delay: str | None = None, available_now: bool = True):
+    """Start the dedupe stream; returns the StreamingQuery.
+
+    Without ``delay`` every landed row is judged, however late, and the state holds every key seen; a
+    ``delay`` bounds the state and gives up rows that come later than that."""
     s = (spark.readStream.schema(RAW_STREAM_SCHEMA).parquet(landed)
-         .withColumn("fetch_ts", F.to_timestamp(F.col("fetch_timestamp")))
-         .withWatermark("fetch_ts", delay)
-         .dropDuplicatesWithinWatermark(["title", "source"]))
+         .withColumn("fetch_ts", F.to_timestamp(F.col("fetch_timestamp"))))
+    s = s.dropDuplicates(["title", "source"]) if delay is None else (
+        s.withWatermark("fetch_ts", delay).dropDuplicatesWithinWatermark(["title", "source"]))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     w = s.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -43,20 +46,23 @@ def articles_stream(spark: SparkSession, landed: str, sink: str, checkpoint: str
 
 def tactic_counts_stream(spark: SparkSession, landed: str, schema: T.StructType, sink: str,
                          checkpoint: str, time_col: str = "ts", label_col: str = "event_type",
-                         window: str = "1 hour", delay: str = "1 hour", available_now: bool = True):
-    """Start the windowed-count stream; returns the StreamingQuery."""
+                         window: str = "1 hour", delay: str | None = None, available_now: bool = True):
+    """Start the windowed-count stream; returns the StreamingQuery.
+
+    Without ``delay`` late rows are always counted and the state holds a count per window and label; a
+    ``delay`` bounds the state and gives up rows that come later than that."""
     # watermarks need a zoned timestamp: wall-clock (NTZ) times are read in
     # the session zone and window starts are turned back into wall clock
     s = (spark.readStream.schema(schema).parquet(landed)
-         .withColumn("_et", F.col(time_col).cast("timestamp"))
-         .withWatermark("_et", delay)
-         .groupBy(F.window("_et", window), F.col(label_col).alias("label"))
+         .withColumn("_et", F.col(time_col).cast("timestamp")))
+    if delay is not None:
+        s = s.withWatermark("_et", delay)
+    s = (s.groupBy(F.window("_et", window), F.col(label_col).alias("label"))
          .agg(F.count(F.lit(1)).alias("n")))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", "n",
-                      F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(sink))
+        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", "n")
+         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
 
     w = s.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

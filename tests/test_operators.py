@@ -229,7 +229,7 @@ def test_answer_parser_table(spark):
     merged = {r.row_idx: r.tactic_label for r in inference.merge_answers(rows, inference.parse_answers(ans, 10)).collect()}
     assert merged[0] == "Victim-Blaming"  # a later batch's answer wins
     assert 4 not in merged  # explicit null label dropped
-    assert inference.clean_answer_py('```json\n[1]\n```') == "[1]"
+    assert inference.answer_json('```json\n[1]\n```') == inference.answer_json("[1]") == [1]
 
 
 def test_retries_and_quota():
@@ -245,7 +245,7 @@ def test_retries_and_quota():
     assert inference.call_with_retries(broken, "[]")[1] == "FAILED"
 
     def quota(payload, attempt):
-        raise RuntimeError("Rate limit reached: tokens per day (TPD)")
+        raise inference.QuotaExhausted("spent")
     assert inference.call_with_retries(quota, "[]")[:2] == (1, "QUOTA_EXHAUSTED")
 
 
