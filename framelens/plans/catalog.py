@@ -343,8 +343,10 @@ def q_lexicon_tactics(spark, sf_dir):
 def q_classify_run(spark, sf_dir):
     rows = _clean_rows(spark, sf_dir)
     n = rows.count()
-    runs = inference.run_batches(inference.batch_items(rows), inference.lexicon_model)
-    parsed = inference.parse_answers(inference.quota_cut(runs), n)
+    checkpoint_dir(spark)
+    # stored before it is read: every batch is sent to the model once, and every answer received is used
+    runs = inference.run_batches(inference.batch_items(rows), inference.lexicon_model).checkpoint()
+    parsed = inference.parse_answers(runs, n)
     out = inference.merge_answers(rows, parsed)
     return out.select("row_idx", "tactic_label", "specific_technique", "tactic_confidence")
 
@@ -397,7 +399,7 @@ def q_translate_preview(spark, sf_dir):
 
 # --- map, phrases, report, streams ----------------------------------------------
 from framelens.operators import phrases, projection  # noqa: E402
-from framelens.session import staging_path  # noqa: E402
+from framelens.session import checkpoint_dir, staging_path  # noqa: E402
 from framelens.sources import report as reportsrc  # noqa: E402
 from framelens.streaming import jobs as streams  # noqa: E402
 
