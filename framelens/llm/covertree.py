@@ -34,6 +34,8 @@ from framelens.llm.common import cut
 DATA_BLOCK, QUERY_BLOCK, LEAF, PIVOTS = 2048, 256, 24, 64
 #: Block pairs per task, which also bounds a worker's Arrow batch.
 PAIRS = 64
+#: Parts into which the data blocks of a dimension are dealt when they meet the query blocks.
+SHARES = 32
 BLOCKS = "dim long, cell long, part long, block long, n long, centre array<double>, radius double, tree binary"
 
 
@@ -192,12 +194,15 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "ve
     queries = _blocks(dealt.where(is_query), QUERY_BLOCK, "query-blocks")
 
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    side = lambda t, s: t.select("dim", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "centre", "radius")])
+    side = lambda t, s, share: t.select("dim", share.alias("share"), *[F.col(c).alias(f"{s}_{c}") for c in ("block", "centre", "radius")])
     bound = (dot(F.col("q_centre"), F.col("d_centre")) + F.col("q_radius") * F.sqrt(dot(F.col("d_centre"), F.col("d_centre")))
              + F.col("d_radius") * F.sqrt(dot(F.col("q_centre"), F.col("q_centre"))) + F.col("q_radius") * F.col("d_radius"))
-    pairs = cut(side(queries, "q").join(side(data, "d"), "dim").select("q_block", "d_block", (bound + 1e-9 * F.abs(bound) + 1e-6).alias("bound")), "block-pairs")
-    nearest = F.row_number().over(W.partitionBy("q_block").orderBy(F.col("bound").desc(), "d_block"))
-    ranked = cut(pairs.withColumn("nth", nearest), "ranked-pairs")
+    # every query block goes to all shares of the data blocks, so a dimension's blocks are not met in one task
+    every = side(queries, "q", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    met = every.join(side(data, "d", F.pmod("block", F.lit(SHARES)).cast("int")), ["dim", "share"])
+    pairs = cut(met.select("q_block", "d_block", (bound + 1e-9 * F.abs(bound) + 1e-6).alias("bound")), "block-pairs")
+    nearest = pairs.groupBy("q_block").agg(F.max(F.struct("bound", "d_block")).alias("top")).select("q_block", F.col("top.d_block").alias("top"))
+    ranked = cut(pairs.join(nearest, "q_block").withColumn("nearest", F.col("d_block") == F.col("top")).drop("top"), "ranked-pairs")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -216,9 +221,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "ve
         out = rows.repartition(parts).mapInPandas(search, "q_block long, query_id long, vec_id long, score long, least double")
         return cut(out, name)
 
-    first = searched(ranked.where("nth = 1").withColumn("least", F.lit(float("-inf"))), "first-hits")
+    first = searched(ranked.where("nearest").withColumn("least", F.lit(float("-inf"))), "first-hits")
     least = first.groupBy("q_block").agg(F.max("least").alias("least"))
-    others = ranked.where("nth > 1").join(least, "q_block", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    others = ranked.where("not nearest").join(least, "q_block", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     second = searched(others.where(F.col("bound") >= F.col("least")), "second-hits")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     found = first.unionByName(second).select("query_id", "vec_id", "score")
