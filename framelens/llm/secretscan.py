@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +45,18 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+class Cover:
+    """Tells in logarithmic time whether a stretch of text touches none of the spans."""
+
+    def __init__(self, spans: list[Span]):
+        inner = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in inner]
+        self.reach = [0, *accumulate((b for _, b in inner), max)]  # the furthest end of the first k spans
+
+    def free(self, start: int, end: int) -> bool:
+        return self.reach[bisect_left(self.starts, end)] <= start
+
+
 def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -163,12 +177,8 @@ class Formats:
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Accepted tokens that touch no base span."""
-        out, taken = [], sorted((a, b) for _, a, b in base)
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            if self.accepts(m[0]) and not any(x < b and a < y for x, y in taken):
-                out.append(("learned", a, b))
-        return out
+        taken = Cover(base)
+        return [("learned", *m.span()) for m in TOKEN.finditer(text) if taken.free(*m.span()) and self.accepts(m[0])]
 
 
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 20_000, per_kind: int = 400) -> Formats:
@@ -187,7 +197,8 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
                 base = base_spans(text)
                 rows.update(("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
                 rows.update((k, text[x:y]) for k, x, y in base if k != "assign")
-                rows.update(("ordinary", m[0]) for m in TOKEN.finditer(text) if not any(x < m.end() and m.start() < y for _, x, y in base))
+                taken = Cover(base)
+                rows.update(("ordinary", m[0]) for m in TOKEN.finditer(text) if taken.free(*m.span()))
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
     order = F.xxhash64("value")
