@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions.text import cap, collapse_ws, join_nonempty, py_strip
 from framelens.operators.indexing import dense_index
-from framelens.schema import (BODY_CAP, CONFLICT_MARKERS, ENTRIES_PER_FEED, FULL_TEXT_CAP,
-                              NO_DATE, NO_LINK, SERVED_NA, TRANSLATE_CAP)
+from framelens.schema import CONFLICT_MARKERS, ENTRIES_PER_FEED, NO_DATE, NO_LINK, SERVED_NA, TRANSLATE_CAP
 
 BROADCAST_MAX_ROWS = 100_000
 
@@ -24,12 +23,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 def dedupe_first(df: DataFrame, keys: list[str], order: str = "_order") -> DataFrame:
     """``drop_duplicates(subset=keys)``: keep the first row per key (null equals
-    null) in ``order``. An aggregate of min(struct(order, row)): partial
-    aggregation collapses a hot key's copies map-side before the shuffle."""
-    rest = [c for c in df.columns if c not in keys and c != order]
-    packed = F.struct(F.col(order).alias(order), *[F.col(c) for c in rest])
-    firsts = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-    return firsts.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [order] + rest])
+    null) in ``order``, a unique integer. A hash aggregate of the least order
+    per key (a hot key's copies collapse map-side), then a semi-join on it:
+    whole rows are neither sorted nor aggregated. ``df`` is read twice, the
+    first time only its keys and order: hand in a stored table."""
+    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first")).select("_first")
+    return df.join(firsts, df[order] == firsts["_first"], "left_semi")
 
 
 def drop_conflicted(df: DataFrame, col: str = "title") -> DataFrame:
@@ -58,8 +57,12 @@ def feed_topk(entries: DataFrame, n: int = ENTRIES_PER_FEED) -> DataFrame:
     ``row_number() <= n`` is planned as a partial WindowGroupLimit before the
     shuffle, so a huge feed sends at most n rows per map task."""
     w = Window.partitionBy("source").orderBy("pos")
-    top = entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    return top.where(F.coalesce(py_strip("title"), F.lit("")) != "")
+    return titled(entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn"))
+
+
+def titled(entries: DataFrame) -> DataFrame:
+    """All entries whose stripped title is not blank."""
+    return entries.where(F.coalesce(py_strip("title"), F.lit("")) != "")
 
 
 def feed_enrich(df: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -70,11 +73,11 @@ def feed_enrich(df: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def translate_route(text: Column, lang: Column, translator=None) -> Column:
-    """English and empty text pass through; other text is cut to 800 chars and
-    sent to ``translator`` (a Column -> Column function; default identity,
-    which equals the reference's error fallback of returning the cut text)."""
-    cut = cap(text, TRANSLATE_CAP)
-    translated = translator(cut) if translator else cut
+    """English and empty text pass through; other text is sent to ``translator``
+    (a Column -> Column function; default identity) in pieces of at most 800
+    characters, the most that one request takes, and the answers are joined."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TRANSLATE_CAP}}}"), 0)
+    translated = F.array_join(F.transform(pieces, translator), "") if translator else text
     return F.when((lang == "en") | text.isNull() | (text == ""), text).otherwise(translated)
 
 
@@ -82,18 +85,23 @@ def usable_link(link: Column) -> Column:
     return link.isNotNull() & (link != "") & (link != NO_LINK)
 
 
-def article_build(entries: DataFrame, translator=None) -> DataFrame:
+def article_build(entries: DataFrame, translator=None, body_chars: int | None = None,
+                  text_chars: int | None = None) -> DataFrame:
     """Feed entry (+ scraped body text) -> raw article row.
 
     entries: source, perspective, original_language, pos, title, summary,
     link, published, body_text. The body is used only for a usable link,
-    whitespace-collapsed and cut to 1500; full_text = non-empty parts of
-    (title, summary, body) joined by one space, cut to 2000.
+    whitespace-collapsed; full_text = non-empty parts of (title, summary,
+    body) joined by one space. Both are whole unless ``body_chars`` or
+    ``text_chars`` cut them.
     """
+    def most(c: Column, n: int | None) -> Column:
+        return c if n is None else cap(c, n)
+
     lang = F.col("original_language")
     raw_title = py_strip(F.coalesce(F.col("title"), F.lit("")))
     raw_summary = py_strip(F.coalesce(F.col("summary"), F.lit("")))
-    body = F.when(usable_link(F.col("link")), cap(collapse_ws(F.coalesce(F.col("body_text"), F.lit(""))), BODY_CAP)) \
+    body = F.when(usable_link(F.col("link")), most(collapse_ws(F.coalesce(F.col("body_text"), F.lit(""))), body_chars)) \
         .otherwise(F.lit(""))
     t = entries.select(
         "source", "perspective", "original_language", "pos",
@@ -106,7 +114,7 @@ def article_build(entries: DataFrame, translator=None) -> DataFrame:
     )
     return t.select(
         "source", "perspective", "original_language", "pos", "raw_title", "title",
-        cap(join_nonempty(F.col("title"), F.col("_summary"), F.col("_body")), FULL_TEXT_CAP).alias("full_text"),
+        most(join_nonempty(F.col("title"), F.col("_summary"), F.col("_body")), text_chars).alias("full_text"),
         "published_date", "link")
 
 

@@ -107,8 +107,11 @@ def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
 PAIR_SCHEMA = "src long, dst long, dot double, dist double"
 
 
-def _n_blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
+def _n_blocks(df: DataFrame, n: int, block_rows: int) -> int:
+    """Blocks of at most about ``block_rows`` rows, and enough of them that
+    their pairs give every core two tasks, also on small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n / block_rows), min(n, math.ceil(math.sqrt(4 * cores))))
 
 
 def dense_similarity_join(df: DataFrame, eps: float, id_col: str = "vec_id",
@@ -119,7 +122,7 @@ def dense_similarity_join(df: DataFrame, eps: float, id_col: str = "vec_id",
     import pandas as pd
 
     n = df.count() if n_rows is None else n_rows
-    nb = _n_blocks(n, block_rows)
+    nb = _n_blocks(df, n, block_rows)
     base = df.select(F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).cast("array<double>").alias("v"),
                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
@@ -166,7 +169,7 @@ def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "e
     import pandas as pd
 
     n = df.count() if n_rows is None else n_rows
-    nb = _n_blocks(n, block_rows)
+    nb = _n_blocks(df, n, block_rows)
     base = df.select(F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).cast("array<double>").alias("v"),
                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))

@@ -41,15 +41,25 @@ from pyspark.sql import functions as F  # noqa: E402
 from framelens.operators import ingest  # noqa: E402
 from framelens.operators.indexing import dense_index  # noqa: E402
 from framelens.schema import RAW_ARTICLE_COLUMNS  # noqa: E402
+from framelens.session import checkpoint_dir, staging_path  # noqa: E402
 from framelens.sources.landed import read_landed_csv  # noqa: E402
 
 
 def _raw_union(spark, sf_dir):
     root = fx.land_raw_files(spark, sf_dir)
-    u = read_landed_csv(spark, root)
+    # the files are parsed once; the index and the dedupe read the stored union several times
+    path = staging_path(spark, "union")
+    read_landed_csv(spark, root).write.parquet(path)
+    u = spark.read.parquet(path)
     return dense_index(u, "_order", "pos").select("pos", *RAW_ARTICLE_COLUMNS)
 
 
+def _indexed_union(spark, sf_dir):
+    path = staging_path(spark, "indexed-union")
+    _raw_union(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("raw_union")
 def q_raw_union(spark, sf_dir):
     return _raw_union(spark, sf_dir)
@@ -57,12 +67,12 @@ def q_raw_union(spark, sf_dir):
 
 @query("dedupe_first")
 def q_dedupe_first(spark, sf_dir):
-    return ingest.dedupe_first(_raw_union(spark, sf_dir), ["title", "source"], "pos")
+    return ingest.dedupe_first(_indexed_union(spark, sf_dir), ["title", "source"], "pos")
 
 
 @query("clean_articles")
 def q_clean_articles(spark, sf_dir):
-    c = ingest.clean_articles(_raw_union(spark, sf_dir), "pos")
+    c = ingest.clean_articles(_indexed_union(spark, sf_dir), "pos")
     return c.select("row_idx", *RAW_ARTICLE_COLUMNS)
 
 
@@ -97,13 +107,15 @@ def q_feed_topk(spark, sf_dir):
 
 @query("feed_enrich")
 def q_feed_enrich(spark, sf_dir):
-    e = ingest.feed_enrich(_top_entries(spark, sf_dir), fx.feeds(spark, sf_dir))
-    return e.select("source", "pos", "perspective", "original_language", "title")
+    return _enriched(spark, sf_dir).select("source", "pos", "perspective", "original_language", "title")
+
+
+def _enriched(spark, sf_dir):
+    return ingest.feed_enrich(ingest.titled(fx.feed_entries(spark, sf_dir)), fx.feeds(spark, sf_dir))
 
 
 def _built(spark, sf_dir):
-    e = ingest.feed_enrich(_top_entries(spark, sf_dir), fx.feeds(spark, sf_dir))
-    return ingest.article_build(e)
+    return ingest.article_build(_enriched(spark, sf_dir))
 
 
 @query("article_build")
@@ -188,6 +200,15 @@ def q_similar_pairs_dense(spark, sf_dir):
     return e.select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
+@query("event_labels_dense")
+def q_event_labels_dense(spark, sf_dir):
+    """Events from given vectors: DBSCAN on the exact dense neighbours."""
+    emb = fx.table(spark, sf_dir, "embeddings")
+    checkpoint_dir(spark)
+    edges = similarity.dense_similarity_join(emb, DENSE_EPS).select("src", "dst").checkpoint()
+    return components.dbscan(emb, edges, DBSCAN_MIN_SAMPLES, id_col="vec_id").withColumnRenamed("id", "vec_id")
+
+
 @query("knn_graph")
 def q_knn_graph(spark, sf_dir):
     k = similarity.knn_blocked(fx.table(spark, sf_dir, "embeddings"), 10)
@@ -199,14 +220,20 @@ def q_knn_graph(spark, sf_dir):
 from framelens.operators import narrative  # noqa: E402
 
 
-def narrative_rows(spark, classified):
+def narrative_rows(spark, classified, embedder=None):
     """Cluster the classified rows (text = full_text else title) and attach
-    event keys. Labels are checkpointed: they feed several aggregates."""
+    event keys. ``embedder`` maps (id, text) to (id, v array<double>) and the
+    dense join then gives the neighbours; without one they come from TF-IDF.
+    Labels are checkpointed: they feed several aggregates."""
+    checkpoint_dir(spark)
     docs = classified.select(F.col("row_idx").alias("id"),
                              F.coalesce(F.col("full_text"), F.col("title")).alias("text"))
     # cut points: vectors (read by four branches of the join), edges, labels
-    vec = tfidf.tfidf(docs, "id", "text").checkpoint()
-    edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
+    if embedder:
+        edges = similarity.dense_similarity_join(embedder(docs).checkpoint(), DBSCAN_EPS, "id", "v").checkpoint()
+    else:
+        vec = tfidf.tfidf(docs, "id", "text").checkpoint()
+        edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
     labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
     return narrative.event_rows(classified, labels)
 
@@ -215,8 +242,9 @@ def _rows(spark, sf_dir):
     return narrative_rows(spark, _classified(spark, sf_dir))
 
 
-def _flat(deltas):
+def _flat(deltas, *more):
     return deltas.select(
+        *more,
         "event_id", "is_event_cluster", "headline_count", "representative_title",
         F.array_join("sources", "|").alias("sources"), F.array_join("perspectives", "|").alias("perspectives"),
         "dominant_tactic", "agreement_score", "delta_score", "severity_score",
@@ -283,7 +311,7 @@ def flagship(spark, sf_dir):
     """The full run: classified rows -> TF-IDF -> exact similarity join ->
     DBSCAN -> narrative deltas -> events in report order."""
     r = narrative.events_ranked(narrative.narrative_delta(_rows(spark, sf_dir)))
-    return _flat(r).join(r.select("event_id", "rank"), "event_id").orderBy("rank")
+    return _flat(r, "rank").orderBy("rank")
 
 
 # --- inference ------------------------------------------------------------------
@@ -399,7 +427,6 @@ def q_translate_preview(spark, sf_dir):
 
 # --- map, phrases, report, streams ----------------------------------------------
 from framelens.operators import phrases, projection  # noqa: E402
-from framelens.session import checkpoint_dir, staging_path  # noqa: E402
 from framelens.sources import report as reportsrc  # noqa: E402
 from framelens.streaming import jobs as streams  # noqa: E402
 
@@ -463,7 +490,10 @@ def q_narratives(spark, sf_dir):
     write_report(spark, sf_dir, path)
     _, events, _ = reportsrc.narratives(spark, path)
     nd = "narrative_delta"
+    framing = F.transform(F.map_entries(f"{nd}.framing_map"),
+                          lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
     return events.select(
+        "rank", F.array_join(F.array_sort(framing), ";").alias("framing_map"),
         "event_id", "is_event_cluster", "headline_count", "representative_title",
         F.array_join("sources", "|").alias("sources"), F.array_join("perspectives", "|").alias("perspectives"),
         F.col(f"{nd}.dominant_tactic").alias("dominant_tactic"),

@@ -161,27 +161,23 @@ top_entries AS (
   AND coalesce(""" + strip("title") + """, '') <> ''
 ),
 enriched AS (
-  SELECT t.*, f.perspective, f.lang AS original_language FROM top_entries t JOIN feeds f USING (source)
+  SELECT t.*, f.perspective, f.lang AS original_language FROM entries t JOIN feeds f USING (source)
+  WHERE coalesce(""" + strip("title") + """, '') <> ''
 )"""
 
 
-def _route(expr: str) -> str:
-    return (f"CASE WHEN original_language = 'en' OR ({expr}) IS NULL OR ({expr}) = '' THEN ({expr}) "
-            f"ELSE substring({expr}, 1, 800) END")
-
-
 _T = strip("coalesce(title, '')")
 _S = strip("coalesce(summary, '')")
 _B = (f"CASE WHEN link IS NOT NULL AND link <> '' AND link <> 'No Link' "
-      f"THEN substring({collapse('coalesce(body_text, ' + chr(39) + chr(39) + ')')}, 1, 1500) ELSE '' END")
+      f"THEN {collapse('coalesce(body_text, ' + chr(39) + chr(39) + ')')} ELSE '' END")
 
 BUILT = f"""
 built AS (
   SELECT source, perspective, original_language, pos, raw_title, title,
-    substring(concat_ws(' ', nullif(title, ''), nullif(s, ''), nullif(b, '')), 1, 2000) AS full_text,
+    concat_ws(' ', nullif(title, ''), nullif(s, ''), nullif(b, '')) AS full_text,
     published_date, link
   FROM (SELECT source, perspective, original_language, pos, {_T} AS raw_title,
-          {_route(_T)} AS title, {_route(_S)} AS s, {_route(_B)} AS b,
+          {_T} AS title, {_S} AS s, {_B} AS b,
           coalesce(published, 'No Date') AS published_date, coalesce(link, '') AS link
         FROM enriched)
 )"""
@@ -256,6 +252,11 @@ SQL["similar_pairs_dense"] = with_(DENSE) + """
 SELECT src, dst, round(least(greatest(1 - cos, 0), 2), 6) AS dist FROM dpairs
 WHERE least(greatest(1 - cos, 0), 2) <= 0.6"""
 
+DENSE_EDGES = """
+edges AS (SELECT src, dst FROM dpairs WHERE least(greatest(1 - cos, 0), 2) <= 0.6)"""
+SQL["event_labels_dense"] = ("WITH RECURSIVE " + DENSE + "," + DENSE_EDGES + "," + dbscan_sql(2, "SELECT vec_id AS id FROM emb")
+                             + "\nSELECT id AS vec_id, label FROM labels")
+
 SQL["knn_graph"] = with_(DENSE) + """
 , d AS (SELECT a.vec_id, b.vec_id AS nbr, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE list_distance(a.v, b.v) END AS dist
         FROM emb a JOIN emb b ON true)
@@ -441,9 +442,7 @@ SELECT source, pos // 50 AS page, row_number() OVER (PARTITION BY source, pos //
   coalesce(link, '') AS link, published FROM entries"""
 
 SQL["translate_route"] = """
-SELECT doc_id, lang, length(t) AS n_chars, md5(t) AS md5 FROM (
-  SELECT doc_id, lang, CASE WHEN lang = 'en' OR text IS NULL OR text = '' THEN text
-                            ELSE substring(text, 1, 800) END AS t FROM documents)"""
+SELECT doc_id, lang, length(text) AS n_chars, md5(text) AS md5 FROM documents"""
 
 SQL["translate_preview"] = with_(FEEDS, ENTRIES, BUILT) + """
 SELECT source, substring(raw_title, 1, 80) AS original, substring(title, 1, 80) AS translated,
@@ -466,7 +465,15 @@ sc AS (SELECT doc_id, gram, tf, df, tf * ln(((SELECT count(*) FROM documents) +
 SELECT doc_id, gram AS phrase, tf, df FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gram) AS rn FROM sc) WHERE rn = 1"""
 
-SQL["narratives"] = SQL["events"]
+SQL["narratives"] = NARR + """,
+fm AS (SELECT event_id, string_agg(perspective || '=' || tactics, ';' ORDER BY perspective) AS framing_map FROM (
+  SELECT event_id, perspective, string_agg(DISTINCT tactic_label, '|' ORDER BY tactic_label) AS tactics
+  FROM erows GROUP BY 1, 2) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY delta_milli DESC, is_event_cluster,
+    CASE WHEN is_event_cluster THEN label ELSE first_row END) - 1 AS rank,
+  event_id, is_event_cluster, headline_count, representative_title, sources, perspectives,
+  dominant_tactic, agreement_score, delta_score, severity_score, unique_tactics, framing_map
+FROM deltas JOIN fm USING (event_id)"""
 
 SQL["articles_stream"] = with_(ARTICLES) + "SELECT DISTINCT source, title FROM articles"
 
