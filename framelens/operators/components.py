@@ -81,9 +81,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
 
 def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str = "id",
-           src: str = "src", dst: str = "dst") -> DataFrame:
+           src: str = "src", dst: str = "dst", members: DataFrame | None = None) -> DataFrame:
     """DBSCAN labels from the eps-neighbour edges: (id, label), -1 = noise.
 
+    ``members`` (id, rep, n; stored) lets one point stand for a class of n equal
+    points: the edges then join representatives (the least id of each class),
+    a neighbour counts as often as its class has points, and every point takes
+    its representative's label.
+
     A point is core when it has >= min_samples neighbours counting itself.
     Clusters are the connected core points, numbered 0.. by their least core
     id; a border point takes the least cluster number among its core
@@ -91,8 +96,14 @@ def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str =
     an edge is core, so clusters are the components of the edge graph.
     """
     adj = _sym(edges, src, dst)
-    deg = adj.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") + 1 >= min_samples).select(F.col("v").alias("c"))
+    if members is None:
+        deg = adj.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
+        core = deg.where(F.col("deg") + 1 >= min_samples).select(F.col("v").alias("c"))
+    else:
+        own = members.where("id = rep").select(F.col("id").alias("c"), "n")
+        deg = adj.join(own, F.col("u") == F.col("c")).groupBy("v").agg(F.sum("n").alias("deg"))
+        core = (own.join(deg, F.col("c") == F.col("v"), "left")
+                .where(F.coalesce("deg", F.lit(0)) + F.col("n") >= min_samples).select("c"))
     core_edges = (adj.join(core.withColumnRenamed("c", "v"), "v")
                   .join(core.withColumnRenamed("c", "u"), "u").where(F.col("v") < F.col("u")))
     comp = connected_components(core_edges, "v", "u")
@@ -105,6 +116,8 @@ def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str =
               .join(core_lab.select(F.col("vertex").alias("v")), "v", "left_anti")
               .groupBy("v").agg(F.min("l").alias("label")).withColumnRenamed("v", "vertex"))
     labelled = core_lab.unionByName(border)
+    if members is not None:
+        labelled = members.join(labelled, F.col("rep") == F.col("vertex")).select(F.col("id").alias("vertex"), "label")
     return (points.select(F.col(id_col).alias("id"))
             .join(labelled.withColumnRenamed("vertex", "id"), "id", "left")
             .select("id", F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label")))

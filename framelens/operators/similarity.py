@@ -14,9 +14,12 @@ et al. 2007), with no Cartesian product:
   dropped before verification; survivors get the exact dot by a long-form
   join and the final test 1 - dot <= eps.
 
-The candidate join is an equi-join on token (shuffle; AQE splits skewed
-token partitions) and the partial dots a (src, dst) hash aggregate with
-map-side combine.
+The candidate join is an equi-join on token; a token with more than
+``cell_rows`` prefix rows is dealt into parts and joined part by part, so no
+key yields more than cell_rows^2 candidates. The partial dots are a (src, dst)
+hash aggregate with map-side combine. Copies are collapsed before the join
+(``vector_classes``): it runs on one vector per class, and links between
+copies are never enumerated.
 
 Dense (float arrays) — exact blocked join: rows hash into B blocks, each
 vector is replicated to the B block pairs it belongs to, and each block pair
@@ -34,7 +37,34 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelens.session import checkpoint_dir
+
 SLACK = 1e-9
+#: Prefix rows of one token that meet in one key of the candidate join.
+CELL_ROWS = 2000
+
+
+def vector_classes(vec: DataFrame) -> DataFrame:
+    """(id, rep, n): every vector's class of equal vectors, named by its least
+    id, and the class size. Vectors are told apart by a 128-bit hash of their
+    (token, tf) rows, folded per id without gathering them."""
+    fold = lambda seed: F.bit_xor(F.xxhash64("token", "tf", F.lit(seed)))
+    keys = vec.groupBy("id").agg(fold(3).alias("k1"), fold(4).alias("k2"), F.count(F.lit(1)).alias("k3"))
+    classes = keys.groupBy("k1", "k2", "k3").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return keys.join(classes, ["k1", "k2", "k3"]).select("id", "rep", "n")
+
+
+def representatives(vec: DataFrame, classes: DataFrame) -> DataFrame:
+    """The vectors that name a class."""
+    return vec.join(classes.where("id = rep").select("id"), "id", "left_semi")
+
+
+def _cells(prefix: DataFrame, cell_rows: int) -> DataFrame:
+    """Prefix rows with the part of their token they fall in, and its number of parts."""
+    hot = (prefix.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
+           .where(F.col("parts") > 1))
+    dealt = prefix.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
 
 def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +88,8 @@ def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> tuple[Da
              .withColumn("_bnd", F.least(F.sqrt("_suf2"), F.col("_sufm"))))
     else:
         v = v.withColumn("_bnd", F.sqrt("_suf2"))
-    v = v.withColumn("_in", F.col("_bnd") >= F.lit(s - SLACK))
+    # stored: the prefix is read three times (hot tokens, both sides of the join), the stats once
+    v = v.withColumn("_in", F.col("_bnd") >= F.lit(s - SLACK)).select("id", "token", "df", "w", "_bnd", "_in").checkpoint()
     stats = v.groupBy("id").agg(
         F.max(F.when(F.col("_in"), F.struct("df", "token"))).alias("_b"),
         F.coalesce(F.max(F.when(~F.col("_in"), F.col("_bnd"))), F.lit(0.0)).alias("rest"))
@@ -68,7 +99,7 @@ def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> tuple[Da
 
 
 def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
-                           use_maxw: bool = False) -> DataFrame:
+                           use_maxw: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(src, dst, dot, dist) for src < dst with dist = clip(1 - dot, 0, 2) <= eps.
 
     ``vec``: (id, token, df, w), unit norm per id. ``s`` in (0, t] trades
@@ -77,14 +108,17 @@ def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
     eps 0.4, s = 0.5 halves the candidates of s = 0.4 while still pruning them
     to a small verify set; s = t prunes nothing.
     """
+    checkpoint_dir(vec.sparkSession)
     t = 1.0 - eps
     if t <= 0:
         raise ValueError("eps >= 1 admits orthogonal pairs; use the dense join")
     s = max(t - 0.1, t / 2) if s is None else min(s, t)
     prefix, stats = prefix_entries(vec, s, use_maxw)
-    a = prefix.select(F.col("id").alias("src"), "token", F.col("w").alias("wa"))
-    b = prefix.select(F.col("id").alias("dst"), "token", F.col("w").alias("wb"))
-    cand = (a.join(b, "token").where(F.col("src") < F.col("dst"))
+    cells = _cells(prefix, cell_rows)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    a = cells.select(F.col("id").alias("src"), "token", F.col("w").alias("wa"), F.col("part").alias("ca"), every.alias("cb"))
+    b = cells.select(F.col("id").alias("dst"), "token", F.col("w").alias("wb"), every.alias("ca"), F.col("part").alias("cb"))
+    cand = (a.join(b, ["token", "ca", "cb"]).where(F.col("src") < F.col("dst"))
             .groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("pd")))
     sa = stats.select(F.col("id").alias("src"), F.struct(F.col("b_df"), F.col("b_tok")).alias("ba"),
                       F.col("rest").alias("ra"))
@@ -215,23 +249,43 @@ def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "e
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def lsh_plan(n: int, eps: float, recall: float = 0.98, max_bits: int = 16) -> tuple[int, int]:
+    """(bands, bits a band): bits grow with log n, so a band's buckets stay
+    small; then as many bands as a pair at distance ``eps`` needs to share one
+    with probability ``recall``."""
+    bits = max(4, min(max_bits, round(math.log2(max(n, 2))) - 5))
+    agree = 1 - math.acos(max(-1.0, min(1.0, 1 - eps))) / math.pi
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-agree ** bits))), bits
+
+
 def lsh_candidates(df: DataFrame, eps: float, id_col: str = "vec_id", vec_col: str = "embedding",
-                   bands: int = 16, rows_per_band: int = 6, seed: int = 42) -> DataFrame:
+                   bands: int | None = None, rows_per_band: int | None = None, seed: int = 42) -> DataFrame:
     """Approximate mode: random-hyperplane signatures, bands as equi-join keys,
-    exact cosine verification (precision 1, recall set by bands x rows)."""
+    exact cosine verification (precision 1). ``lsh_plan`` sets the bands unless
+    they are given. Signatures are one matrix product per Arrow batch."""
+    from collections.abc import Iterator
+
     import numpy as np
+    import pandas as pd
 
-    dim = len(df.select(vec_col).first()[0])
+    first = df.select(vec_col).first()
+    dim = len(first[0]) if first else 1
+    if bands is None or rows_per_band is None:
+        bands, rows_per_band = lsh_plan(df.count(), eps)
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((bands * rows_per_band, dim)).tolist()
+    planes = rng.standard_normal((dim, bands * rows_per_band))
+    place = 1 << np.arange(rows_per_band, dtype=np.int64)
     v = F.col(vec_col).cast("array<double>")
-    bits = [F.when(F.aggregate(F.zip_with(v, F.array(*[F.lit(x) for x in p]), lambda a, b: a * b),
-                               F.lit(0.0), lambda acc, x: acc + x) >= 0, F.lit(1)).otherwise(F.lit(0))
-            for p in planes]
-    band_keys = [F.concat_ws("", *[bits[b * rows_per_band + r].cast("string") for r in range(rows_per_band)])
-                 for b in range(bands)]
-    sig = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"),
-                    F.posexplode(F.array(*band_keys)).alias("band", "key"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                x = np.stack(b["v"].iloc[k:k + 256].to_numpy())
+                keys = ((x @ planes) >= 0).reshape(len(x), bands, rows_per_band) @ place
+                yield pd.DataFrame({"id": np.repeat(b["id"].iloc[k:k + 256].to_numpy(), bands),
+                                    "band": np.tile(np.arange(bands), len(x)), "key": keys.ravel()})
+
+    sig = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInPandas(sign, "id long, band long, key long")
     a = sig.select(F.col("id").alias("src"), "band", "key")
     b = sig.select(F.col("id").alias("dst"), "band", "key")
     pairs = a.join(b, ["band", "key"]).where(F.col("src") < F.col("dst")).select("src", "dst").distinct()

@@ -139,9 +139,22 @@ def _doc_vectors(spark, sf_dir):
     return tfidf.tfidf(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _doc_edges(spark, sf_dir, vec=None):
-    vec = _doc_vectors(spark, sf_dir) if vec is None else vec
-    return similarity.sparse_similarity_join(vec, DBSCAN_EPS)
+def text_neighbours(vec):
+    """(classes of equal vectors, edges between their representatives), from stored vectors."""
+    classes = similarity.vector_classes(vec).checkpoint()
+    return classes, similarity.sparse_similarity_join(similarity.representatives(vec, classes), DBSCAN_EPS)
+
+
+def text_clusters(vec, docs, min_samples=DBSCAN_MIN_SAMPLES, id_col="id"):
+    """(classes, edges, labels) of DBSCAN over the texts' vectors."""
+    classes, edges = text_neighbours(vec)
+    edges = edges.checkpoint()
+    return classes, edges, components.dbscan(docs, edges, min_samples, id_col=id_col, members=classes)
+
+
+def _doc_clusters(spark, sf_dir, min_samples=DBSCAN_MIN_SAMPLES):
+    checkpoint_dir(spark)
+    return text_clusters(_doc_vectors(spark, sf_dir).checkpoint(), fx.table(spark, sf_dir, "documents"), min_samples, "doc_id")
 
 
 @query("text_vectors")
@@ -153,29 +166,36 @@ def q_text_vectors(spark, sf_dir):
 
 @query("similar_pairs")
 def q_similar_pairs(spark, sf_dir):
-    return _doc_edges(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist"))
+    """Pairs between the representatives of equal vectors; ``similar_classes`` has the membership."""
+    checkpoint_dir(spark)
+    _, edges = text_neighbours(_doc_vectors(spark, sf_dir).checkpoint())
+    return edges.select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
-def _event_labels(spark, sf_dir, min_samples=DBSCAN_MIN_SAMPLES):
-    docs = fx.table(spark, sf_dir, "documents")
-    edges = _doc_edges(spark, sf_dir).checkpoint()
-    return edges, components.dbscan(docs, edges, min_samples, id_col="doc_id")
+@query("similar_classes")
+def q_similar_classes(spark, sf_dir):
+    return similarity.vector_classes(_doc_vectors(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 @query("event_labels")
 def q_event_labels(spark, sf_dir):
-    _, lab = _event_labels(spark, sf_dir)
+    lab = _doc_clusters(spark, sf_dir)[2]
     return lab.withColumnRenamed("id", "doc_id")
 
 
-def cluster_stats(labels, edges):
-    """(n_edges, n_clusters, n_noise, largest_cluster) in one global aggregate."""
+def cluster_stats(labels, edges, classes):
+    """(n_edges, n_clusters, n_noise, largest_cluster) in one global aggregate.
+    The links among copies are counted from the class sizes."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("cnt")).select(
-        "label", "cnt", F.lit(0).alias("e"))
-    ones = edges.select(F.lit(None).cast("long").alias("label"), F.lit(0).cast("long").alias("cnt"),
-                        F.lit(1).alias("e"))
+        "label", "cnt", F.lit(0).cast("long").alias("e"))
+    reps = classes.where("id = rep").select("id", "n")
+    across = (edges.join(reps.toDF("src", "a"), "src").join(reps.toDF("dst", "b"), "dst")
+              .select((F.col("a") * F.col("b")).alias("e")))
+    within = reps.where("n > 1").select(F.expr("n * (n - 1) div 2").alias("e"))
+    ones = across.unionByName(within).select(
+        F.lit(None).cast("long").alias("label"), F.lit(0).cast("long").alias("cnt"), "e")
     return sizes.unionByName(ones).agg(
-        F.sum("e").cast("long").alias("n_edges"),
+        F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("n_edges"),
         F.count_if(F.col("label") >= 0).alias("n_clusters"),
         F.coalesce(F.sum(F.when(F.col("label") == -1, F.col("cnt"))), F.lit(0)).cast("long").alias("n_noise"),
         F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("cnt"))), F.lit(0)).cast("long")
@@ -184,13 +204,13 @@ def cluster_stats(labels, edges):
 
 @query("cluster_stats")
 def q_cluster_stats(spark, sf_dir):
-    edges, lab = _event_labels(spark, sf_dir)
-    return cluster_stats(lab, edges)
+    classes, edges, lab = _doc_clusters(spark, sf_dir)
+    return cluster_stats(lab, edges, classes)
 
 
 @query("dbscan_general")
 def q_dbscan_general(spark, sf_dir):
-    _, lab = _event_labels(spark, sf_dir, min_samples=3)
+    lab = _doc_clusters(spark, sf_dir, min_samples=3)[2]
     return lab.withColumnRenamed("id", "doc_id")
 
 
@@ -231,10 +251,9 @@ def narrative_rows(spark, classified, embedder=None):
     # cut points: vectors (read by four branches of the join), edges, labels
     if embedder:
         edges = similarity.dense_similarity_join(embedder(docs).checkpoint(), DBSCAN_EPS, "id", "v").checkpoint()
+        labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
     else:
-        vec = tfidf.tfidf(docs, "id", "text").checkpoint()
-        edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
-    labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
+        labels = text_clusters(tfidf.tfidf(docs, "id", "text").checkpoint(), docs)[2].checkpoint()
     return narrative.event_rows(classified, labels)
 
 
@@ -363,7 +382,7 @@ def q_classify_batches(spark, sf_dir):
 @query("lexicon_tactics")
 def q_lexicon_tactics(spark, sf_dir):
     rows = _clean_rows(spark, sf_dir).select(
-        "row_idx", F.coalesce(F.col("full_text"), F.lit("nan")).alias("text"))
+        "row_idx", F.coalesce(F.col("full_text"), F.lit("")).alias("text"))
     return inference.lexicon_tactics(spark, rows)
 
 
@@ -449,6 +468,18 @@ def q_similar_pairs_lsh(spark, sf_dir):
     return e.select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
+@query("lsh_recall")
+def q_lsh_recall(spark, sf_dir):
+    """Pairs of the exact dense join, and whether the LSH mode finds at least 95% of them and no other."""
+    emb = fx.table(spark, sf_dir, "embeddings")
+    exact = similarity.dense_similarity_join(emb, DENSE_EPS).select("src", "dst", F.lit(1).alias("e"))
+    found = similarity.lsh_candidates(emb, DENSE_EPS).select("src", "dst", F.lit(1).alias("f"))
+    both = exact.join(found, ["src", "dst"], "full_outer").agg(
+        F.count("e").alias("n_pairs"), F.count_if(F.col("e").isNull()).alias("n_false"),
+        F.count_if(F.col("f").isNotNull() & F.col("e").isNotNull()).alias("hit"))
+    return both.select("n_pairs", "n_false", (F.col("hit") * 20 >= F.col("n_pairs") * 19).alias("recall_ok"))
+
+
 @query("key_phrase")
 def q_key_phrase(spark, sf_dir):
     k = phrases.key_phrases(fx.table(spark, sf_dir, "documents"))
@@ -463,9 +494,9 @@ def narrative_rows_with_coords(spark, classified):
     then PCA(3)); coordinates are attached by an equi-join on row_idx."""
     docs = classified.select(F.col("row_idx").alias("id"),
                              F.coalesce(F.col("full_text"), F.col("title")).alias("text"))
+    checkpoint_dir(spark)
     vec = tfidf.tfidf(docs, "id", "text").checkpoint()
-    edges = similarity.sparse_similarity_join(vec, DBSCAN_EPS).checkpoint()
-    labels = components.dbscan(docs, edges, DBSCAN_MIN_SAMPLES, id_col="id").checkpoint()
+    labels = text_clusters(vec, docs)[2].checkpoint()
     coords, _ = projection.pca_coordinates(projection.hashed_dense(vec), "id", "v")
     with_xyz = classified.join(coords.withColumnRenamed("id", "row_idx"), "row_idx", "left")
     return narrative.event_rows(with_xyz, labels)

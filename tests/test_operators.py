@@ -362,3 +362,43 @@ def test_report_round_trip_with_coords_and_maps(spark):
     assert len(d.headlines) == d.headline_count
     with pytest.raises(FileNotFoundError):
         report.narratives(spark, path + "-missing")
+
+
+def test_hot_tokens_split_and_copies_collapsed(spark):
+    from framelens.operators import components, similarity, tfidf
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(k, " ".join(["common", "shared", *words[:k % 4], f"own{k // 3}"])) for k in range(60)] + [(99, ""), (100, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    vec = tfidf.tfidf(docs, "id", "text").checkpoint()
+    pairs = lambda **kw: {(r.src, r.dst): round(r.dist, 6) for r in similarity.sparse_similarity_join(vec, 0.4, **kw).collect()}
+    whole = pairs(cell_rows=10_000)
+    assert whole and pairs(cell_rows=3) == whole
+    again = spark.createDataFrame([(i + 1000 * c, t) for c in range(3) for i, t in rows], "id long, text string")
+    vec = tfidf.tfidf(again, "id", "text").checkpoint()
+    classes = similarity.vector_classes(vec).checkpoint()
+    assert all(r.n >= 3 and r.rep <= r.id for r in classes.collect())
+    every = similarity.sparse_similarity_join(vec, 0.4).select("src", "dst").checkpoint()
+    reps = similarity.sparse_similarity_join(similarity.representatives(vec, classes), 0.4).select("src", "dst").checkpoint()
+    assert reps.count() < every.count() / 4
+    for least in (2, 8, 30):
+        plain = {tuple(r) for r in components.dbscan(again, every, least).collect()}
+        assert {tuple(r) for r in components.dbscan(again, reps, least, members=classes).collect()} == plain
+
+
+def test_translation_in_pieces_loses_nothing(spark):
+    from framelens.operators import ingest
+    text = "".join(chr(97 + k % 26) + ("\n" if k % 97 == 0 else "é") for k in range(1500))
+    df = spark.createDataFrame([("fr", text), ("en", text), ("fr", ""), ("fr", None)], "lang string, text string")
+    got = df.select("lang", ingest.translate_route(F.col("text"), F.col("lang"), lambda p: F.concat(p, F.lit("|"))).alias("t")).collect()
+    assert got[0].t.replace("|", "") == text and got[0].t.count("|") == -(-len(text) // 800)
+    assert got[1].t == text and got[2].t == "" and got[3].t is None
+
+
+def test_fuzzy_weights_do_not_depend_on_other_rows_of_the_batch(spark):
+    from framelens.operators import projection
+    short = [(1, 2, 0.5, 2), (1, 3, 0.9, 3)]
+    full = [(10, 20 + k, 0.1 * (k + 1), k + 2) for k in range(9)]
+    graph = lambda rows: {(r.src, r.dst): round(r.w, 9) for r in projection.fuzzy_graph(
+        spark.createDataFrame(rows, "id long, nbr long, dist double, rank int").coalesce(1), 10).collect()}
+    alone = graph(short)
+    assert {k: v for k, v in graph(short + full).items() if k[0] == 1} == alone
