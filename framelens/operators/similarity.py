@@ -3,16 +3,18 @@
 Sparse (TF-IDF, long form) — prefix filtering (Chaudhuri et al. 2006; Bayardo
 et al. 2007), with no Cartesian product:
 
-* Order tokens globally rarest first, by (df, token). For each unit vector x,
-  its *prefix* is the run of tokens whose suffix norm (norm of x from that
-  token on, inclusive) is >= s; ``rest_x`` = norm of what follows, < s.
-* A pair with cos >= t must share a prefix token (s <= t). Joining prefixes on
-  token and summing w_x*w_y gives a partial dot ``pd``.
-* Every common token outside both prefixes lies after the earlier of the two
-  prefix boundaries, in that vector's suffix, so cos <= pd + rest_b where b
-  is the vector whose boundary comes first. Pairs with pd + rest_b < t are
-  dropped before verification; survivors get the exact dot by a long-form
-  join and the final test 1 - dot <= eps.
+* Order tokens globally rarest first, by (df, token). The *suffix norm* of a
+  unit vector x at a token is the norm of x from that token on, inclusive. The
+  *prefix* of x is the run of tokens whose suffix norm is >= s.
+* All that x and y have in common from token k on is at most the product of
+  their suffix norms at k, and that product only falls along the order. A pair
+  with cos >= t has a product >= t >= s at its first common token. So prefixes
+  are joined on token, and of the matches only those with a product >= s are
+  kept: a leading run of the pair's common tokens.
+* Summing w_x*w_y over them gives a partial dot ``pd``. What the pair has in
+  common behind the last of them is at most the product of the norms behind
+  it, and less than s. Pairs with pd + that bound < t are dropped; survivors
+  get the exact dot by a long-form join and the final test 1 - dot <= eps.
 
 The candidate join is an equi-join on token; a token with more than
 ``cell_rows`` prefix rows is dealt into parts and joined part by part, so no
@@ -67,9 +69,9 @@ def _cells(prefix: DataFrame, cell_rows: int) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
 
-def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Split unit vectors (id, token, df, w) into prefix rows and per-id
-    boundary stats (id, b_df, b_tok, rest).
+def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> DataFrame:
+    """The prefix rows (id, token, w, suf, after) of unit vectors (id, token,
+    df, w): ``suf`` is the norm from the token on, ``after`` that behind it.
 
     The suffix bound of x from token k on is
     min(||x_>=k||, sum_{j>=k} x_j * maxw_j) with maxw_j the largest weight of
@@ -80,22 +82,16 @@ def prefix_entries(vec: DataFrame, s: float, use_maxw: bool = False) -> tuple[Da
     """
     w_desc = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("token")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = vec.withColumn("_suf2", F.sum(F.col("w") * F.col("w")).over(w_desc))
+    square = F.col("w") * F.col("w")
+    v = vec.withColumn("_suf2", F.sum(square).over(w_desc)).withColumn("suf", F.sqrt("_suf2"))
+    bound = F.col("suf")
     if use_maxw:
         maxw = vec.groupBy("token").agg(F.max("w").alias("_mw"))
-        v = (v.join(maxw, "token")
-             .withColumn("_sufm", F.sum(F.col("w") * F.col("_mw")).over(w_desc))
-             .withColumn("_bnd", F.least(F.sqrt("_suf2"), F.col("_sufm"))))
-    else:
-        v = v.withColumn("_bnd", F.sqrt("_suf2"))
-    # stored: the prefix is read three times (hot tokens, both sides of the join), the stats once
-    v = v.withColumn("_in", F.col("_bnd") >= F.lit(s - SLACK)).select("id", "token", "df", "w", "_bnd", "_in").checkpoint()
-    stats = v.groupBy("id").agg(
-        F.max(F.when(F.col("_in"), F.struct("df", "token"))).alias("_b"),
-        F.coalesce(F.max(F.when(~F.col("_in"), F.col("_bnd"))), F.lit(0.0)).alias("rest"))
-    stats = stats.select("id", F.col("_b.df").alias("b_df"), F.col("_b.token").alias("b_tok"), "rest")
-    prefix = v.where("_in").select("id", "token", "w")
-    return prefix, stats
+        v = v.join(maxw, "token").withColumn("_sufm", F.sum(F.col("w") * F.col("_mw")).over(w_desc))
+        bound = F.least("suf", "_sufm")
+    after = F.sqrt(F.greatest(F.col("_suf2") - square, F.lit(0.0))).alias("after")
+    # stored: read three times (hot tokens, both sides of the join)
+    return v.where(bound >= F.lit(s - SLACK)).select("id", "token", "w", "suf", after).checkpoint()
 
 
 def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
@@ -103,30 +99,22 @@ def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
     """(src, dst, dot, dist) for src < dst with dist = clip(1 - dot, 0, 2) <= eps.
 
     ``vec``: (id, token, df, w), unit norm per id. ``s`` in (0, t] trades
-    candidate-join size (larger s, shorter prefixes) against pruning power
-    (pd + rest >= t with rest < s). Default t - 0.1: on the test corpus at
-    eps 0.4, s = 0.5 halves the candidates of s = 0.4 while still pruning them
-    to a small verify set; s = t prunes nothing.
+    candidate-join size (larger s, shorter prefixes) against pruning power.
     """
     checkpoint_dir(vec.sparkSession)
     t = 1.0 - eps
     if t <= 0:
         raise ValueError("eps >= 1 admits orthogonal pairs; use the dense join")
     s = max(t - 0.1, t / 2) if s is None else min(s, t)
-    prefix, stats = prefix_entries(vec, s, use_maxw)
-    cells = _cells(prefix, cell_rows)
+    cells = _cells(prefix_entries(vec, s, use_maxw), cell_rows)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    a = cells.select(F.col("id").alias("src"), "token", F.col("w").alias("wa"), F.col("part").alias("ca"), every.alias("cb"))
-    b = cells.select(F.col("id").alias("dst"), "token", F.col("w").alias("wb"), every.alias("ca"), F.col("part").alias("cb"))
-    cand = (a.join(b, ["token", "ca", "cb"]).where(F.col("src") < F.col("dst"))
-            .groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("pd")))
-    sa = stats.select(F.col("id").alias("src"), F.struct(F.col("b_df"), F.col("b_tok")).alias("ba"),
-                      F.col("rest").alias("ra"))
-    sb = stats.select(F.col("id").alias("dst"), F.struct(F.col("b_df"), F.col("b_tok")).alias("bb"),
-                      F.col("rest").alias("rb"))
-    bound = F.when(F.col("ba") <= F.col("bb"), F.col("ra")).otherwise(F.col("rb"))
-    keep = (cand.join(sa, "src").join(sb, "dst")
-            .where(F.col("pd") + bound >= F.lit(t - SLACK)).select("src", "dst"))
+    side = lambda x: [F.col("w").alias(f"w{x}"), F.col("suf").alias(f"suf{x}"), F.col("after").alias(f"after{x}")]
+    a = cells.select(F.col("id").alias("src"), "token", *side("a"), F.col("part").alias("ca"), every.alias("cb"))
+    b = cells.select(F.col("id").alias("dst"), "token", *side("b"), every.alias("ca"), F.col("part").alias("cb"))
+    near = (F.col("src") < F.col("dst")) & (F.col("sufa") * F.col("sufb") >= F.lit(s - SLACK))
+    keep = (a.join(b, ["token", "ca", "cb"]).where(near).groupBy("src", "dst")
+            .agg(F.sum(F.col("wa") * F.col("wb")).alias("pd"), F.min(F.col("aftera") * F.col("afterb")).alias("rest"))
+            .where(F.col("pd") + F.least("rest", F.lit(s)) >= F.lit(t - SLACK)).select("src", "dst"))
     va = vec.select(F.col("id").alias("src"), "token", F.col("w").alias("wa"))
     vb = vec.select(F.col("id").alias("dst"), "token", F.col("w").alias("wb"))
     dots = (keep.join(va, "src").join(vb, ["dst", "token"])
