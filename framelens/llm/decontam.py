@@ -203,13 +203,12 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarr
         size += len(raw) + 1
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
-              repetitions: int = REPETITIONS, chunk: int = 20_000) -> DataFrame:
-    """(id_col, item_id, edits, start): the closest run of each item within the similarity in each document;
-    ``start`` counts the document's words from 0."""
+def row_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
+             repetitions: int = REPETITIONS, chunk: int = 20_000) -> DataFrame:
+    """``find_hits`` with h, the hash of the text that was hit; the id is named id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     passes = max(1, -(-items.count() // chunk))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
@@ -222,7 +221,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index, names = shared.value
             for b in batches:
-                ids, found = b["id"].tolist(), []
+                ids, hashes, found = b["id"].tolist(), b["h"].tolist(), []
                 for first, last, raw, ends in _groups(b["text"].tolist()):
                     if last == first:
                         continue
@@ -233,20 +232,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                     doc = np.searchsorted(bound, cands[:, 1] + span // 2, "right") - 1
                     for d in np.unique(doc[(doc >= 0) & (doc < last - first)]).tolist():
                         mine = hits(index, words, int(bound[d]), int(bound[d + 1]), cands[doc == d], similarity)
-                        found += [(ids[first + d], names[i], e, s) for i, (e, s) in mine.items()]
-                yield pd.DataFrame(found, columns=["id", "item_id", "edits", "start"]).astype({"id": "Int64", "item_id": "Int64"})
+                        found += [(ids[first + d], hashes[first + d], names[i], e, s) for i, (e, s) in mine.items()]
+                yield pd.DataFrame(found, columns=["id", "h", "item_id", "edits", "start"]).astype({"id": "Int64", "item_id": "Int64"})
 
-        hit = rows.mapInPandas(run, "id long, item_id long, edits long, start long")
+        hit = rows.mapInPandas(run, "id long, h long, item_id long, edits long, start long")
         out = hit if out is None else out.unionByName(hit)
-    return out.withColumnRenamed("id", id_col)
+    return out
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
+              repetitions: int = REPETITIONS, chunk: int = 20_000) -> DataFrame:
+    """(id_col, item_id, edits, start): the closest run of each item within the similarity in each document;
+    ``start`` counts the document's words from 0."""
+    return row_hits(docs, benchmark, id_col, text_col, similarity, repetitions, chunk).select(F.col("id").alias(id_col), "item_id", "edits", "start")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without doc_id stay.
-
-    A document without id can't be named by a hit: it is dropped if any such document is hit.
-    """
-    found = cut(find_hits(docs, benchmark, similarity=similarity).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    nulls_go = F.lit(found.where("_hit is null").limit(1).count() > 0)
-    kept = docs.join(found.where("_hit is not null"), F.col("doc_id") == F.col("_hit"), "left_anti")
-    return kept.where(~(F.col("doc_id").isNull() & nulls_go))
+    """``docs`` without the rows that hold a benchmark item. Rows are told apart by doc_id and text, so rows without
+    doc_id, or of one doc_id with unlike texts, are judged each by its own text."""
+    found = cut(row_hits(docs, benchmark, similarity=similarity).select(F.col("id").alias("_hit"), F.col("h").alias("_h")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64("text") == F.col("_h")), "left_anti")

@@ -57,16 +57,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
+    """(id, h, fp): h is the hash of the text, fp holds the 64 bits as a signed long."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    return rows.mapInPandas(run, "id long, h long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -175,9 +175,8 @@ def hamming_links(unique: DataFrame, n: int, limit: int) -> DataFrame:
     return work.repartition(max(blocks_n, work.sparkSession.sparkContext.defaultParallelism)).mapInPandas(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 2) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of ``docs``."""
+def groups_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(id, h, fp, component_id, group) for every row; ``group`` tells components apart whatever ids they hold."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     unique = cut(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "unique-fps")
     sizes = unique.agg(F.count(F.lit(1)).alias("u"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
@@ -186,24 +185,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = unique.join(comps.withColumnRenamed("vertex", "fp"), "fp", "left")
     least = linked.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))
     groups = cut(linked.where("comp is not null or n > 1").join(least, "comp", "left")
-                 .select("fp", "n", F.coalesce("least", "rep").alias("component_id")), "simhash-groups")
-    out = attach(fps, groups, "fp", "n", sizes.t)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                      F.coalesce("component_id", "id").alias("component_id"))
+                 .select("fp", "n", F.coalesce("least", "rep").alias("component_id"), F.coalesce("comp", "fp").alias("group")), "simhash-groups")
+    return attach(fps, groups, "fp", "n", sizes.t).select("id", "h", "fp", F.coalesce("component_id", "id").alias("component_id"),
+                                                          F.coalesce("group", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    max_bits: int = 2) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row of ``docs``."""
+    out = groups_of(docs, id_col, text_col, shingle, max_bits)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each near-duplicate group.
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, rows without one last.
 
-    A doc_id stands for one document: of rows that repeat it, one stays. Rows without doc_id stay unless a
-    document with one is in their group.
+    Rows are told apart by doc_id and text: rows of one doc_id with unlike texts are judged each by its own group.
     """
-    groups = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .select(F.col("doc_id").alias("_out")).distinct(), "simhash-out")
-    nulls_go = F.lit(gone.where("_out is null").limit(1).count() > 0)
-    kept = docs.join(gone.where("_out is not null"), F.col("doc_id") == F.col("_out"), "left_anti")
-    named = F.col("doc_id").isNotNull()
-    seen = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    return (kept.where(named | ~nulls_go).withColumn("_seen", seen)
-            .where(~named | (F.col("_seen") == 1)).drop("_seen"))
+    rows = cut(groups_of(docs, "doc_id", "text", shingle, max_bits).select("group", F.struct(F.col("id").isNull().alias("last"), "id", "h").alias("r")), "simhash-rows")
+    stays = rows.groupBy("group").agg(F.min("r").alias("r")).select("r").distinct()
+    gone = rows.select("r").distinct().join(stays, "r", "left_anti").select(F.col("r.id").alias("_out"), F.col("r.h").alias("_h"))
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(
+        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_out")) & (F.col("_text") == F.col("_h")), "left_anti")
+    seen = F.row_number().over(W.partitionBy("doc_id", "_text").orderBy("doc_id"))
+    return kept.withColumn("_seen", seen).where(F.col("_seen") == 1).select(*docs.columns)

@@ -209,6 +209,17 @@ def test_decontam_odd_rows(spark, odd):
     assert sorted(r.doc_id for r in decontam.keep_clean(odd, bench).collect()) == [1, 2, 4, 5]
 
 
+def test_stages_judge_rows_by_id_and_text(spark):
+    """Rows without id, or of one id with unlike texts, go or stay by their own text."""
+    clean, near, leak = ("the quick brown fox jumps over it", "seven wet ducks sat near some old pond", "an item of the test set is here")
+    texts = [(None, clean), (None, leak), (5, near), (5, leak), (5, leak), (3, near), (None, near), (None, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1, "") for i, t in texts], DOCS)
+    bench = spark.createDataFrame([(0, "item of the test set")], "item_id long, text string")
+    order = lambda df: sorted(((r.doc_id or -1), r.text) for r in df.collect())
+    assert order(decontam.keep_clean(rows, bench)) == sorted((i or -1, t) for i, t in texts if t != leak)
+    assert order(simhash.keep_one(rows)) == sorted([(-1, clean), (5, leak), (3, near), (-1, "")])
+
+
 # 8
 def test_secrets_against_plain_patterns(spark, docs):
     got = {r.doc_id: r for r in queries.op8_secrets(spark, SF_SMALL).collect()}
