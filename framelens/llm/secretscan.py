@@ -4,7 +4,9 @@ Fixed formats (``assign``, ``access``, ``hex``) are found by pattern. Their matc
 documents are the labelled credentials. Per kind, a prefix-tree automaton over character classes is built from
 them and its statistically compatible states are merged (ALERGIA, Carrasco and Oncina 1994: red-blue order,
 Hoeffding test), which leaves a small probabilistic automaton with loops that also accepts lengths and strings
-not seen. Every long unbroken token of every whole text is a candidate: it becomes a ``learned`` span when its
+not seen. Every unbroken run of token characters of every whole text that is as long as the shortest labelled
+credential is a candidate, and so are its parts: without the punctuation at its ends, behind its first ``=``, and
+between its ``=`` signs. A candidate becomes a ``learned`` span when its
 mean log-likelihood per symbol under an automaton is typical of the credentials (neither lower nor higher than
 all but a few of theirs: an upper-case word is likelier than a random key), and higher than under the automaton
 learned from ordinary tokens.
@@ -31,7 +33,10 @@ from framelens.llm.common import bounded_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the short ones can be passed over at once
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 8  # no label is shorter
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PART = re.compile(r"[^=]+=*")  # trailing '=' may be padding
+EDGE = ".=-"
 KINDS = ("assign", "access", "hex", "learned")
 CLASS = {c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "x" for c in "abcdef"} | {c: "9" for c in "0123456789"}
 
@@ -65,6 +70,25 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in in_order(spans))
 
 
+def candidates(text: str, shortest: int) -> Iterator[list[Span]]:
+    """Per run of token characters the stretches that may be a key, widest first; linear in the text."""
+    def trims(a: int, b: int) -> Iterator[tuple[int, int]]:
+        yield a, b
+        part = text[a:b]
+        a, b = b - len(part.lstrip(EDGE)), a + len(part.rstrip(EDGE))
+        yield a, b
+
+    for m in TOKEN.finditer(text):
+        if len(m[0]) < shortest:
+            continue
+        found = [*trims(*m.span())]
+        if "=" in m[0]:
+            found += trims(m.start() + m[0].index("=") + 1, m.end())
+            for p in PART.finditer(text, *m.span()):
+                found += trims(*p.span())
+        yield [("learned", a, b) for a, b in dict.fromkeys(found) if b - a >= shortest]
+
+
 def symbols(text: str) -> str:
     """The character classes of a token; punctuation stands for itself."""
     return "".join(CLASS.get(c, c) for c in text)
@@ -156,6 +180,7 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], miss: float = 0.05):
         self.kinds = []
+        self.shortest = min((len(s) for v in labelled.values() for s in v), default=SHORTEST)
         for strings in (labelled[k] for k in sorted(labelled)):
             shapes = [symbols(s) for s in strings]
             if len(shapes) >= 5:
@@ -176,9 +201,15 @@ class Formats:
         return self.known[shape]
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Accepted tokens that touch no base span."""
-        taken = Cover(base)
-        return [("learned", *m.span()) for m in TOKEN.finditer(text) if taken.free(*m.span()) and self.accepts(m[0])]
+        """Accepted candidates that touch no base span; of overlapping ones the widest."""
+        taken, found = Cover(base), []
+        for tries in candidates(text, self.shortest):
+            first, last = len(text), 0  # the accepted ones of this run lie within; parts come in order
+            for s in tries:
+                if (s[2] <= first or last <= s[1]) and taken.free(s[1], s[2]) and self.accepts(text[s[1]:s[2]]):
+                    found.append(s)
+                    first, last = min(first, s[1]), max(last, s[2])
+        return found
 
 
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 20_000, per_kind: int = 400) -> Formats:
@@ -198,14 +229,16 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
                 rows.update(("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
                 rows.update((k, text[x:y]) for k, x, y in base if k != "assign")
                 taken = Cover(base)
-                rows.update(("ordinary", m[0]) for m in TOKEN.finditer(text) if taken.free(*m.span()))
+                rows.update(("ordinary", text[x:y]) for tries in candidates(text, SHORTEST) for _, x, y in tries if taken.free(x, y))
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
     order = F.xxhash64("value")
     got = {}
     found = sample.mapInPandas(find, "kind string, value string").distinct().persist()
     for kind in ("assign", "access", "hex", "ordinary"):
-        got[kind] = [r.value for r in found.where(F.col("kind") == kind).orderBy(order, "value").limit(per_kind).collect()]
+        shortest = min((len(s) for v in got.values() for s in v), default=SHORTEST)
+        long = F.length("value") >= (shortest if kind == "ordinary" else 0)
+        got[kind] = [r.value for r in found.where((F.col("kind") == kind) & long).orderBy(order, "value").limit(per_kind).collect()]
     found.unpersist()
     return Formats({k: v for k, v in got.items() if k != "ordinary"}, got["ordinary"])
 

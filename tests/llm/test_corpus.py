@@ -238,6 +238,23 @@ def test_learned_formats():
     assert not f.accepts("internationalisation") and not f.accepts("INTERNATIONALISATIONABC")
 
 
+def test_learned_keys_behind_names_and_before_full_stops():
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    ordinary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(8, 24))) for _ in range(200)]
+    f = secretscan.Formats({"assign": [key(24) for _ in range(300)]}, ordinary)
+    for before, after in (("auth=", ""), ("see ", ". Then"), ("--aws-key=", "."), ("a=1=", " b"), ("", "")):
+        hit = 0
+        for _ in range(50):
+            k = key(24)
+            hit += f.spans(before + k + after, []) == [("learned", len(before), len(before) + 24)]
+        assert hit >= 40, (before, after, hit)
+    f = secretscan.Formats({"assign": [key(10) for _ in range(300)]}, ordinary)
+    assert sum(f.spans(f"it is {key(10)} now", []) != [] for _ in range(50)) >= 40
+    assert f.spans("somewhere over international boundaries=everything", []) == []
+    assert sum(map(len, secretscan.candidates("a=" * 100_000, 1))) < 500_000
+
+
 def test_secrets_odd_rows(spark, odd):
     got = secretscan.digest(secretscan.scan(odd, secretscan.learn(odd))).collect()
     assert len(got) == len(ODD) and all(r.n_assign == 0 for r in got)
