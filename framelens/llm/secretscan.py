@@ -1,7 +1,7 @@
 """Secret scans: three fixed formats, and formats learned by grammar inference.
 
-Fixed formats (``assign``, ``access``, ``hex``) are found by pattern. Their matches in a bounded sample of
-documents are the labelled credentials. Per kind, a prefix-tree automaton over character classes is built from
+Fixed formats (``assign``, ``access``, ``hex``) are found by pattern. Their matches in all documents are
+the labelled credentials, of which each kind's ``per_kind`` with the least hashes are learned from, however rare they are. Per kind, a prefix-tree automaton over character classes is built from
 them and its statistically compatible states are merged (ALERGIA, Carrasco and Oncina 1994: red-blue order,
 Hoeffding test), which leaves a small probabilistic automaton with loops that also accepts lengths and strings
 not seen. Every unbroken run of token characters of every whole text that is as long as the shortest labelled
@@ -11,21 +11,24 @@ mean log-likelihood per symbol under an automaton is typical of the credentials
 all but a few of theirs: an upper-case word is likelier than a random key), and higher than under the automaton
 learned from ordinary tokens.
 
-Edge cases. Null texts are empty and have no spans. A sample without credentials of a kind gives no automaton for it.
+Edge cases. Null texts are empty and have no spans. A kind with fewer than five distinct credentials in the whole table gives no automaton,
+which is logged.
 Repeated rows and null ids keep their rows. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import logging
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.llm.common import bounded_batches
@@ -175,6 +178,10 @@ class Automaton:
         return (total + math.log((self.end[at] + 0.1) / (self.visits(at) + 0.1 * kinds))) / (len(s) + 1)
 
 
+def _mark(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Formats:
     """Automata of the credential kinds with their least likelihoods, and the one of ordinary tokens."""
 
@@ -213,34 +220,48 @@ class Formats:
 
 
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 20_000, per_kind: int = 400) -> Formats:
-    """Automata from at most ``per_kind`` credentials a kind and as many ordinary tokens, found in about
-    ``sample_docs`` documents chosen by a hash of id and text."""
+    """Automata from the ``per_kind`` credentials a kind that have the least hashes of all documents' credentials, and
+    from as many ordinary tokens of about ``sample_docs`` documents chosen by a hash of id and text."""
     bounded_batches(docs.sparkSession)
     n = docs.count()
     mark = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col), F.lit("formats")), F.lit(1_000_000))
-    sample = docs.where(mark < math.ceil(1e6 * min(1.0, sample_docs / max(n, 1)))).select(F.col(text_col).alias("text"))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = set()
-            for text in b["text"]:
-                text = text or ""
-                base = base_spans(text)
-                rows.update(("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
-                rows.update((k, text[x:y]) for k, x, y in base if k != "assign")
-                taken = Cover(base)
-                rows.update(("ordinary", text[x:y]) for tries in candidates(text, SHORTEST) for _, x, y in tries if taken.free(x, y))
-            yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
-
-    order = F.xxhash64("value")
-    got = {}
-    found = sample.mapInPandas(find, "kind string, value string").distinct().persist()
-    for kind in ("assign", "access", "hex", "ordinary"):
-        shortest = min((len(s) for v in got.values() for s in v), default=SHORTEST)
-        long = F.length("value") >= (shortest if kind == "ordinary" else 0)
-        got[kind] = [r.value for r in found.where((F.col("kind") == kind) & long).orderBy(order, "value").limit(per_kind).collect()]
-    found.unpersist()
-    return Formats({k: v for k, v in got.items() if k != "ordinary"}, got["ordinary"])
+    sample = docs.where(mark < math.ceil(1e6 * min(1.0, sample_docs / max(n, 1))))
+
+    def labels(text: str) -> Iterator[tuple[str, str]]:
+        yield from (("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
+        yield from ((k, text[x:y]) for k, x, y in base_spans(text) if k != "assign")
+
+    def least(rows: DataFrame, find: Callable[[str], Iterator[tuple[str, str]]]) -> dict[str, list[str]]:
+        """Per kind the distinct values of the least hashes: of each task's, then of all tasks'."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[str, set[tuple[int, str]]] = {}
+            for b in batches:
+                for text in b["text"]:
+                    for kind, value in find(text or ""):
+                        best.setdefault(kind, set()).add((_mark(value), value))
+                for kind, seen in best.items():
+                    best[kind] = set(heapq.nsmallest(per_kind, seen))
+            yield pd.DataFrame([(k, h, v) for k, seen in best.items() for h, v in seen], columns=["kind", "hash", "value"])
+
+        found = rows.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, hash long, value string")
+        place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "value"))
+        got: dict[str, list[str]] = {}
+        for r in found.distinct().withColumn("place", place).where(F.col("place") <= per_kind).orderBy("kind", "place").collect():
+            got.setdefault(r.kind, []).append(r.value)
+        return got
+
+    labelled = least(docs, labels)
+    few = {k: len(labelled.get(k, ())) for k in KINDS[:3] if len(labelled.get(k, ())) < 5}
+    if few:
+        logging.getLogger(__name__).warning("no automaton for kinds with fewer than 5 distinct credentials: %s", few)
+    labelled = {k: labelled.get(k, []) for k in KINDS[:3]}
+    shortest = min((len(s) for v in labelled.values() for s in v), default=SHORTEST)
+
+    def plain(text: str) -> Iterator[tuple[str, str]]:
+        taken = Cover(base_spans(text))
+        yield from (("ordinary", text[x:y]) for tries in candidates(text, shortest) for _, x, y in tries if taken.free(x, y))
+
+    return Formats(labelled, least(sample, plain).get("ordinary", []))
 
 
 def scan(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -255,6 +255,17 @@ def test_learned_keys_behind_names_and_before_full_stops():
     assert sum(map(len, secretscan.candidates("a=" * 100_000, 1))) < 500_000
 
 
+def test_rare_credentials_are_labelled_whatever_the_table_size(spark):
+    rng = random.Random(4)
+    key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    rows = [(k, f"some text {k}" + (f" {key()}" if k % 250 == 0 else ""), "en", "s", 1, "") for k in range(3000)]
+    table = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = secretscan.learn(table, sample_docs=20, per_kind=8)
+    assert len(got.kinds) == 1 and got.shortest == 20  # 12 keys in 12 of 3,000 documents
+    again = secretscan.learn(table.repartition(3), sample_docs=20, per_kind=8)
+    assert [k[1:] for k in again.kinds] == [k[1:] for k in got.kinds]
+
+
 def test_secrets_odd_rows(spark, odd):
     got = secretscan.digest(secretscan.scan(odd, secretscan.learn(odd))).collect()
     assert len(got) == len(ODD) and all(r.n_assign == 0 for r in got)
