@@ -11,8 +11,11 @@ Only hashes are shuffled for this: node counts first, then the templates of line
 then one join of documents and positions to drop. Hot templates are counted by partial aggregation and joined
 through a broadcast of the provably few keys with more than a thousandth of the rows.
 
-Edge cases. Null and empty texts have one blank line, which is kept (null stays null). Lines of fewer than
-``min_tokens`` tokens are always kept. Lines of fewer than five tokens have only themselves as template. A document's own repeats
+The stage ``keep_new_lines`` also gives short lines (fewer than ``min_tokens`` tokens) and long ones (``LONG`` or more)
+their literal text as template; a long line recurs from ``LONG_DOCS`` documents on. ``drop_recurring`` alone, which
+``SQL`` states, does not: it keeps short lines, and exact passages that fewer than ``min_docs`` documents have.
+
+Edge cases. Null and empty texts have one blank line, which is kept (null stays null). Lines of fewer than five tokens have only themselves as template. A document's own repeats
 count once towards ``min_docs`` but are dropped with the rest. Repeated rows (same doc_id and text) count as
 one document and get the same result; a null doc_id counts as an id that comes first. A text whose lines all
 go becomes empty, its row stays. Extra columns are carried. An empty table gives an empty result.
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from framelens.llm.common import attach, cut
 
 RUNS = 5
+#: an exact passage of so many tokens is no chance: it recurs if so many documents have it
+LONG, LONG_DOCS = 20, 2
 BLANK = r"[ \t\x0B\f\r]+"
 #: from a token's first character on, possessively: linear also in lines that are one long token
 FIELD = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*"
@@ -36,15 +41,17 @@ def _lines(text: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, h, pos, node, runs): the tree node of every line and the hashes of its five runs."""
+    """(doc_id, h, pos, node, runs, n_tokens, exact): the tree node of every line, the hashes of its five runs and of all of it.
+    Lines of fewer than ``min_tokens`` tokens have no node."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    tokens = lines.select("doc_id", "h", "pos", F.array_remove(F.split(F.regexp_replace("line", FIELD, "<*>"), BLANK), "").alias("t"))
+    tokens = lines.select("doc_id", "h", "pos", F.array_remove(F.split(F.regexp_replace("line", FIELD, "<*>"), BLANK), "").alias("t"),
+                          F.xxhash64(F.btrim("line", F.lit(" \t\x0b\f\r")), F.lit("exact")).alias("exact"))
     n = F.size("t")
     edge = lambda k: F.floor(n * k / RUNS).cast("int")
     run = lambda k: F.xxhash64(F.concat_ws(" ", F.slice("t", edge(k) + 1, edge(k + 1) - edge(k))))
     lead = F.concat_ws(" ", F.slice("t", 1, depth))
-    return tokens.where(n >= min_tokens).select("doc_id", "h", "pos", F.xxhash64(n, lead).alias("node"), (n >= RUNS).alias("long"),
-                                                *[run(k).alias(f"r{k}") for k in range(RUNS)])
+    return tokens.where(n >= 1).select("doc_id", "h", "pos", F.when(n >= min_tokens, F.xxhash64(n, lead)).alias("node"), (n >= RUNS).alias("long"),
+                                       *[run(k).alias(f"r{k}") for k in range(RUNS)], n.alias("n_tokens"), "exact")
 
 
 def _templates() -> Column:
@@ -54,16 +61,27 @@ def _templates() -> Column:
     return F.when(F.col("long"), F.array(own, *open_)).otherwise(F.array(own))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3) -> DataFrame:
-    """(doc_id, h, drop): the positions to drop of each document that has any; h is the hash of its text."""
-    lines = cut(parsed_lines(docs, depth, min_tokens), "lines")
-    nodes = cut(lines.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "nodes")
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3, exact: bool = False) -> DataFrame:
+    """(doc_id, h, drop): the positions to drop of each document that has any; h is the hash of its text.
+
+    With ``exact``, lines of fewer than ``min_tokens`` tokens and lines of ``LONG`` or more also have their literal text as
+    template (digits stand for themselves); a long one recurs if ``LONG_DOCS`` documents have it.
+    """
+    parsed = parsed_lines(docs, depth, min_tokens)
+    lines = cut(parsed if exact else parsed.where("node is not null").drop("n_tokens", "exact"), "lines")
+    nodes = cut(lines.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "nodes")
     total = lines.count()
     busy = attach(lines, nodes, "node", "n", total).where("busy")
-    keys = cut(busy.select("doc_id", "h", "pos", F.explode(_templates()).alias("key")), "templates")
-    per_doc = keys.groupBy("key", "doc_id", "h").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    found = cut(per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first"))
-                .where(F.col("docs") >= min_docs).drop("docs"), "recurring")
+    templates = busy.select("doc_id", "h", "pos", F.explode(_templates()).alias("key"), F.lit(min_docs).alias("least"))
+    if exact:
+        literal = lines.where((F.col("n_tokens") < min_tokens) | (F.col("n_tokens") >= LONG))
+        least = F.when(F.col("n_tokens") >= LONG, LONG_DOCS).otherwise(min_docs)
+        templates = templates.unionByName(literal.select("doc_id", "h", "pos", F.col("exact").alias("key"), least.alias("least")))
+    keys = cut(templates, "templates")
+    per_doc = keys.groupBy("key", "doc_id", "h").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    found = cut(per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min("least").alias("least"),
+                                           F.min(F.struct("doc_id", "h", "pos")).alias("first"))
+                .where(F.col("docs") >= F.col("least")).drop("docs", "least"), "recurring")
     again = attach(keys, found, "key", "n", total).where("first is not null").where(
         ~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drop"))
@@ -84,7 +102,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def keep_new_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without recurring lines, n_chars counted anew; all rows and columns stay."""
-    out = drop_recurring(docs, **limits).drop("_lines", "_dropped")
+    out = drop_recurring(docs, **{"exact": True} | limits).drop("_lines", "_dropped")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out

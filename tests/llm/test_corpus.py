@@ -291,6 +291,15 @@ def test_line_templates(spark, odd):
     assert linetemplates.keep_new_lines(odd.limit(0)).count() == 0
 
 
+def test_short_and_long_exact_lines(spark):
+    passage = " ".join(f"word{chr(97 + k)}" for k in range(25))
+    rows = [(k, "\n".join(["Les.", f"{k}", f"start {passage[:-1]}{'xyz'[k % 3]}" if k < 6 else f"only {'abcdefghijkl'[k]}", "a rare one" if k < 7 else "b"]), "en", "s", 1, "") for k in range(12)]
+    got = {r.doc_id: r.text.split("\n") for r in linetemplates.keep_new_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == rows[0][1].split("\n") and all("Les." not in got[k] and str(k) in got[k] for k in range(1, 12))
+    assert [any(line.startswith("start") for line in got[k]) for k in range(6)] == [True] * 3 + [False] * 3  # each in two documents
+    assert all("a rare one" in got[k] for k in range(7))  # of 3 tokens, in fewer than 8 documents
+
+
 # pipeline
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
