@@ -12,8 +12,10 @@ then one join of documents and positions to drop. Hot templates are counted by p
 through a broadcast of the provably few keys with more than a thousandth of the rows.
 
 The stage ``keep_new_lines`` also gives short lines (fewer than ``min_tokens`` tokens) and long ones (``LONG`` or more)
-their literal text as template; a long line recurs from ``LONG_DOCS`` documents on. ``drop_recurring`` alone, which
-``SQL`` states, does not: it keeps short lines, and exact passages that fewer than ``min_docs`` documents have.
+their literal text as template; a long line recurs from ``LONG_DOCS`` documents on. Lines of ``TWO_FIELDS`` or more
+tokens there also have the ten templates with two open runs, so at least three fifths of the positions agree.
+``drop_recurring`` alone, which ``SQL`` states, does neither: it keeps short lines, exact passages that fewer than
+``min_docs`` documents have, and lines whose digit-free fields lie in two runs.
 
 Edge cases. Null and empty texts have one blank line, which is kept (null stays null). Lines of fewer than five tokens have only themselves as template. A document's own repeats
 count once towards ``min_docs`` but are dropped with the rest. Repeated rows (same doc_id and text) count as
@@ -23,6 +25,8 @@ go becomes empty, its row stays. Extra columns are carried. An empty table gives
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from framelens.llm.common import attach, cut
 RUNS = 5
 #: an exact passage of so many tokens is no chance: it recurs if so many documents have it
 LONG, LONG_DOCS = 20, 2
+#: from so many tokens on two runs may be open at once: at least six tokens, the leading ones among them, still agree
+TWO_FIELDS = 10
 BLANK = r"[ \t\x0B\f\r]+"
 #: from a token's first character on, possessively: linear also in lines that are one long token
 FIELD = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*"
@@ -54,25 +60,30 @@ def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                                        *[run(k).alias(f"r{k}") for k in range(RUNS)], n.alias("n_tokens"), "exact")
 
 
-def _templates() -> Column:
+def _templates(two_fields: bool) -> Column:
     runs = [F.col(f"r{k}") for k in range(RUNS)]
     own = F.xxhash64("node", *runs)
     open_ = [F.xxhash64("node", F.lit(k), *runs[:k], *runs[k + 1:]) for k in range(RUNS)]
-    return F.when(F.col("long"), F.array(own, *open_)).otherwise(F.array(own))
+    one = F.when(F.col("long"), F.array(own, *open_)).otherwise(F.array(own))
+    if not two_fields:
+        return one
+    two = [F.xxhash64("node", F.lit(j), F.lit(k), *[r for i, r in enumerate(runs) if i not in (j, k)]) for j, k in combinations(range(RUNS), 2)]
+    return F.when(F.col("n_tokens") >= TWO_FIELDS, F.array(own, *open_, *two)).otherwise(one)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3, exact: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3, exact: bool = False, two_fields: bool = False) -> DataFrame:
     """(doc_id, h, drop): the positions to drop of each document that has any; h is the hash of its text.
 
     With ``exact``, lines of fewer than ``min_tokens`` tokens and lines of ``LONG`` or more also have their literal text as
-    template (digits stand for themselves); a long one recurs if ``LONG_DOCS`` documents have it.
+    template (digits stand for themselves); a long one recurs if ``LONG_DOCS`` documents have it. With ``two_fields``, lines of ``TWO_FIELDS``
+    or more tokens also have the templates with two open runs.
     """
     parsed = parsed_lines(docs, depth, min_tokens)
-    lines = cut(parsed if exact else parsed.where("node is not null").drop("n_tokens", "exact"), "lines")
+    lines = cut(parsed if exact else parsed.where("node is not null").drop("exact"), "lines")
     nodes = cut(lines.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "nodes")
     total = lines.count()
     busy = attach(lines, nodes, "node", "n", total).where("busy")
-    templates = busy.select("doc_id", "h", "pos", F.explode(_templates()).alias("key"), F.lit(min_docs).alias("least"))
+    templates = busy.select("doc_id", "h", "pos", F.explode(_templates(two_fields)).alias("key"), F.lit(min_docs).alias("least"))
     if exact:
         literal = lines.where((F.col("n_tokens") < min_tokens) | (F.col("n_tokens") >= LONG))
         least = F.when(F.col("n_tokens") >= LONG, LONG_DOCS).otherwise(min_docs)
@@ -102,7 +113,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def keep_new_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without recurring lines, n_chars counted anew; all rows and columns stay."""
-    out = drop_recurring(docs, **{"exact": True} | limits).drop("_lines", "_dropped")
+    out = drop_recurring(docs, **{"exact": True, "two_fields": True} | limits).drop("_lines", "_dropped")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out

@@ -300,6 +300,13 @@ def test_short_and_long_exact_lines(spark):
     assert all("a rare one" in got[k] for k in range(7))  # of 3 tokens, in fewer than 8 documents
 
 
+def test_line_templates_with_two_fields(spark):
+    name = lambda k: "abcdefghijkl"[k] * 3
+    rows = [(k, f"Posted at the old site by writer {name(k)} in {name(11 - k)} today\nShort at {name(k)} in {name(11 - k)} today", "en", "s", 1, "") for k in range(12)]
+    got = {r.doc_id: r.text.split("\n") for r in linetemplates.keep_new_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == rows[0][1].split("\n") and all(got[k] == rows[k][1].split("\n")[1:] for k in range(1, 12))
+
+
 # pipeline
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
