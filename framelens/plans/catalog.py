@@ -407,7 +407,7 @@ from framelens.sources import pages as pagesrc  # noqa: E402
 @query("page_bodies")
 def q_page_bodies(spark, sf_dir):
     pg = fx.table(spark, sf_dir, "pages")
-    return pagesrc.page_bodies(pg).select("page_id", "url", "body")
+    return pagesrc.page_bodies(pg, max_chars=None).select("page_id", "url", "body")
 
 
 def _feed_docs(spark, sf_dir):

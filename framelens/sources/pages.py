@@ -12,7 +12,8 @@ Semantics (the tree html.parser builds, as the analysed scraper sees it):
   that text appears twice when the list is joined;
 * a paragraph's text is its text pieces, each stripped, joined with no
   separator; comments are not text; entities are decoded;
-* paragraphs are joined with a space, white space collapsed, cut to 1500;
+* paragraphs are joined with a space, white space collapsed, cut to ``max_chars``
+  (the scraper's 1500 by default; None keeps whole bodies, as the query does);
 * any failure, an empty page or a non-200 status gives "".
 ``clean=True`` instead closes an open ``<p>`` at the next one and joins
 pieces with a space.
@@ -115,7 +116,7 @@ def _drop_junk(node: _Node) -> None:
         todo.extend(c for c in n.children if isinstance(c, _Node))
 
 
-def extract_body(html: str | None, max_chars: int = BODY_CAP, clean: bool = False) -> str:
+def extract_body(html: str | None, max_chars: int | None = BODY_CAP, clean: bool = False) -> str:
     """Body text of one page ("" on any failure)."""
     if not html:
         return ""
@@ -137,7 +138,7 @@ def extract_body(html: str | None, max_chars: int = BODY_CAP, clean: bool = Fals
 
 
 def page_bodies(pages: DataFrame, html_col: str = "html", status_col: str | None = None,
-                max_chars: int = BODY_CAP, clean: bool = False) -> DataFrame:
+                max_chars: int | None = BODY_CAP, clean: bool = False) -> DataFrame:
     """Add ``body`` to each page row (mapInPandas; other columns pass through)."""
     cols = pages.columns
     out_schema = T.StructType(list(pages.schema.fields) + [T.StructField("body", T.StringType(), True)])

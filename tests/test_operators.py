@@ -271,6 +271,13 @@ def test_html_cap_and_job(spark):
     assert len(got[1]) == 1500 and got[2] == ""
 
 
+def test_page_bodies_query_keeps_whole_bodies(spark, tmp_path):
+    from framelens.plans.catalog import QUERIES
+    html = "<article><p>" + "word " * 1000 + "</p></article>"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["page_bodies"](spark, str(tmp_path)).first().body == " ".join(["word"] * 1000)
+
+
 # --- ingest semantics --------------------------------------------------------------------
 def test_keep_first_dedupe_and_conflicts(spark):
     df = spark.createDataFrame(
