@@ -6,6 +6,11 @@ matches the template of highest cosine if that is at least ``least``. Most units
 reach ``least`` with a template a unit must hold one of the template's heaviest tokens, those without which the
 rest of the template's norm falls short (prefix filtering).
 
+Three sets of templates are weighed apart, each against its own kind of unit: short notices (``TEMPLATES``) against all units,
+standard headers (``HEADERS``) against runs of lines that hold letters or digits, so comment marks do not join paragraphs, and
+licence texts (``licence_texts``) against whole files. A line with an SPDX identifier names its license itself.
+A file that is a licence text as a whole has that license, unless a title or header in it is nearer; else the highest similarity counts.
+
 A licence file gives its licence to its directory. A file without a licence of its own inherits that of its nearest ancestor
 directory that has one: the distinct directories, not the files, are expanded to their ancestors and joined by
 path. Several licence files in a directory: the highest similarity counts, then the smallest path.
@@ -27,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.common import attach, bounded_batches, cut
+from framelens.llm.licence_texts import TEXTS
 
 #: License notices by SPDX id, in short and longer wordings (fixed values).
 TEMPLATES = (
@@ -48,6 +54,41 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("proprietary", "All rights reserved."),
 )
+#: The granting paragraphs of the standard headers, and the titles of licence texts (fixed values).
+HEADERS = (
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    *((name, f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {which} as published by "
+             f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, what, which, version in (
+          ("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"),
+          ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+          ("AGPL-3.0", "program", "Affero General Public License", "3"))),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 "
+                "as published by the Free Software Foundation."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   "You may obtain a copy of the License at"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+                "which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+)
+FILES = tuple((name, Counter({t: int(n or 1) for t, _, n in (x.partition(":") for x in counts.split())})) for name, counts in TEXTS.items())
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.ASCII)
+_SUFFIX = re.compile(r"(?:-only|-or-later|\+)$")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -59,9 +100,10 @@ def tokens(text: str) -> list[str]:
 class Matcher:
     """The templates as unit vectors, and the tokens one of which every match holds."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8):
+    def __init__(self, templates: tuple[tuple[str, str | Counter], ...] = TEMPLATES, least: float = 0.8, alone: bool = False):
         self.least = least
-        counts = [(name, Counter(tokens(text))) for name, text in templates]
+        self.headers, self.files = (None, None) if alone else (Matcher(HEADERS, least, True), Matcher(FILES, least, True))
+        counts = [(name, text if isinstance(text, Counter) else Counter(tokens(text))) for name, text in templates]
         counts = [x for x in counts if x[1]]
         df = Counter(t for _, c in counts for t in c)
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
@@ -77,6 +119,10 @@ class Matcher:
                     break
                 needed.add(t)
                 left -= (x / norm) ** 2
+        self.holders: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, v) in enumerate(self.vectors):
+            for t, x in v.items():
+                self.holders.setdefault(t, []).append((k, x))
         either = "|".join(sorted(needed)) or "(?!)"
         self.hint = re.compile(rf"(?<![a-z0-9])(?:{either})(?![a-z0-9])", re.ASCII | re.IGNORECASE)
 
@@ -85,12 +131,40 @@ class Matcher:
         c = Counter(tokens(unit))
         w = {t: n * self.idf.get(t, self.unseen) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
-        found = max(((sum(x * w.get(t, 0.0) for t, x in v.items()) / norm, name) for name, v in self.vectors), default=None) if norm else None
+        dots = [0.0] * len(self.vectors)
+        for t, y in w.items():
+            for k, x in self.holders.get(t, ()):
+                dots[k] += x * y
+        found = max(((d / norm, name) for d, (name, _) in zip(dots, self.vectors, strict=True)), default=None) if norm else None
         return found if found and found[0] >= self.least else None
 
     def scan(self, text: str | None) -> tuple[str, float, int] | None:
         """(license, similarity, line) of the best unit, the first of equals."""
         text = text or ""
+        if self.files and (b := self.files.best(text)):
+            title = self.headers.paragraphs(text)  # of a version whose text is no template
+            return title if title and title[1] > round(b[0], 9) else (b[1], round(b[0], 9), 0)
+        found = [x for x in (self._units(text), self.headers and self.headers.paragraphs(text), spdx(text)) if x]
+        return max(found, key=lambda x: (x[1], -x[2])) if found else None
+
+    def paragraphs(self, text: str) -> tuple[str, float, int] | None:
+        """The best run of lines that hold letters or digits."""
+        if not self.hint.search(text):
+            return None
+        found, first, block = [], 0, []
+        for k, x in enumerate([*text.split("\n"), ""]):
+            if tokens(x):
+                block.append(x)
+                continue
+            if block and self.hint.search(whole := "\n".join(block)) and (b := self.best(whole)):
+                found.append((round(b[0], 9), -first, b[1]))
+            first, block = k + 1, []
+        if not found:
+            return None
+        similarity, line, name = max(found)
+        return name, similarity, -line
+
+    def _units(self, text: str) -> tuple[str, float, int] | None:
         if not self.hint.search(text):
             return None
         lines = text.split("\n")
@@ -111,6 +185,12 @@ class Matcher:
         return name, similarity, -line
 
 
+def spdx(text: str) -> tuple[str, float, int] | None:
+    """The first SPDX identifier; of a single one without its version's range."""
+    m = SPDX.search(text)
+    return (m[1] if re.search(r"\s", m[1]) else _SUFFIX.sub("", m[1]), 1.0, text.count("\n", 0, m.start())) if m else None
+
+
 def scan(files: DataFrame, matcher: Matcher) -> DataFrame:
     """``files`` (id, path, text) as (id, path, license, similarity, line); the last three null without match."""
     bounded_batches(files.sparkSession)

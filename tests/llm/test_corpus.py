@@ -91,6 +91,29 @@ def test_licences(spark):
     assert licences.inherit(licences.scan(files.limit(0), licences.Matcher()), F.lit(True)).count() == 0
 
 
+def test_licence_files_headers_and_spdx_lines():
+    m = licences.Matcher()
+    text = lambda name: " ".join(t for t, n in dict(licences.FILES)[name].items() for _ in range(n))
+    for name, _ in licences.FILES:
+        assert m.scan("Copyright (c) 2020 Some One\n\n" + text(name))[0] == name
+    assert m.scan("Eclipse Public License - v 2.0\n\n" + text("EPL-1.0"))[0] == "EPL-2.0"
+    header = """/*
+ * frob.c, part of Frob
+ *
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * It is distributed in the hope that it will be useful.
+ */
+int main;"""
+    assert m.scan(header)[0] == "LGPL-2.1"
+    assert m.scan(header.replace("Lesser General", "General").replace("library", "program").replace("2.1", "3"))[0] == "GPL-3.0"
+    assert m.scan("#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-only\n") == ("GPL-2.0", 1.0, 1)
+    assert m.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0)\n") == ("MIT OR Apache-2.0", 1.0, 0)
+
+
 def test_licences_against_every_line(spark, docs):
     """No unit is passed over that the plain cosine would match."""
     m = licences.Matcher()
