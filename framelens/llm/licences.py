@@ -90,6 +90,7 @@ FILES = tuple((name, Counter({t: int(n or 1) for t, _, n in (x.partition(":") fo
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.ASCII)
 _SUFFIX = re.compile(r"(?:-only|-or-later|\+)$")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_WORD = re.compile(r"[A-Za-z0-9]")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -123,14 +124,20 @@ class Matcher:
         for k, (_, v) in enumerate(self.vectors):
             for t, x in v.items():
                 self.holders.setdefault(t, []).append((k, x))
+        self.needed = needed
         either = "|".join(sorted(needed)) or "(?!)"
         self.hint = re.compile(rf"(?<![a-z0-9])(?:{either})(?![a-z0-9])", re.ASCII | re.IGNORECASE)
 
     def best(self, unit: str) -> tuple[float, str] | None:
         """(similarity, license) of the nearest template, if it is near enough."""
-        c = Counter(tokens(unit))
+        return self.nearest(Counter(tokens(unit)))
+
+    def nearest(self, c: Counter) -> tuple[float, str] | None:
         w = {t: n * self.idf.get(t, self.unseen) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
+        # no cosine exceeds the share of the unit's norm that lies on known tokens
+        if math.sqrt(sum(x * x for t, x in w.items() if t in self.holders)) < (self.least - 1e-9) * norm:
+            return None
         dots = [0.0] * len(self.vectors)
         for t, y in w.items():
             for k, x in self.holders.get(t, ()):
@@ -141,10 +148,13 @@ class Matcher:
     def scan(self, text: str | None) -> tuple[str, float, int] | None:
         """(license, similarity, line) of the best unit, the first of equals."""
         text = text or ""
-        if self.files and (b := self.files.best(text)):
+        seen = Counter(tokens(text))
+        if self.files and (b := self.files.nearest(seen)):
             title = self.headers.paragraphs(text)  # of a version whose text is no template
             return title if title and title[1] > round(b[0], 9) else (b[1], round(b[0], 9), 0)
-        found = [x for x in (self._units(text), self.headers and self.headers.paragraphs(text), spdx(text)) if x]
+        found = [x for x in (None if self.needed.isdisjoint(seen) else self._units(text),
+                             None if not self.headers or self.headers.needed.isdisjoint(seen) else self.headers.paragraphs(text),
+                             spdx(text) if "spdx" in seen else None) if x]
         return max(found, key=lambda x: (x[1], -x[2])) if found else None
 
     def paragraphs(self, text: str) -> tuple[str, float, int] | None:
@@ -153,7 +163,7 @@ class Matcher:
             return None
         found, first, block = [], 0, []
         for k, x in enumerate([*text.split("\n"), ""]):
-            if tokens(x):
+            if _WORD.search(x):
                 block.append(x)
                 continue
             if block and self.hint.search(whole := "\n".join(block)) and (b := self.best(whole)):
