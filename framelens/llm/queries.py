@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import chat, covertree, decontam, licences, linetemplates, mixing, secretscan, simhash, toxicity, warc
+from framelens.llm import (chat, covertree, decontam, hardnegatives, langid, licences, linetemplates, mixing, secretscan, simhash,
+                           toxicity, vafile, warc)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,8 +69,26 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
+    return vafile.digest(vafile.k_means(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, order=order))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_toxicity, op3_licences, op4_topk, op5_chat, op6_simhash, op7_decontam, op8_secrets, op9_mixing, op10_lines)
+    f.__name__: f for f in (op1_warc, op2_toxicity, op3_licences, op4_topk, op5_chat, op6_simhash, op7_decontam, op8_secrets, op9_mixing, op10_lines,
+                               op11_langid, op12_centroids, op13_hard_negatives)
 }
 
-SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_topk": covertree.SQL, "op5_chat": chat.SQL, "op9_mixing": mixing.sql(), "op10_lines": linetemplates.SQL}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_topk": covertree.SQL, "op5_chat": chat.SQL, "op9_mixing": mixing.sql(), "op10_lines": linetemplates.SQL,
+                       "op12_centroids": vafile.SQL, "op13_hard_negatives": hardnegatives.SQL}
