@@ -130,12 +130,17 @@ class Sums:
         np.add.at(self.sum, to[on], sign * x[on])
         np.add.at(self.n, to[on], sign)
 
+    def merge(self, rows: pd.DataFrame) -> None:
+        np.add.at(self.sum, rows["cluster"].to_numpy(np.int64), _matrix(rows["total"], self.sum.shape[1]))
+        np.add.at(self.n, rows["cluster"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+
     def rows(self) -> pd.DataFrame:
         on = np.flatnonzero(self.n.astype(bool) | self.sum.any(axis=1))
         nothing = pd.Series([None] * len(on), dtype=object)
         return pd.DataFrame({"key": nothing, "cells": nothing, "cluster": on, "total": pd.Series(list(self.sum[on]), dtype=object), "n": self.n[on]})
 
 
+PARTS = "cluster int, total array<long>, n long"
 MOVES = "key long, cells binary, cluster int, total array<long>, n long"
 
 
@@ -207,12 +212,25 @@ def fetched(asked: DataFrame, stored: DataFrame, bounds: Bounds, dim: int) -> Da
 
 
 def _add(moves: DataFrame, total: np.ndarray, n: np.ndarray) -> None:
-    """Add the sums that the tasks gave (one row a cluster and component comes to the driver)."""
-    parts = moves.where(F.col("total").isNotNull()).select("cluster", "n", F.posexplode("total").alias("d", "x"))
-    for r in parts.groupBy("cluster", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect():
-        total[r.cluster, r.d] += r.x
-        if r.d == 0:
-            n[r.cluster] += r.n
+    """Add the sums that the tasks gave: combined where they are read, then per cluster, of which a row each comes to the driver."""
+    k, dim = total.shape
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = Sums(k, dim)
+        for b in batches:
+            sums.merge(b)
+        yield sums.rows()[["cluster", "total", "n"]]
+
+    def per_cluster(part: pd.DataFrame) -> pd.DataFrame:
+        sums = Sums(k, dim)
+        sums.merge(part)
+        c = int(part["cluster"].iloc[0])
+        return pd.DataFrame({"cluster": [c], "total": [sums.sum[c]], "n": [sums.n[c]]})
+
+    parts = moves.where(F.col("total").isNotNull()).select("cluster", "total", "n").mapInPandas(combine, PARTS)
+    for r in parts.groupBy("cluster").applyInPandas(per_cluster, PARTS).collect():
+        total[r.cluster] += np.array(r.total, np.int64)
+        n[r.cluster] += r.n
 
 
 def starts(vectors: DataFrame, k: int, order: Column) -> np.ndarray:

@@ -101,7 +101,7 @@ def _floor(v, factor=256):
 
 def _lloyd(rows, k, rounds, mark=None):
     """rows: (id, vector as whole numbers); start centroids are the first k by ``mark``, by default the sorted hashes."""
-    mark = mark (lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[0] or 0, r[1]))
+    mark = mark or (lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[0] or 0, r[1]))
     centroids = [r[1] for r in sorted(rows, key=mark)[:k]]
     near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centroids))
     for _ in range(rounds):
