@@ -58,6 +58,17 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, s
                                           for c in values])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row``, so that no extra column clashes with a name an operator uses."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, names: list[str], **values: Column) -> DataFrame:
+    """The columns ``names`` of ``row``; those in ``values`` get that value, in their place or at the end."""
+    kept = [values[c].alias(c) if c in values else F.col("row").getField(c).alias(c) for c in names]
+    return rows.select(*kept, *[v.alias(c) for c, v in values.items() if c not in names])
+
+
 def words_of(text: Column) -> Column:
     """White-space separated words as an array; null and blank texts give an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")

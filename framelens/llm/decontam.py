@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import bounded_batches, cut
+from framelens.llm.common import bounded_batches, cut, packed, unpacked
 
 WALK, STRIDE, SAMPLES, REPETITIONS = 16, 8, 4, 12
 GROUP_BYTES = 1 << 21
@@ -250,5 +250,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item. Rows are told apart by doc_id and text, so rows without
     doc_id, or of one doc_id with unlike texts, are judged each by its own text."""
-    found = cut(row_hits(docs, benchmark, similarity=similarity).select(F.col("id").alias("_hit"), F.col("h").alias("_h")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    found = cut(row_hits(docs, benchmark, similarity=similarity).select(F.col("id").alias("hit"), "h").distinct(), "contaminated")
+    row = lambda c: F.col("row").getField(c)
+    clean = packed(docs).join(found, row("doc_id").cast("long").eqNullSafe(F.col("hit")) & (F.xxhash64(row("text")) == F.col("h")), "left_anti")
+    return unpacked(clean, docs.columns)

@@ -30,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import attach, cut
+from framelens.llm.common import attach, cut, packed, unpacked
 
 RUNS = 5
 #: an exact passage of so many tokens is no chance: it recurs if so many documents have it
@@ -98,25 +98,31 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_toke
     return again.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drop"))
 
 
-def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **limits) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text_col``, and the columns _lines and _dropped (counts)."""
+def _thinned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **limits) -> DataFrame:
+    """(row, left, n_lines, n_dropped) for every row of ``docs``: its text without recurring lines."""
+    row = lambda c: F.col("row").getField(c)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drops = recurring_lines(own, **limits).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_h")), "left")
-    lines = _lines(F.col(text_col))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop")), lambda i: F.get("_all", i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("_all", lines).select(
-        *[text.alias(text_col) if c == text_col else docs[c] for c in docs.columns],
-        F.size("_all").cast("long").alias("_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_dropped"))
+    drops = recurring_lines(own, **limits).select(F.col("doc_id").alias("of"), "h", "drop")
+    joined = packed(docs).join(drops, row(id_col).cast("long").eqNullSafe(F.col("of")) & (F.xxhash64(row(text_col)) == F.col("h")), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")), lambda i: F.get("lines", i))
+    left = F.when(F.col("drop").isNull(), row(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("lines", _lines(row(text_col))).select(
+        "row", left.alias("left"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **limits) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text_col``, and the columns _lines and _dropped (counts), which
+    replace columns of those names."""
+    return unpacked(_thinned(docs, text_col, id_col, **limits), docs.columns,
+                    **{text_col: F.col("left"), "_lines": F.col("n_lines"), "_dropped": F.col("n_dropped")})
 
 
 def keep_new_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without recurring lines, n_chars counted anew; all rows and columns stay."""
-    out = drop_recurring(docs, **{"exact": True, "two_fields": True} | limits).drop("_lines", "_dropped")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out
+    values = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.coalesce(F.length("left").cast(docs.schema["n_chars"].dataType), F.col("row").getField("n_chars"))
+    return unpacked(_thinned(docs, **{"exact": True, "two_fields": True} | limits), docs.columns, **values)
 
 
 #: The same in DuckDB, on strings instead of hashes.

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import cut
+from framelens.llm.common import cut, packed, unpacked
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 8
@@ -71,21 +71,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share: f
     return now.select(*DIMS, F.when(F.col("tokens") > 0, F.col("y") / F.col("tokens")).otherwise(0.0).alias("rate"))
 
 
+def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(row, tokens, rate, sampled) for every row of ``docs``."""
+    row = lambda c: F.col("row").getField(c)
+    part = lambda c: F.coalesce(row(c).cast("string"), F.lit("(null)"))
+    tokens = F.coalesce(F.regexp_count(row("text"), F.lit(WORDS)), F.lit(0)).cast("long")
+    named = packed(docs).select("row", part("source").alias("c_source"), part("lang").alias("c_lang"), topic(row("text")).alias("c_topic"), tokens.alias("tokens"))
+    own = [f"c_{d}" for d in DIMS]
+    cells = cut(named.groupBy(*own).agg(F.sum("tokens").alias("n")).toDF(*DIMS, "tokens"), "cells")
+    rates = rake(cells, targets, share, rounds).toDF(*own, "rate")
+    draw = F.conv(F.substring(F.md5(F.coalesce(row("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    return named.join(rates, own).select("row", "tokens", "rate", (draw < F.col("rate")).alias("sampled"))
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with _tokens, _rate (the sampling probability) and _sampled (boolean)."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
-    named = docs.withColumns({"_source": part("source"), "_lang": part("lang"), "_topic": topic(F.col("text"))})
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    cells = cut(named.groupBy("_source", "_lang", "_topic").agg(F.sum(tokens).alias("tokens")).toDF(*DIMS, "tokens"), "cells")
-    rates = rake(cells, targets, share, rounds).toDF(*(f"_{d}" for d in DIMS), "_rate")
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    out = named.join(rates, [f"_{d}" for d in DIMS])
-    return out.select(*docs.columns, tokens.alias("_tokens"), "_rate", (draw < F.col("_rate")).alias("_sampled"))
+    """``docs`` with _tokens, _rate (the sampling probability) and _sampled (boolean), which replace columns of those names."""
+    return unpacked(_drawn(docs, targets, share, rounds), docs.columns, _tokens=F.col("tokens"), _rate=F.col("rate"), _sampled=F.col("sampled"))
 
 
 def keep_sampled(docs: DataFrame) -> DataFrame:
-    """The sampled documents with their columns and their sampling probability."""
-    return mix(docs).where("_sampled").select(*docs.columns, F.round("_rate", 6).alias("mix_rate"))
+    """The sampled documents with their columns and their sampling probability, mix_rate."""
+    return unpacked(_drawn(docs).where("sampled"), docs.columns, mix_rate=F.round("rate", 6))
 
 
 def sql() -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framelens.llm.common import attach, bounded_batches, cut
+from framelens.llm.common import attach, bounded_batches, cut, packed, unpacked
 from framelens.operators.components import connected_components
 
 BLOCK = 1 << 14
@@ -204,8 +204,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """
     rows = cut(groups_of(docs, "doc_id", "text", shingle, max_bits).select("group", F.struct(F.col("id").isNull().alias("last"), "id", "h").alias("r")), "simhash-rows")
     stays = rows.groupBy("group").agg(F.min("r").alias("r")).select("r").distinct()
-    gone = rows.select("r").distinct().join(stays, "r", "left_anti").select(F.col("r.id").alias("_out"), F.col("r.h").alias("_h"))
-    kept = docs.withColumn("_text", F.xxhash64("text")).join(
-        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_out")) & (F.col("_text") == F.col("_h")), "left_anti")
-    seen = F.row_number().over(W.partitionBy("doc_id", "_text").orderBy("doc_id"))
-    return kept.withColumn("_seen", seen).where(F.col("_seen") == 1).select(*docs.columns)
+    gone = rows.select("r").distinct().join(stays, "r", "left_anti").select(F.col("r.id").alias("out"), F.col("r.h").alias("h"))
+    own = packed(docs).withColumns({"doc": F.col("row").getField("doc_id"), "own": F.xxhash64(F.col("row").getField("text"))})
+    kept = own.join(gone, F.col("doc").cast("long").eqNullSafe(F.col("out")) & (F.col("own") == F.col("h")), "left_anti")
+    nth = F.row_number().over(W.partitionBy("doc", "own").orderBy("doc"))
+    return unpacked(kept.withColumn("nth", nth).where(F.col("nth") == 1), docs.columns)

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, known_ids: DataFrame, learnable:
                 if is_u:
                     u.update(found)
         names = list(p)  # a feature that no toxic text has can't be chosen as a sign of toxicity
-        yield pd.DataFrame({"f": names, "p": [p[x] for x in names], "u": [u[x] for x in names]})
+        # typed, for a partition may hold no toxic text
+        yield pd.DataFrame({"f": pd.Series(names, dtype=object), "p": np.array([p[x] for x in names], np.int64), "u": np.array([u[x] for x in names], np.int64)})
 
     size = sample.agg(F.count_if("pos").alias("p"), F.count_if("unl").alias("u")).first()
     if not size.p or not size.u:

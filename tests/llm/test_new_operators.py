@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelens.llm import hardnegatives, langid, queries, vafile
+import corpus_pipeline
+from framelens.llm import hardnegatives, langid, queries, toxicity, vafile
 from tests.conftest import SF_MID
+from tests.conftest import SF_SMALL as SMALL
 
 
 # 11
@@ -213,3 +215,42 @@ def test_all_rows_take_part(spark, name):
     rows = got.select(got.columns[0]).collect()
     assert len({r[0] for r in rows}) == (n if name == "op12_centroids" else len(range(0, n, 50)))
     assert len(list(itertools.chain(rows))) == len(rows)
+
+
+# extra columns named like what the operators use inside
+CLASHING = ["_rate", "_sampled", "_tokens", "_source", "_lang", "_topic", "mix_rate", "tokens", "rate", "sampled", "c_source", "row", "of", "h", "_id", "_h", "_drop", "_all", "_lines", "_dropped", "lines",
+            "drop", "left", "_out", "_text", "_seen", "out", "own", "nth", "doc", "_hit", "hit", "id", "fp", "group", "key", "n", "pos", "score"]
+
+
+def test_stages_with_clashing_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet").select(*names)
+    wide = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        want = sorted(map(str, stage(spark, plain, SMALL).select(*names).collect()))
+        got = stage(spark, wide, SMALL)
+        assert sorted(map(str, got.select(*names).collect())) == want, name
+        last = name == "mixing"
+        assert set(got.columns) >= set(wide.columns)
+        for r in got.collect():
+            assert all(r[c] == f"{c} of {r.doc_id}" for c in CLASHING if not (last and c == "mix_rate")), (name, r.doc_id)
+
+
+def test_toxicity_partitions_without_toxic_texts(spark):
+    """Most partitions hold no positive text, some hold no row."""
+    docs = spark.createDataFrame([(k, "you vile clown" if k < 6 else f"a calm text {k}") for k in range(40)], "doc_id long, text string").repartition(6, "doc_id")
+    labels = spark.createDataFrame([(k, 1, int(k < 6)) for k in range(20)], "doc_id long, quality int, toxic int")
+    for parts in (6, 200):
+        model = toxicity.train(docs.repartition(parts), labels)
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert len(got) == 40 and min(got[k] for k in range(6)) > max(got[k] for k in range(6, 40))
+
+
+@pytest.mark.parametrize("parts", ["8", "200"])
+def test_toxicity_at_other_partitionings(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert queries.op2_toxicity(spark, SF_MID).count() == spark.read.parquet(f"{SF_MID}/documents.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
