@@ -129,6 +129,14 @@ def sparse_similarity_join(vec: DataFrame, eps: float, s: float | None = None,
 PAIR_SCHEMA = "src long, dst long, dot double, dist double"
 
 
+def sound_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v) of the rows with an id and a vector of one or more components, all finite. Others take no part in any
+    dense operator; vectors are compared with those of their own length."""
+    v = F.col(vec_col).cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
 def _n_blocks(df: DataFrame, n: int, block_rows: int) -> int:
     """Blocks of at most about ``block_rows`` rows, and enough of them that
     their pairs give every core two tasks, also on small tables."""
@@ -145,17 +153,16 @@ def dense_similarity_join(df: DataFrame, eps: float, id_col: str = "vec_id",
 
     n = df.count() if n_rows is None else n_rows
     nb = _n_blocks(df, n, block_rows)
-    base = df.select(F.col(id_col).cast("long").alias("id"),
-                     F.col(vec_col).cast("array<double>").alias("v"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
+    base = sound_vectors(df, id_col, vec_col).select("id", "v", F.size("v").alias("dim"),
+                                                     F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("blk"))
     # replicate each row to the block pairs (lo, hi), lo <= hi, it belongs to
     others = F.sequence(F.lit(0), F.lit(nb - 1))
-    rep = base.select("id", "v", "blk", F.explode(others).alias("other"))
-    rep = rep.select("id", "v", "blk",
+    rep = base.select("id", "v", "dim", "blk", F.explode(others).alias("other"))
+    rep = rep.select("id", "v", "dim", "blk",
                      F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
 
     def block_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(key[0]), int(key[1])
+        lo, hi = int(key[1]), int(key[2])
         ids = pdf["id"].to_numpy()
         m = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
         norms = np.linalg.norm(m, axis=1)
@@ -178,7 +185,7 @@ def dense_similarity_join(df: DataFrame, eps: float, id_col: str = "vec_id",
         return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64"),
                              "dot": dots[li, ri][keep], "dist": dist[li, ri][keep]})
 
-    return rep.groupBy("lo", "hi").applyInPandas(block_pair, PAIR_SCHEMA)
+    return rep.groupBy("dim", "lo", "hi").applyInPandas(block_pair, PAIR_SCHEMA)
 
 
 def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -192,15 +199,14 @@ def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "e
 
     n = df.count() if n_rows is None else n_rows
     nb = _n_blocks(df, n, block_rows)
-    base = df.select(F.col(id_col).cast("long").alias("id"),
-                     F.col(vec_col).cast("array<double>").alias("v"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
-    rep = base.select("id", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("other"))
-    rep = rep.select("id", "v", "blk", F.least("blk", "other").alias("lo"),
+    base = sound_vectors(df, id_col, vec_col).select("id", "v", F.size("v").alias("dim"),
+                                                     F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("blk"))
+    rep = base.select("id", "v", "dim", "blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("other"))
+    rep = rep.select("id", "v", "dim", "blk", F.least("blk", "other").alias("lo"),
                      F.greatest("blk", "other").alias("hi"))
 
     def block_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(key[0]), int(key[1])
+        lo, hi = int(key[1]), int(key[2])
         ids = pdf["id"].to_numpy()
         m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         blk = pdf["blk"].to_numpy()
@@ -232,7 +238,7 @@ def knn_blocked(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "e
             return pd.DataFrame({"id": [], "nbr": [], "dist": []})
         return pd.concat(out, ignore_index=True)
 
-    cand = rep.groupBy("lo", "hi").applyInPandas(block_pair, "id long, nbr long, dist double")
+    cand = rep.groupBy("dim", "lo", "hi").applyInPandas(block_pair, "id long, nbr long, dist double")
     w = Window.partitionBy("id").orderBy("dist", "nbr")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
@@ -256,29 +262,30 @@ def lsh_candidates(df: DataFrame, eps: float, id_col: str = "vec_id", vec_col: s
     import numpy as np
     import pandas as pd
 
-    first = df.select(vec_col).first()
-    dim = len(first[0]) if first else 1
+    rows = sound_vectors(df, id_col, vec_col)
     if bands is None or rows_per_band is None:
-        bands, rows_per_band = lsh_plan(df.count(), eps)
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((dim, bands * rows_per_band))
+        bands, rows_per_band = lsh_plan(rows.count(), eps)
     place = 1 << np.arange(rows_per_band, dtype=np.int64)
-    v = F.col(vec_col).cast("array<double>")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}  # of each length of vectors
         for b in batches:
             for k in range(0, len(b), 256):
-                x = np.stack(b["v"].iloc[k:k + 256].to_numpy())
-                keys = ((x @ planes) >= 0).reshape(len(x), bands, rows_per_band) @ place
-                yield pd.DataFrame({"id": np.repeat(b["id"].iloc[k:k + 256].to_numpy(), bands),
-                                    "band": np.tile(np.arange(bands), len(x)), "key": keys.ravel()})
-
-    sig = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInPandas(sign, "id long, band long, key long")
-    a = sig.select(F.col("id").alias("src"), "band", "key")
-    b = sig.select(F.col("id").alias("dst"), "band", "key")
-    pairs = a.join(b, ["band", "key"]).where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
-    va = df.select(F.col(id_col).cast("long").alias("src"), v.alias("va"))
-    vb = df.select(F.col(id_col).cast("long").alias("dst"), v.alias("vb"))
+                part = b.iloc[k:k + 256]
+                for dim, some in part.groupby("dim"):
+                    if dim not in planes:
+                        planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bands * rows_per_band))
+                    x = np.stack(some["v"].to_numpy())
+                    keys = ((x @ planes[dim]) >= 0).reshape(len(x), bands, rows_per_band) @ place
+                    yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), bands), "dim": dim,
+                                        "band": np.tile(np.arange(bands), len(x)), "key": keys.ravel()})
+
+    sig = rows.select("id", "v", F.size("v").alias("dim")).mapInPandas(sign, "id long, dim int, band long, key long")
+    a = sig.select(F.col("id").alias("src"), "dim", "band", "key")
+    b = sig.select(F.col("id").alias("dst"), "dim", "band", "key")
+    pairs = a.join(b, ["dim", "band", "key"]).where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
+    va = rows.select(F.col("id").alias("src"), F.col("v").alias("va"))
+    vb = rows.select(F.col("id").alias("dst"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     nrm = F.sqrt(F.aggregate(F.transform("va", lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x)) * \
         F.sqrt(F.aggregate(F.transform("vb", lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))

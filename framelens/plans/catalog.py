@@ -462,6 +462,50 @@ def q_fuzzy_graph(spark, sf_dir):
     return projection.fuzzy_graph(knn, 10)
 
 
+from framelens.operators import layout, nndescent  # noqa: E402
+
+
+@query("knn_descent_recall")
+def q_knn_descent_recall(spark, sf_dir):
+    """Entries of the exact neighbour lists, and whether neighbour descent finds at least 90% of them."""
+    emb = fx.table(spark, sf_dir, "embeddings")
+    found = nndescent.knn_descent(emb, 10)
+    r = nndescent.recall_of(found, similarity.knn_blocked(emb, 10))
+    return r.select("n", (F.col("hit") * 10 >= F.col("n") * 9).alias("recall_ok"))
+
+
+def map_layouts(spark, emb, k=10, epochs=10):
+    """(knn, fuzzy graph, spectral, forces): the neighbour lists by descent, and the map from their fuzzy graph."""
+    checkpoint_dir(spark)
+    knn = nndescent.knn_descent(emb, k).checkpoint()
+    graph = projection.fuzzy_graph(knn, k).checkpoint()
+    spectral, _ = layout.spectral_layout(graph)
+    return knn, graph, spectral, layout.force_layout(graph, spectral, epochs)
+
+
+@query("map_layout")
+def q_map_layout(spark, sf_dir):
+    return map_layouts(spark, fx.table(spark, sf_dir, "embeddings"))[3].withColumnRenamed("id", "vec_id")
+
+
+@query("map_quality")
+def q_map_quality(spark, sf_dir):
+    """Facts of the two layouts that no sign or rotation changes: the spectral axes are orthonormal within 1e-6 and
+    keep three times as many neighbours as chance would (k of n - 1 others); the forces keep more than they do."""
+    knn, _, spectral, forces = map_layouts(spark, fx.table(spark, sf_dir, "embeddings"))
+    forces = forces.checkpoint()
+    p = layout.axis_products(spectral)
+    unit = F.greatest(*[F.abs(F.col(a + a) - 1) for a in layout.AXES], F.abs("xy"), F.abs("xz"), F.abs("yz")) < 1e-6
+    exact = similarity.knn_blocked
+    a = layout.neighbours_kept(knn, spectral, 10, exact).toDF("n_a", "kept_a")
+    b = layout.neighbours_kept(knn, forces, 10, exact).toDF("n_b", "kept_b")
+    size = forces.agg(F.count(F.lit(1)).alias("n_points"))
+    one = p.crossJoin(a).crossJoin(b).crossJoin(size)  # four tables of one row
+    chance = F.lit(10.0) / (F.col("n_points") - 1)
+    return one.select("n_points", unit.alias("orthonormal"), (F.col("kept_a") / F.col("n_a") > 3 * chance).alias("above_chance"),
+                      (F.col("kept_b") > F.col("kept_a")).alias("forces_better"))
+
+
 @query("similar_pairs_lsh")
 def q_similar_pairs_lsh(spark, sf_dir):
     e = similarity.lsh_candidates(fx.table(spark, sf_dir, "embeddings"), DENSE_EPS)

