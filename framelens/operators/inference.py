@@ -2,7 +2,7 @@
 quarantine, answer cleaning/parsing, last-answer-wins merge, quota cut.
 
 * Batches: batch_index = row_idx div 5, key route = batch_index mod n_keys;
-  payload = JSON array of {id, text[:1500]} in id order. A batch holds at
+  payload = JSON array of {id, text} in id order. A batch holds at
   most 5 rows, so the groupBy collects bounded groups only.
 * Calls: ``run_batches`` is a ``mapInPandas`` over payload rows; each task
   calls ``model(payload, attempt) -> text`` up to 3 times (empty answer, bad
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.text import cap, py_strip
-from framelens.schema import (BATCH_SIZE, DEFAULT_LABEL, DEFAULT_TECHNIQUE, INFERENCE_TEXT_CAP,
+from framelens.schema import (BATCH_SIZE, DEFAULT_LABEL, DEFAULT_TECHNIQUE, INFERENCE_TEXT_CAP as REMOTE_TEXT_CHARS,
                               MAX_ATTEMPTS, TACTIC_LABELS)
 
 SUCCESS, FAILED, QUOTA = "SUCCESS", "FAILED", "QUOTA_EXHAUSTED"
@@ -40,9 +40,14 @@ INT_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT"]
 # ---------------------------------------------------------------------------
 # batches
 # ---------------------------------------------------------------------------
-def batch_items(rows: DataFrame, n_keys: int = 1, text_col: str = "full_text") -> DataFrame:
-    """(batch_index, key_route, n_items, first_id, last_id, text_chars, payload)."""
-    text = cap(F.coalesce(F.col(text_col).cast("string"), F.lit("")), INFERENCE_TEXT_CAP)
+def batch_items(rows: DataFrame, n_keys: int = 1, text_col: str = "full_text", max_chars: int | None = None) -> DataFrame:
+    """(batch_index, key_route, n_items, first_id, last_id, text_chars, payload).
+
+    Whole texts, or their first ``max_chars`` characters for a remote model that takes no more
+    (``REMOTE_TEXT_CHARS`` is what the analysed service was sent).
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text if max_chars is None else cap(text, max_chars)
     items = rows.select(F.floor(F.col("row_idx") / BATCH_SIZE).cast("long").alias("batch_index"),
                         F.struct(F.col("row_idx").alias("id"), text.alias("text")).alias("item"))
     b = items.groupBy("batch_index").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -211,14 +216,14 @@ def lexicon_table(spark) -> DataFrame:
 
 
 def lexicon_tactics(spark, rows: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
-    """Offline classifier as a Spark job: tokens of the inference text joined
+    """Offline classifier as a Spark job: tokens of the whole text joined
     to the (broadcast, 40-row) lexicon, weights summed per (row, label), best
     label by (score desc, catalogue order); rows with no lexicon token are
     'Neutral Reporting' with score 0. confidence = best / total, in
     thousandths (exact integer rounding)."""
     from framelens.functions.text import ratio_milli, tokens
     toks = rows.select(F.col(id_col).alias("id"),
-                       F.explode(tokens(F.col(text_col), INFERENCE_TEXT_CAP)).alias("token"))
+                       F.explode(tokens(F.col(text_col))).alias("token"))
     hits = toks.join(F.broadcast(lexicon_table(spark)), "token")
     per = hits.groupBy("id", "tactic_label", "label_idx").agg(F.sum("weight").alias("score"))
     best = per.groupBy("id").agg(
@@ -237,14 +242,13 @@ def lexicon_tactics(spark, rows: DataFrame, text_col: str = "text", id_col: str
 def lexicon_model(payload: str, attempt: int = 0) -> str:
     """The same scorer as a per-batch Python model: JSON answer text for a
     payload of {id, text} items (a small helper run inside executors)."""
-    import regex
     lex: dict[str, list[tuple[str, int]]] = {}
     for t, l, w in LEXICON:
         lex.setdefault(t, []).append((l, w))
     out = []
     for item in json.loads(payload):
         scores: dict[str, int] = {}
-        for tok in regex.findall(r"[\p{L}\p{N}]+", (item["text"] or "").lower()):
+        for tok in re.findall(r"[^\W_]+", (item["text"] or "").lower()):
             for l, w in lex.get(tok, ()):
                 scores[l] = scores.get(l, 0) + w
         if scores:

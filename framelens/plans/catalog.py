@@ -398,6 +398,36 @@ def q_classify_run(spark, sf_dir):
     return out.select("row_idx", "tactic_label", "specific_technique", "tactic_confidence")
 
 
+from framelens.operators import bayes  # noqa: E402
+
+
+def _labelled(spark, sf_dir):
+    """Documents with their toxic label as text; those whose id is divisible by 4 are held out."""
+    labels = fx.table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return rows.withColumn("held_out", F.pmod("doc_id", F.lit(4)) == 0)
+
+
+@query("bayes_labels")
+def q_bayes_labels(spark, sf_dir):
+    """Labels of the held-out documents by the classifier fitted on the others."""
+    rows = _labelled(spark, sf_dir)
+    model = bayes.fit_bayes(rows.where("not held_out"))
+    return bayes.score_bayes(rows.where("held_out"), model, "doc_id").select(F.col("id").alias("doc_id"), "label", F.round("score", 3).alias("score"))
+
+
+@query("bayes_accuracy")
+def q_bayes_accuracy(spark, sf_dir):
+    """Whether the classifier is right more often than the most frequent label on the held-out documents."""
+    rows = _labelled(spark, sf_dir)
+    model = bayes.fit_bayes(rows.where("not held_out"))
+    test = rows.where("held_out").withColumnRenamed("label", "truth")
+    both = test.join(bayes.score_bayes(test, model, "doc_id").withColumnRenamed("id", "doc_id"), "doc_id")
+    n, hit = F.count(F.lit(1)), F.count_if(F.col("truth") == F.col("label"))
+    most = F.greatest(F.count_if(F.col("truth") == "1"), F.count_if(F.col("truth") == "0"))
+    return both.agg(n.alias("n"), (hit > most).alias("above_majority"))
+
+
 # --- pages, feeds, translation -------------------------------------------------
 from framelens.functions.text import py_strip  # noqa: E402
 from framelens.sources import feeds as feedsrc  # noqa: E402

@@ -412,7 +412,7 @@ clean_rows AS (
 SQL["classify_batches"] = with_(ARTICLES, CLEAN_ROWS) + """
 SELECT row_idx // 5 AS batch_index, (row_idx // 5) % 2 AS key_route, count(*) AS n_items,
   min(row_idx) AS first_id, max(row_idx) AS last_id,
-  sum(length(substring(coalesce(full_text, ''), 1, 1500))) AS text_chars
+  sum(length(coalesce(full_text, ''))) AS text_chars
 FROM clean_rows GROUP BY 1"""
 
 
@@ -423,7 +423,7 @@ def _lexicon_values() -> str:
 
 LEXICON_SQL = f"""
 lexicon(token, tactic_label, weight, label_idx) AS (VALUES {_lexicon_values()}),
-ltoks AS (SELECT row_idx, unnest(regexp_extract_all(lower(substring(coalesce(full_text, ''), 1, 1500)),
+ltoks AS (SELECT row_idx, unnest(regexp_extract_all(lower(coalesce(full_text, '')),
            '[\\p{{L}}\\p{{N}}]+')) AS token FROM clean_rows),
 lper AS (SELECT row_idx, l.tactic_label, l.label_idx, sum(weight) AS score
          FROM ltoks JOIN lexicon l USING (token) GROUP BY 1, 2, 3),
@@ -491,3 +491,20 @@ SQL["lsh_recall"] = with_(DENSE, DENSE_EDGES) + "SELECT count(*) AS n_pairs, 0 A
 
 SQL["knn_descent_recall"] = with_(DENSE) + "SELECT least(10, (SELECT count(*) FROM emb)) * (SELECT count(*) FROM emb) AS n, true AS recall_ok"
 SQL["map_quality"] = with_(DENSE) + "SELECT count(*) AS n_points, true AS orthonormal, true AS above_chance, true AS forces_better FROM emb"
+
+BAYES = """
+lab AS (SELECT doc_id, CAST(max(toxic) AS VARCHAR) AS label FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+rws AS (SELECT d.doc_id, d.text, l.label, d.doc_id % 4 = 0 AS held_out FROM documents d JOIN lab l USING (doc_id)),
+btok AS (SELECT doc_id, label, held_out, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM rws),
+cnt AS (SELECT label, token, count(*) AS n FROM btok WHERE NOT held_out GROUP BY label, token),
+cls AS (SELECT label, count(*) AS texts, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM rws WHERE NOT held_out GROUP BY label),
+len AS (SELECT label, sum(n) + (SELECT count(DISTINCT token) FROM cnt) AS size FROM cnt GROUP BY label),
+htf AS (SELECT doc_id, token, count(*) AS tf FROM btok WHERE held_out GROUP BY doc_id, token),
+sc AS (SELECT r.doc_id, c.label, round(c.prior + coalesce((SELECT sum(h.tf * (ln(coalesce(k.n, 0) + 1) - ln(l.size))) FROM htf h LEFT JOIN cnt k
+    ON k.token = h.token AND k.label = c.label WHERE h.doc_id = r.doc_id), 0), 6) AS score
+  FROM rws r CROSS JOIN cls c JOIN len l ON l.label = c.label WHERE r.held_out),
+best AS (SELECT doc_id, label, score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1)"""
+SQL["bayes_labels"] = with_(BAYES) + "SELECT doc_id, label, round(score, 3) AS score FROM best"
+SQL["bayes_accuracy"] = with_(BAYES) + """
+SELECT count(*) AS n, count(*) FILTER (WHERE b.label = r.label) > greatest(count(*) FILTER (WHERE r.label = '1'), count(*) FILTER (WHERE r.label = '0')) AS above_majority
+FROM best b JOIN rws r USING (doc_id)"""
