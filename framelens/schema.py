@@ -29,23 +29,6 @@ TACTIC_LABELS: list[str] = [
     "Neutral Reporting",
 ]
 
-# FIXED VALUES: one-line definitions sent with every inference batch.
-TACTIC_DEFINITIONS: dict[str, str] = {
-    "Fear-Mongering / Alarmism": "Exaggerating threats to provoke panic.",
-    "Emotional Manipulation": "Using tragic stories or charged language to elicit sympathy or guilt.",
-    "Nationalism / Pride": "Glorifying a nation or military as morally superior.",
-    "Othering / Scapegoating": "Blaming a minority or specific group for systemic problems.",
-    "Anti-Establishment": "Framing institutions or media as inherently corrupt.",
-    "Moral / Religious Framing": "Claiming actions are mandated by God or moral righteousness.",
-    "Victim-Blaming": "Asserting victims are responsible for their own suffering.",
-    "Justification of Violence": "Framing military strikes or war as necessary and heroic.",
-    "Disinformation": "Presenting completely fabricated events.",
-    "Selective Framing / Bias": "Deliberately omitting opposing facts to create a one-sided narrative.",
-    "Ridicule / Delegitimization": "Using mockery to portray leaders/nations as weak.",
-    "False Authority / Unverified Claims": "Relying on anonymous sources for severe allegations.",
-    "Neutral Reporting": "Objective, balanced, and emotionally detached reporting.",
-}
-
 # FIXED VALUES: severity per label (0.0..1.0), unknown labels score 0.0.
 # Kept in integer hundredths so sums are exact and order-independent.
 SEVERITY_HUNDREDTHS: dict[str, int] = {
@@ -166,12 +149,6 @@ def severity_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "tactic_label string, severity_h int")
 
 
-def vocabulary_table(spark: SparkSession) -> DataFrame:
-    """(label_idx, tactic_label, definition) — 13 rows."""
-    rows = [(i, k, TACTIC_DEFINITIONS[k]) for i, k in enumerate(TACTIC_LABELS)]
-    return spark.createDataFrame(rows, "label_idx int, tactic_label string, definition string")
-
-
 def assert_schema(df: DataFrame, schema: T.StructType, check_nulls: bool = True) -> DataFrame:
     """Check names and types against a response schema; count rows that break
     a non-null field in ONE aggregate. Raises on any violation."""
