@@ -110,6 +110,14 @@ def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str =
     # cores without a core neighbour are clusters of their own
     comp_all = (core.join(comp.withColumnRenamed("vertex", "c"), "c", "left")
                 .select(F.col("c").alias("vertex"), F.coalesce("comp", "c").alias("comp")))
+    return label_points(points.select(F.col(id_col).alias("id")), adj, comp_all, members)
+
+
+def label_points(points: DataFrame, adj: DataFrame, comp_all: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(id, label) of ``points`` (id) from the components (vertex, comp) of the
+    core points and the neighbours ``adj`` (v, u) both ways: clusters numbered
+    by ``comp``, border points with the least number among their core
+    neighbours, -1 for the rest. ``members`` (id, rep): points stand for classes."""
     numbers = dense_index(comp_all.select("comp").distinct(), "comp", "label")
     core_lab = comp_all.join(numbers, "comp").select("vertex", "label")
     border = (adj.join(core_lab.select(F.col("vertex").alias("u"), F.col("label").alias("l")), "u")
@@ -118,6 +126,5 @@ def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str =
     labelled = core_lab.unionByName(border)
     if members is not None:
         labelled = members.join(labelled, F.col("rep") == F.col("vertex")).select(F.col("id").alias("vertex"), "label")
-    return (points.select(F.col(id_col).alias("id"))
-            .join(labelled.withColumnRenamed("vertex", "id"), "id", "left")
+    return (points.select("id").join(labelled.withColumnRenamed("vertex", "id"), "id", "left")
             .select("id", F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label")))

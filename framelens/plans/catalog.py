@@ -91,6 +91,22 @@ def q_load_classified(spark, sf_dir):
     return _classified(spark, sf_dir)
 
 
+from framelens.sources.snapshots import Snapshots  # noqa: E402
+
+
+@query("classified_mapped")
+def q_classified_mapped(spark, sf_dir):
+    """The classified table is stored, then rewritten with coordinates (here the first three components of the
+    given vectors) from its own last version, and served from the new one: no coordinate or NaN reads 0."""
+    tables = Snapshots(spark, staging_path(spark, "classified"))
+    tables.publish({"classified": _classified(spark, sf_dir)})
+    axes = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
+    coords = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src_idx"), *axes)
+    tables.publish({"classified": tables.read("classified").join(coords, "src_idx", "left")})
+    served = [F.round(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), 6).alias(c) for c in "xyz"]
+    return tables.read("classified").select("row_idx", "source", "title", "tactic_label", *served)
+
+
 @query("headlines_page")
 def q_headlines_page(spark, sf_dir):
     return ingest.headlines_page(_classified(spark, sf_dir), 100)
@@ -229,6 +245,19 @@ def q_event_labels_dense(spark, sf_dir):
     return components.dbscan(emb, edges, DBSCAN_MIN_SAMPLES, id_col="vec_id").withColumnRenamed("id", "vec_id")
 
 
+from framelens.operators.incremental import EventStore  # noqa: E402
+
+
+@query("event_labels_loads")
+def q_event_labels_loads(spark, sf_dir):
+    """``event_labels_dense`` kept up to date: the vectors arrive in two loads, odd ids first."""
+    emb = fx.table(spark, sf_dir, "embeddings")
+    store = EventStore(spark, staging_path(spark, "events"), DENSE_EPS, DBSCAN_MIN_SAMPLES)
+    for rest in (1, 0):
+        store.load(emb.where(F.pmod("vec_id", F.lit(2)) == rest))
+    return store.labels().withColumnRenamed("id", "vec_id")
+
+
 @query("knn_graph")
 def q_knn_graph(spark, sf_dir):
     k = similarity.knn_blocked(fx.table(spark, sf_dir, "embeddings"), 10)

@@ -263,6 +263,8 @@ edges AS (SELECT src, dst FROM dpairs WHERE least(greatest(1 - cos, 0), 2) <= 0.
 SQL["event_labels_dense"] = ("WITH RECURSIVE " + DENSE + "," + DENSE_EDGES + "," + dbscan_sql(2, "SELECT vec_id AS id FROM emb")
                              + "\nSELECT id AS vec_id, label FROM labels")
 
+SQL["event_labels_loads"] = SQL["event_labels_dense"]
+
 SQL["knn_graph"] = with_(DENSE) + """
 , d AS (SELECT a.vec_id, b.vec_id AS nbr, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE list_distance(a.v, b.v) END AS dist
         FROM emb a JOIN emb b ON true)

@@ -86,20 +86,3 @@ def write_csv(df: DataFrame, path: str, order_by: str | None = None) -> None:
     (df.write.mode("overwrite")
      .options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
      .csv(path))
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    """Overwrite a parquet table; empty input writes nothing."""
-    if df.isEmpty():
-        return
-    df.write.mode("overwrite").parquet(path)
-
-
-def rewrite_versioned(df: DataFrame, base: str, version: str) -> str:
-    """Write a new version of a table next to the one being read
-    (``base/v=<version>``) instead of overwriting the input in place, which
-    Spark cannot do while it still reads it; readers take the newest
-    version. Returns the new path."""
-    path = f"{base}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
