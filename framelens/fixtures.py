@@ -201,3 +201,19 @@ def llm_answers(spark: SparkSession, sf_dir: str, with_quota: bool = False) -> D
         status = F.when(F.col("batch_index") >= QUOTA_FROM_BATCH, F.lit("QUOTA_EXHAUSTED")).otherwise(status)
     return g.select("batch_index", status.alias("status"),
                     F.when(status == "SUCCESS", answer).alias("answer"))
+
+
+def flaky_model(payload: str, attempt: int = 0) -> str:
+    """The lexicon model with the faults of a remote one, by batch number: an unreadable first answer (number % 7
+    is 3), no answer at all (% 11 is 5), a spent quota (from 150 on)."""
+    import json
+
+    from framelens.operators.inference import QuotaExhausted, lexicon_model
+    from framelens.schema import BATCH_SIZE
+
+    batch = json.loads(payload)[0]["id"] // BATCH_SIZE
+    if batch >= QUOTA_FROM_BATCH:
+        raise QuotaExhausted("tokens per day")
+    if batch % 11 == 5:
+        raise TimeoutError("no answer")
+    return "not JSON" if batch % 7 == 3 and attempt == 0 else lexicon_model(payload)

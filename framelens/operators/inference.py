@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,11 +100,14 @@ def call_with_retries(model: Callable[[str, int], str], payload: str, attempts:
 RUN_SCHEMA = "batch_index long, key_route long, attempts int, status string, answer string, error string"
 
 
-def run_batches(batches: DataFrame, model: Callable[[str, int], str]) -> DataFrame:
-    """Call ``model`` for every batch inside executors (mapInPandas)."""
+def run_batches(batches: DataFrame, model: Callable[[str, int], str] | Sequence[Callable[[str, int], str]]) -> DataFrame:
+    """Call ``model`` for every batch inside executors (mapInPandas). Of several models (one for each key), a batch
+    goes to the one of its ``key_route``."""
+    models = [model] if callable(model) else list(model)
+
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = [call_with_retries(model, p) for p in pdf["payload"]]
+            out = [call_with_retries(models[r % len(models)], p) for r, p in zip(pdf["key_route"], pdf["payload"])]
             yield pd.DataFrame({
                 "batch_index": pdf["batch_index"].astype("int64"),
                 "key_route": pdf["key_route"].astype("int64"),

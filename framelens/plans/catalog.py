@@ -427,6 +427,34 @@ def q_classify_run(spark, sf_dir):
     return out.select("row_idx", "tactic_label", "specific_technique", "tactic_confidence")
 
 
+from framelens.operators import waves  # noqa: E402
+
+
+def _day_runs(spark, sf_dir):
+    w = waves.Waves(spark, staging_path(spark, "waves"))
+    w.plan(inference.batch_items(_clean_rows(spark, sf_dir), n_keys=2), waves.ANSWER_TOKENS)
+    return w
+
+
+_RUN_COLUMNS = ["batch_index", "key_route", "attempts", "status", "tokens", "spent"]
+
+
+@query("batch_runs")
+def q_batch_runs(spark, sf_dir):
+    """The status table of a run whose model fails, answers unreadably and ends by its quota, up to that end."""
+    runs = _day_runs(spark, sf_dir).run_day(fx.flaky_model)
+    return waves.until_stop(runs).select(*_RUN_COLUMNS)
+
+
+@query("batch_budget")
+def q_batch_budget(spark, sf_dir):
+    """Two days within the daily budget of tokens a key: the second goes on where the first ended."""
+    w = _day_runs(spark, sf_dir)
+    for _ in range(2):
+        w.run_day([inference.lexicon_model] * 2, waves.TOKENS_PER_DAY)
+    return w.runs().select(F.col("day").cast("long").alias("day"), *_RUN_COLUMNS)
+
+
 from framelens.operators import bayes  # noqa: E402
 
 

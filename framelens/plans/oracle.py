@@ -138,6 +138,10 @@ SQL["load_classified"] = with_(ARTICLES, CLASSIFIED) + "SELECT * FROM classified
 
 _CLS_COLS = ["src_idx", "source", "perspective", "original_language", "raw_title", "title", "full_text",
              "published_date", "link", "tactic_label", "row_idx"]
+SQL["classified_mapped"] = with_(ARTICLES, CLASSIFIED) + "SELECT row_idx, source, title, tactic_label, " + ", ".join(
+    f"round(coalesce(CAST(CASE WHEN isnan(e.embedding[{i}]) THEN 0 ELSE e.embedding[{i}] END AS DOUBLE), 0), 6) AS {c}"
+    for i, c in enumerate("xyz", 1)) + " FROM classified LEFT JOIN embeddings e ON e.vec_id = src_idx"
+
 SQL["headlines_page"] = with_(ARTICLES, CLASSIFIED) + "SELECT " + ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), 'N/A') AS {c}" for c in _CLS_COLS) + \
     " FROM (SELECT * FROM classified ORDER BY row_idx LIMIT 100)"
@@ -442,6 +446,25 @@ SQL["lexicon_tactics"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + "SELECT * FR
 SQL["classify_run"] = with_(ARTICLES, CLEAN_ROWS, LEXICON_SQL) + """
 SELECT row_idx, tactic_label, 'lexicon match' AS specific_technique, confidence AS tactic_confidence FROM lex"""
 
+WAVES = """
+bat AS (SELECT row_idx // 5 AS batch_index, (row_idx // 5) % 2 AS key_route,
+  CAST(ceil(sum(length(coalesce(full_text, ''))) / 4.0) AS BIGINT) + 2000 AS tokens FROM clean_rows GROUP BY 1),
+day1 AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY key_route ORDER BY batch_index) AS BIGINT) AS spent FROM bat)"""
+SQL["batch_runs"] = with_(ARTICLES, CLEAN_ROWS, WAVES) + """
+SELECT batch_index, key_route, CASE WHEN batch_index >= 150 THEN 1 WHEN batch_index % 11 = 5 THEN 3
+    WHEN batch_index % 7 = 3 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN batch_index >= 150 THEN 'QUOTA_EXHAUSTED' WHEN batch_index % 11 = 5 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+  tokens, spent FROM day1 WHERE batch_index <= 150"""
+SQL["batch_budget"] = with_(ARTICLES, CLEAN_ROWS, WAVES, """
+stop1 AS (SELECT min(batch_index) AS b FROM day1 WHERE spent > 200000),
+day2 AS (SELECT batch_index, key_route, tokens, CAST(sum(tokens) OVER (PARTITION BY key_route ORDER BY batch_index) AS BIGINT) AS spent
+  FROM bat WHERE batch_index >= (SELECT b FROM stop1)),
+stop2 AS (SELECT min(batch_index) AS b FROM day2 WHERE spent > 200000),
+sent AS (SELECT 1 AS day, day1.*, b FROM day1, stop1 WHERE b IS NULL OR batch_index <= b
+  UNION ALL SELECT 2, day2.batch_index, day2.key_route, day2.tokens, day2.spent, b FROM day2, stop2 WHERE b IS NULL OR batch_index <= b)""") + """
+SELECT day, batch_index, key_route, CASE WHEN batch_index = b THEN 0 ELSE 1 END AS attempts,
+  CASE WHEN batch_index = b THEN 'QUOTA_EXHAUSTED' ELSE 'SUCCESS' END AS status, tokens, spent FROM sent"""
+
 
 # --- feeds, translation ---------------------------------------------------------
 SQL["feed_entries"] = with_(ENTRIES) + f"""
