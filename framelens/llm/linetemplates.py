@@ -2,22 +2,20 @@
 
 Every line falls through a tree: first by its number of tokens, then by its leading ``depth`` tokens. Tokens
 with digits are variable fields (``<*>``) from the start. In a leaf, the tokens behind the leading ones are cut
-into five runs by position, and a line belongs to six templates: itself, and itself with one run generalised to
-``<*>``. Two lines share a template iff their variable fields lie within one run, so at least four fifths of
-their positions agree. A template is recurring if ``min_docs`` documents have it. Of its lines all but the
-first (smallest doc_id, then position) are dropped; the first keeps the content in the corpus.
+into five runs by position, and a line belongs to itself, to the five templates with one run generalised to ``<*>``,
+and, with ``TWO_FIELDS`` or more tokens, to the ten with two open runs. So the variable fields of two lines that share a
+template lie within two runs, and at least three fifths of their positions agree. A template is recurring if
+``min_docs`` documents have it. Short lines (fewer than ``min_tokens`` tokens) and long ones (``LONG`` or more) also
+have their literal text as template, where digits stand for themselves; a long line recurs from ``LONG_DOCS``
+documents on. Of a recurring template's lines all but the first (smallest doc_id, then position) are dropped; the first
+keeps the content in the corpus.
 
 Only hashes are shuffled for this: node counts first, then the templates of lines in nodes with enough lines,
 then one join of documents and positions to drop. Hot templates are counted by partial aggregation and joined
 through a broadcast of the provably few keys with more than a thousandth of the rows.
 
-The stage ``keep_new_lines`` also gives short lines (fewer than ``min_tokens`` tokens) and long ones (``LONG`` or more)
-their literal text as template; a long line recurs from ``LONG_DOCS`` documents on. Lines of ``TWO_FIELDS`` or more
-tokens there also have the ten templates with two open runs, so at least three fifths of the positions agree.
-``drop_recurring`` alone, which ``SQL`` states, does neither: it keeps short lines, exact passages that fewer than
-``min_docs`` documents have, and lines whose digit-free fields lie in two runs.
-
-Edge cases. Null and empty texts have one blank line, which is kept (null stays null). Lines of fewer than five tokens have only themselves as template. A document's own repeats
+Edge cases. Null and empty texts have one blank line, which is kept (null stays null). Lines of fewer than
+five tokens have only themselves as template, so they recur word for word (fields with digits aside). A document's own repeats
 count once towards ``min_docs`` but are dropped with the rest. Repeated rows (same doc_id and text) count as
 one document and get the same result; a null doc_id counts as an id that comes first. A text whose lines all
 go becomes empty, its row stays. Extra columns are carried. An empty table gives an empty result.
@@ -60,35 +58,26 @@ def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                                        *[run(k).alias(f"r{k}") for k in range(RUNS)], n.alias("n_tokens"), "exact")
 
 
-def _templates(two_fields: bool) -> Column:
+def _templates() -> Column:
     runs = [F.col(f"r{k}") for k in range(RUNS)]
     own = F.xxhash64("node", *runs)
     open_ = [F.xxhash64("node", F.lit(k), *runs[:k], *runs[k + 1:]) for k in range(RUNS)]
-    one = F.when(F.col("long"), F.array(own, *open_)).otherwise(F.array(own))
-    if not two_fields:
-        return one
     two = [F.xxhash64("node", F.lit(j), F.lit(k), *[r for i, r in enumerate(runs) if i not in (j, k)]) for j, k in combinations(range(RUNS), 2)]
-    return F.when(F.col("n_tokens") >= TWO_FIELDS, F.array(own, *open_, *two)).otherwise(one)
-
+    return (F.when(F.col("n_tokens") >= TWO_FIELDS, F.array(own, *open_, *two))
+            .when(F.col("long"), F.array(own, *open_)).otherwise(F.array(own)))
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3, exact: bool = False, two_fields: bool = False) -> DataFrame:
-    """(doc_id, h, drop): the positions to drop of each document that has any; h is the hash of its text.
 
-    With ``exact``, lines of fewer than ``min_tokens`` tokens and lines of ``LONG`` or more also have their literal text as
-    template (digits stand for themselves); a long one recurs if ``LONG_DOCS`` documents have it. With ``two_fields``, lines of ``TWO_FIELDS``
-    or more tokens also have the templates with two open runs.
-    """
-    parsed = parsed_lines(docs, depth, min_tokens)
-    lines = cut(parsed if exact else parsed.where("node is not null").drop("exact"), "lines")
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, min_tokens: int = 3) -> DataFrame:
+    """(doc_id, h, drop): the positions to drop of each document that has any; h is the hash of its text."""
+    lines = cut(parsed_lines(docs, depth, min_tokens), "lines")
     nodes = cut(lines.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "nodes")
     total = lines.count()
     busy = attach(lines, nodes, "node", "n", total).where("busy")
-    templates = busy.select("doc_id", "h", "pos", F.explode(_templates(two_fields)).alias("key"), F.lit(min_docs).alias("least"))
-    if exact:
-        literal = lines.where((F.col("n_tokens") < min_tokens) | (F.col("n_tokens") >= LONG))
-        least = F.when(F.col("n_tokens") >= LONG, LONG_DOCS).otherwise(min_docs)
-        templates = templates.unionByName(literal.select("doc_id", "h", "pos", F.col("exact").alias("key"), least.alias("least")))
-    keys = cut(templates, "templates")
+    general = busy.select("doc_id", "h", "pos", F.explode(_templates()).alias("key"), F.lit(min_docs).alias("least"))
+    least = F.when(F.col("n_tokens") >= LONG, LONG_DOCS).otherwise(min_docs)
+    literal = (lines.where((F.col("n_tokens") < min_tokens) | (F.col("n_tokens") >= LONG))
+               .select("doc_id", "h", "pos", F.col("exact").alias("key"), least.alias("least")))
+    keys = cut(general.unionByName(literal), "templates")
     per_doc = keys.groupBy("key", "doc_id", "h").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
     found = cut(per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min("least").alias("least"),
                                            F.min(F.struct("doc_id", "h", "pos")).alias("first"))
@@ -122,7 +111,7 @@ def keep_new_lines(docs: DataFrame, **limits) -> DataFrame:
     values = {"text": F.col("left")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.coalesce(F.length("left").cast(docs.schema["n_chars"].dataType), F.col("row").getField("n_chars"))
-    return unpacked(_thinned(docs, **{"exact": True, "two_fields": True} | limits), docs.columns, **values)
+    return unpacked(_thinned(docs, **limits), docs.columns, **values)
 
 
 #: The same in DuckDB, on strings instead of hashes.
@@ -130,14 +119,20 @@ SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 tok AS (
-  SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '(^|[ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', '\1<*>', 'g'), '[^ \t\x0B\f\r]+') AS t FROM lines),
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, regexp_extract_all(regexp_replace(line, '(^|[ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', '\1<*>', 'g'), '[^ \t\x0B\f\r]+') AS t FROM lines),
 node AS (SELECT doc_id, pos, t, len(t) AS n, len(t) || '|' || array_to_string(t[1:3], ' ') AS node FROM tok WHERE len(t) >= 3),
 ks AS (
-  SELECT doc_id, pos, node || '|own|' || array_to_string(t, ' ') AS k FROM node
+  SELECT doc_id, pos, 'exact|' || line AS k, CASE WHEN len(t) >= 20 THEN 2 ELSE 8 END AS least FROM tok WHERE len(t) IN (1, 2) OR len(t) >= 20
+  UNION ALL
+  SELECT doc_id, pos, node || '|own|' || array_to_string(t, ' '), 8 FROM node
+  UNION ALL
+  SELECT doc_id, pos, node || '|' || g || '|' || array_to_string(t[1:(n * g) // 5], ' ') || ' <*> ' || array_to_string(t[(n * (g + 1)) // 5 + 1:], ' '), 8
+  FROM node, range(5) AS r(g) WHERE n >= 5
   UNION ALL
-  SELECT doc_id, pos, node || '|' || g || '|' || array_to_string(t[1:(n * g) // 5], ' ') || ' <*> ' || array_to_string(t[(n * (g + 1)) // 5 + 1:], ' ')
-  FROM node, range(5) AS r(g) WHERE n >= 5),
-rec AS (SELECT k, min(row(doc_id, pos)) AS first FROM ks GROUP BY k HAVING count(DISTINCT doc_id) >= 8),
+  SELECT doc_id, pos, node || '|' || g || '|' || h || '|' || array_to_string(t[1:(n * g) // 5], ' ') || ' <*> '
+    || array_to_string(t[(n * (g + 1)) // 5 + 1:(n * h) // 5], ' ') || ' <*> ' || array_to_string(t[(n * (h + 1)) // 5 + 1:], ' '), 8
+  FROM node, range(5) AS r(g), range(5) AS s(h) WHERE n >= 10 AND g < h),
+rec AS (SELECT k, min(row(doc_id, pos)) AS first FROM ks GROUP BY k HAVING count(DISTINCT doc_id) >= min(least)),
 gone AS (SELECT DISTINCT doc_id, pos FROM ks JOIN rec USING (k) WHERE row(doc_id, pos) <> first)
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
   coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text
