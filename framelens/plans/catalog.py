@@ -522,6 +522,26 @@ def q_translate_route(spark, sf_dir):
     return d.select("doc_id", "lang", F.length(t).alias("n_chars"), F.md5(t).alias("md5"))
 
 
+from framelens.operators.translate import translate_texts  # noqa: E402
+
+
+@query("translate_batches")
+def q_translate_batches(spark, sf_dir):
+    """All documents through a batched translator (here one that marks every piece), a second time from the memo alone."""
+    memo = Snapshots(spark, staging_path(spark, "memo"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+    def mark(pieces, lang):
+        return [f"<{lang}>{p}" for p in pieces]
+
+    def none_left(pieces, lang):
+        raise RuntimeError("every piece stands in the memo")
+
+    translate_texts(docs, mark, memo, "doc_id")
+    t = translate_texts(docs, none_left, memo, "doc_id")
+    return t.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"), "n_failed")
+
+
 @query("translate_preview")
 def q_translate_preview(spark, sf_dir):
     b = _built(spark, sf_dir).where(F.col("original_language") != "en")

@@ -475,6 +475,11 @@ SELECT source, pos // 50 AS page, row_number() OVER (PARTITION BY source, pos //
 SQL["translate_route"] = """
 SELECT doc_id, lang, length(text) AS n_chars, md5(text) AS md5 FROM documents"""
 
+SQL["translate_batches"] = """
+WITH t AS (SELECT doc_id, CASE WHEN lang = 'en' OR text IS NULL OR text = '' THEN text ELSE array_to_string(
+    ['<' || coalesce(lang, '') || '>' || substring(text, i * 800 + 1, 800) for i in range((length(text) + 799) // 800)], '') END AS text FROM documents)
+SELECT doc_id, length(text) AS n_chars, md5(text) AS md5, 0 AS n_failed FROM t"""
+
 SQL["translate_preview"] = with_(FEEDS, ENTRIES, BUILT) + """
 SELECT source, substring(raw_title, 1, 80) AS original, substring(title, 1, 80) AS translated,
   substring(full_text, 1, 150) AS full_text
