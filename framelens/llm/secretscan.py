@@ -1,18 +1,23 @@
 """Secret scans: three fixed formats, and formats learned by grammar inference.
 
 Fixed formats (``assign``, ``access``, ``hex``) are found by pattern. Their matches in all documents are
-the labelled credentials, of which each kind's ``per_kind`` with the least hashes are learned from, however rare they are. Per kind, a prefix-tree automaton over character classes is built from
-them and its statistically compatible states are merged (ALERGIA, Carrasco and Oncina 1994: red-blue order,
-Hoeffding test), which leaves a small probabilistic automaton with loops that also accepts lengths and strings
-not seen. Every unbroken run of token characters of every whole text that is as long as the shortest labelled
-credential is a candidate, and so are its parts: without the punctuation at its ends, behind its first ``=``, and
-between its ``=`` signs. A candidate becomes a ``learned`` span when its
-mean log-likelihood per symbol under an automaton is typical of the credentials (neither lower nor higher than
-all but a few of theirs: an upper-case word is likelier than a random key), and higher than under the automaton
-learned from ordinary tokens.
+the labelled credentials, of which each kind's ``per_kind`` with the least hashes are learned from, however rare
+they are. A kind's credentials are dealt into formats: by the literal prefix that they share (a prefix tree whose
+steps are far likelier than chance), else by the least character class that holds them (``CLASSES``). Within a
+format the prefix stays literal and the class is one symbol, so that the tree of a random key does not branch at
+every character and lengths survive. Per format, a prefix-tree automaton is built over these symbols and its
+statistically compatible states are merged (ALERGIA, Carrasco and Oncina 1994: red-blue order, Hoeffding test),
+which leaves a small probabilistic automaton. Every unbroken run of 8 or more token characters of every whole
+text is a candidate, and so are its parts: without the punctuation at its ends, behind its first ``=``, and
+between its ``=`` signs. A candidate becomes a ``learned`` span when its mean log-likelihood per symbol under a
+format's automaton is not below that of all but ``miss`` of its credentials, and its likelihood there is higher
+than among ordinary tokens (their share of that class, times the class's own automaton). A format that takes more
+than ``loose`` of the ordinary tokens, each counted as often as it stands there (say, passwords that are plain
+words), and has no literal prefix tells nothing; it is left out and logged. ``learned_recall`` measures what the automata find with no pattern at work.
 
 Edge cases. Null texts are empty and have no spans. A kind with fewer than five distinct credentials in the whole table gives no automaton,
-which is logged.
+which is logged; neither does a format with fewer than five. Credentials and ordinary tokens over 256 characters are not
+learned from (candidates of any length are scored).
 Repeated rows and null ids keep their rows. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -24,7 +29,8 @@ import logging
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -41,7 +47,14 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 PART = re.compile(r"[^=]+=*")  # trailing '=' may be padding
 EDGE = ".=-"
 KINDS = ("assign", "access", "hex", "learned")
-CLASS = {c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "x" for c in "abcdef"} | {c: "9" for c in "0123456789"}
+LONGEST = 256  # of the strings that are learned from
+#: symbol of a character class and its characters, narrow classes first; the last takes the signs of base64 in too
+CLASSES = (("δ", "0-9"), ("ω", "a-z"), ("Ω", "A-Z"), ("η", "0-9a-f"), ("μ", "A-Za-z"), ("λ", "0-9a-z"), ("υ", "0-9A-Z"),
+           ("α", "0-9A-Za-z"), ("β", "0-9A-Za-z+/_-"))
+HOLDS = {c: re.compile(f"[{chars}]*").fullmatch for c, chars in CLASSES}
+INSIDE = {c: re.compile(f"[{chars}]").sub for c, chars in CLASSES}
+SIGNS = str.maketrans("", "", "+/_.=-")
+FEWEST = 5  # strings of a format
 
 Span = tuple[str, int, int]
 
@@ -92,15 +105,62 @@ def candidates(text: str, shortest: int) -> Iterator[list[Span]]:
         yield [("learned", a, b) for a, b in dict.fromkeys(found) if b - a >= shortest]
 
 
-def symbols(text: str) -> str:
-    """The character classes of a token; punctuation stands for itself."""
-    return "".join(CLASS.get(c, c) for c in text)
+def class_of(text: str) -> str:
+    """The least class that holds a token's letters and digits. Signs stand for themselves, but in a token of mixed
+    letters and digits ``+/_-`` belong to the class."""
+    bare = text.translate(SIGNS)
+    least = next(c for c, _ in CLASSES if HOLDS[c](bare))
+    return "β" if least == "α" and not HOLDS["α"](text.replace(".", "").replace("=", "")) else least
+
+
+def shape(text: str, prefix: str, symbol: str) -> str:
+    """The token with its prefix as it is and every character of the class as the class's symbol."""
+    return prefix + INSIDE[symbol](symbol, text[len(prefix):])
+
+
+def prefixes(strings: list[str], alpha: float = 1e-4) -> set[str]:
+    """The literal prefixes of three or more characters that strings of one class share: steps of their prefix tree whose
+    share is above one in ten by more than chance allows (Hoeffding)."""
+    out, todo = set(), [(strings, 0)]
+    while todo:
+        group, depth = todo.pop()
+        by: dict[str, list[str]] = {}
+        for s in group:
+            by.setdefault(s[depth:depth + 1], []).append(s)
+        least = 0.1 + math.sqrt(math.log(1 / alpha) / (2 * len(group)))
+        heavy = {c for c, g in by.items() if c and len(g) / len(group) > least}
+        todo += [(by[c], depth + 1) for c in sorted(heavy)]
+        if depth >= 3 and sum(len(g) for c, g in by.items() if c not in heavy) >= FEWEST:
+            out.add(group[0][:depth])
+    return out
+
+
+def formats_of(strings: list[str]) -> dict[tuple[str, str], list[str]]:
+    """(literal prefix or empty, class) -> the strings of that format; formats of fewer than five are left out."""
+    by_class: dict[str, list[str]] = {}
+    for s in strings:
+        by_class.setdefault(class_of(s), []).append(s)
+    known = sorted(set().union(*(prefixes(g) for g in by_class.values())), key=lambda p: (-len(p), p))
+    by_prefix: dict[str, list[str]] = {}
+    for s in strings:
+        by_prefix.setdefault(next((p for p in known if s.startswith(p)), ""), []).append(s)
+    out: dict[tuple[str, str], list[str]] = {}
+    for p, group in by_prefix.items():
+        if p and len(group) >= FEWEST:
+            rests = {class_of(s[len(p):]) for s in group}
+            every = "".join(s[len(p):] for s in group).translate(SIGNS)
+            out[p, "β" if "β" in rests else next(c for c, _ in CLASSES if HOLDS[c](every))] = group
+        else:
+            for s in group:
+                out.setdefault(("", class_of(s)), []).append(s)
+    return {k: v for k, v in out.items() if len(v) >= FEWEST}
 
 
 class Automaton:
     """A probabilistic automaton: per state, the visits that end there and those that leave by each symbol."""
 
     def __init__(self, strings: list[str]):
+        self.kinds = len(set().union(*strings)) + 2  # the end and one symbol not seen
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.end = [0]
@@ -170,12 +230,20 @@ class Automaton:
 
     def fit_of(self, s: str) -> float:
         """Mean natural log-likelihood per symbol, the end counted as one; unseen steps get a small share."""
-        at, total, kinds = 0, 0.0, 16
+        at, total = 0, 0.0
         for c in s:
-            n = self.visits(at) + 0.1 * kinds
-            total += math.log((self.count[at].get(c, 0) + 0.1) / n)
+            total += math.log((self.count[at].get(c, 0) + 0.1) / (self.visits(at) + 0.1 * self.kinds))
             at = self.next[at].get(c, 0)
-        return (total + math.log((self.end[at] + 0.1) / (self.visits(at) + 0.1 * kinds))) / (len(s) + 1)
+        return (total + math.log((self.end[at] + 0.1) / (self.visits(at) + 0.1 * self.kinds))) / (len(s) + 1)
+
+    def states(self) -> int:
+        """The states that can be reached."""
+        seen, todo = {0}, [0]
+        while todo:
+            new = set(self.next[todo.pop()].values()) - seen
+            seen |= new
+            todo += new
+        return len(seen)
 
 
 def _mark(value: str) -> int:
@@ -183,34 +251,75 @@ def _mark(value: str) -> int:
 
 
 class Formats:
-    """Automata of the credential kinds with their least likelihoods, and the one of ordinary tokens."""
+    """Automata of the credentials' formats with their least likelihoods, and those of ordinary tokens by class."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], miss: float = 0.05):
-        self.kinds = []
+    def __init__(self, labelled: dict[str, list[str]], ordinary: Iterable[str] | dict[str, int], miss: float = 0.05, loose: float = 0.01):
         self.shortest = min((len(s) for v in labelled.values() for s in v), default=SHORTEST)
-        for strings in (labelled[k] for k in sorted(labelled)):
-            shapes = [symbols(s) for s in strings]
-            if len(shapes) >= 5:
+        self.known: dict[tuple[str, str, str], bool] = {}
+        times = Counter(ordinary)  # how often each ordinary token stands there
+        by_class: dict[str, list[str]] = {}
+        for s in times:
+            if len(s) <= LONGEST:
+                by_class.setdefault(class_of(s), []).append(s)
+        #: a class's share of the ordinary tokens and its automaton; a rare class counts as the fewest
+        self.usual = {c: (math.log(sum(times[s] for s in g) / times.total()), Automaton([shape(s, "", c) for s in g]).merged())
+                      for c, g in by_class.items() if len(g) >= FEWEST}
+        self.rare = math.log(FEWEST / (times.total() + FEWEST)) if times else -math.inf
+        #: (automaton, kind, prefix, class, least mean log-likelihood)
+        self.kinds: list[tuple[Automaton, str, str, str, float]] = []
+        for kind in sorted(labelled):
+            for (prefix, c), strings in sorted(formats_of([s for s in labelled[kind] if len(s) <= LONGEST]).items()):
+                shapes = [shape(s, prefix, c) for s in strings]
                 model = Automaton(shapes).merged()
                 fits = sorted(map(model.fit_of, shapes))
-                cut = int(miss / 2 * len(fits))
-                self.kinds.append((model, fits[cut], fits[len(fits) - 1 - cut]))
-        self.ordinary = Automaton([symbols(s) for s in ordinary]).merged() if ordinary else None
-        self.known: dict[str, bool] = {}
+                self.kinds.append((model, kind, prefix, c, fits[int(miss * len(fits))]))
+        self._by_format()
+        telling = []
+        for form in self.kinds:
+            taken = 0 if form[2] else sum(n for s, n in times.items() if self._typical(form, s))
+            if taken <= loose * times.total():
+                telling.append(form)
+            else:
+                logging.getLogger(__name__).warning("format %s of %s also takes %d of %d ordinary tokens: left out", form[3], form[1],
+                                                    taken, times.total())
+        self.kinds = telling
+        self._by_format()
+
+    def _by_format(self) -> None:
+        self.plain = {c for _, _, prefix, c, _ in self.kinds if not prefix}
+        self.literal = tuple({prefix for _, _, prefix, _, _ in self.kinds if prefix})
+
+    def _typical(self, form: tuple[Automaton, str, str, str, float], token: str) -> bool:
+        """Is the token's likelihood that of the format's credentials, and higher than that among ordinary tokens?"""
+        model, _, prefix, c, least = form
+        if not token.startswith(prefix) or (not HOLDS[c](token[len(prefix):].translate(SIGNS)) if prefix else class_of(token) != c):
+            return False
+        form_shape = shape(token, prefix, c)
+        fit = model.fit_of(form_shape)
+        if fit < least:
+            return False
+        own = class_of(token)
+        share, usual = self.usual.get(own, (self.rare, None))
+        if usual:
+            share += usual.fit_of(shape(token, "", own)) * (len(token) + 1)
+        return fit * (len(form_shape) + 1) > share
 
     def accepts(self, token: str) -> bool:
-        shape = symbols(token)
-        if shape not in self.known:
+        c = class_of(token)
+        prefix = next((p for p in self.literal if token.startswith(p)), "")
+        if not prefix and c not in self.plain:
+            return False
+        key = (prefix, c, shape(token, prefix, c))
+        if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            usual = self.ordinary.fit_of(shape) if self.ordinary else -math.inf
-            self.known[shape] = any(least <= (fit := m.fit_of(shape)) <= most and fit > usual for m, least, most in self.kinds)
-        return self.known[shape]
+            self.known[key] = any(self._typical(f, token) for f in self.kinds)
+        return self.known[key]
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Accepted candidates that touch no base span; of overlapping ones the widest."""
         taken, found = Cover(base), []
-        for tries in candidates(text, self.shortest):
+        for tries in candidates(text, SHORTEST):
             first, last = len(text), 0  # the accepted ones of this run lie within; parts come in order
             for s in tries:
                 if (s[2] <= first or last <= s[1]) and taken.free(s[1], s[2]) and self.accepts(text[s[1]:s[2]]):
@@ -219,49 +328,52 @@ class Formats:
         return found
 
 
-def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 20_000, per_kind: int = 400) -> Formats:
+def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 20_000, per_kind: int = 400,
+          ordinary: int = 4_000) -> Formats:
     """Automata from the ``per_kind`` credentials a kind that have the least hashes of all documents' credentials, and
-    from as many ordinary tokens of about ``sample_docs`` documents chosen by a hash of id and text."""
+    from the ``ordinary`` ordinary tokens of least hashes of about ``sample_docs`` documents chosen by a hash of id and text."""
     bounded_batches(docs.sparkSession)
     n = docs.count()
-    mark = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col), F.lit("formats")), F.lit(1_000_000))
+    mark = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("formats")), F.lit(1_000_000))
     sample = docs.where(mark < math.ceil(1e6 * min(1.0, sample_docs / max(n, 1))))
 
     def labels(text: str) -> Iterator[tuple[str, str]]:
         yield from (("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
         yield from ((k, text[x:y]) for k, x, y in base_spans(text) if k != "assign")
 
-    def least(rows: DataFrame, find: Callable[[str], Iterator[tuple[str, str]]]) -> dict[str, list[str]]:
-        """Per kind the distinct values of the least hashes: of each task's, then of all tasks'."""
+    def least(rows: DataFrame, find: Callable[[str], Iterator[tuple[str, str]]], most: int) -> dict[str, dict[str, int]]:
+        """Per kind the distinct values of the least hashes, and how often each occurs: of each task's, then of all tasks'.
+        A value among the least of all is among the least of every task from its first occurrence on, so counts are whole."""
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[str, set[tuple[int, str]]] = {}
+            best: dict[str, Counter[tuple[int, str]]] = {}
             for b in batches:
                 for text in b["text"]:
                     for kind, value in find(text or ""):
-                        best.setdefault(kind, set()).add((_mark(value), value))
+                        best.setdefault(kind, Counter())[_mark(value), value] += 1
                 for kind, seen in best.items():
-                    best[kind] = set(heapq.nsmallest(per_kind, seen))
-            yield pd.DataFrame([(k, h, v) for k, seen in best.items() for h, v in seen], columns=["kind", "hash", "value"])
+                    if len(seen) > most:
+                        best[kind] = Counter({k: seen[k] for k in heapq.nsmallest(most, seen)})
+            yield pd.DataFrame([(k, h, v, n) for k, seen in best.items() for (h, v), n in seen.items()], columns=["kind", "hash", "value", "n"])
 
-        found = rows.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, hash long, value string")
+        found = rows.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, hash long, value string, n long")
         place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "value"))
-        got: dict[str, list[str]] = {}
-        for r in found.distinct().withColumn("place", place).where(F.col("place") <= per_kind).orderBy("kind", "place").collect():
-            got.setdefault(r.kind, []).append(r.value)
+        got: dict[str, dict[str, int]] = {}
+        every = found.groupBy("kind", "hash", "value").agg(F.sum("n").alias("n")).withColumn("place", place)
+        for r in every.where(F.col("place") <= most).orderBy("kind", "place").collect():
+            got.setdefault(r.kind, {})[r.value] = r.n
         return got
 
-    labelled = least(docs, labels)
+    labelled = least(docs, labels, per_kind)
     few = {k: len(labelled.get(k, ())) for k in KINDS[:3] if len(labelled.get(k, ())) < 5}
     if few:
         logging.getLogger(__name__).warning("no automaton for kinds with fewer than 5 distinct credentials: %s", few)
-    labelled = {k: labelled.get(k, []) for k in KINDS[:3]}
-    shortest = min((len(s) for v in labelled.values() for s in v), default=SHORTEST)
+    labelled = {k: list(labelled.get(k, ())) for k in KINDS[:3]}
 
     def plain(text: str) -> Iterator[tuple[str, str]]:
         taken = Cover(base_spans(text))
-        yield from (("ordinary", text[x:y]) for tries in candidates(text, shortest) for _, x, y in tries if taken.free(x, y))
+        yield from (("ordinary", text[x:y]) for tries in candidates(text, SHORTEST) for _, x, y in tries if taken.free(x, y))
 
-    return Formats(labelled, least(sample, plain).get("ordinary", []))
+    return Formats(labelled, least(sample, plain, ordinary).get("ordinary", {}))
 
 
 def scan(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,6 +392,27 @@ def scan(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text_
     return rows.mapInPandas(run, f"id long, base {span}, spans {span}").withColumnRenamed("id", id_col)
 
 
+def learned_recall(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, credentials, found): per fixed format its credentials in ``docs`` and how many of them the automata find
+    (the very span, or a wider one) when no pattern is at work. Meant for documents that ``formats`` was not learned from."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, found = dict.fromkeys(KINDS[:3], 0), dict.fromkeys(KINDS[:3], 0)
+        for b in batches:
+            for text in b["text"]:
+                truth = [("assign", *m.span(2)) for m in ASSIGN.finditer(text or "") if len(m[2]) >= 8]
+                truth += [s for s in base_spans(text or "") if s[0] != "assign"]
+                spans = formats.spans(text, []) if truth else []
+                for kind, x, y in truth:
+                    total[kind] += 1
+                    found[kind] += any(a <= x and y <= z for _, a, z in spans)
+        yield pd.DataFrame({"kind": KINDS[:3], "credentials": total.values(), "found": found.values()})
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, credentials long, found long")
+    return rows.groupBy("kind").agg(F.sum("credentials").alias("credentials"), F.sum("found").alias("found"))
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the fixed kinds, the digest of their spans, and all spans as text."""
     text = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
