@@ -31,6 +31,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -86,8 +87,9 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in in_order(spans))
 
 
-def candidates(text: str, shortest: int) -> Iterator[list[Span]]:
-    """Per run of token characters the stretches that may be a key, widest first; linear in the text."""
+def candidates(text: str, shortest: int, skip: Callable[[str], bool] = lambda _: False) -> Iterator[list[Span]]:
+    """Per run of token characters the stretches that may be a key, widest first; linear in the text. Runs that ``skip``
+    is true of have none."""
     def trims(a: int, b: int) -> Iterator[tuple[int, int]]:
         yield a, b
         part = text[a:b]
@@ -95,7 +97,7 @@ def candidates(text: str, shortest: int) -> Iterator[list[Span]]:
         yield a, b
 
     for m in TOKEN.finditer(text):
-        if len(m[0]) < shortest:
+        if len(m[0]) < shortest or skip(m[0]):
             continue
         found = [*trims(*m.span())]
         if "=" in m[0]:
@@ -246,6 +248,7 @@ class Automaton:
         return len(seen)
 
 
+@lru_cache(1 << 16)
 def _mark(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -287,6 +290,7 @@ class Formats:
 
     def _by_format(self) -> None:
         self.plain = {c for _, _, prefix, c, _ in self.kinds if not prefix}
+        self.words = bool(self.plain & {"ω", "Ω", "μ"})
         self.literal = tuple({prefix for _, _, prefix, _, _ in self.kinds if prefix})
 
     def _typical(self, form: tuple[Automaton, str, str, str, float], token: str) -> bool:
@@ -304,6 +308,12 @@ class Formats:
             share += usual.fit_of(shape(token, "", own)) * (len(token) + 1)
         return fit * (len(form_shape) + 1) > share
 
+    def hopeless(self, run: str) -> bool:
+        """Is the run of letters alone (signs at its ends aside), which no format here is of? Tells ``spans`` nothing new,
+        but soon: such a run's parts have its class."""
+        word = run.strip(EDGE)
+        return word.isalpha() and not self.words and not run.startswith(self.literal) and not word.startswith(self.literal)
+
     def accepts(self, token: str) -> bool:
         c = class_of(token)
         prefix = next((p for p in self.literal if token.startswith(p)), "")
@@ -319,7 +329,7 @@ class Formats:
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Accepted candidates that touch no base span; of overlapping ones the widest."""
         taken, found = Cover(base), []
-        for tries in candidates(text, SHORTEST):
+        for tries in candidates(text, SHORTEST, self.hopeless):
             first, last = len(text), 0  # the accepted ones of this run lie within; parts come in order
             for s in tries:
                 if (s[2] <= first or last <= s[1]) and taken.free(s[1], s[2]) and self.accepts(text[s[1]:s[2]]):
