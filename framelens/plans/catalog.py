@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelens import fixtures as fx
-from framelens.operators import rollups
+from framelens.operators import rollups, sketches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,19 @@ def q_source_breakdown(spark, sf_dir):
     return rollups.source_breakdown(fx.articles(spark, sf_dir))
 
 
+@query("distinct_days")
+def q_distinct_days(spark, sf_dir):
+    """Distinct users per event type from stored sketches of the days, held against the exact count."""
+    events = fx.table(spark, sf_dir, "events")
+    path = staging_path(spark, "day-sketches")
+    sketches.day_sketches(events, F.to_date("ts"), ["event_type"], "user_id").write.partitionBy("day").parquet(path)
+    estimates = sketches.distinct_over(spark.read.parquet(path), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"))
+    near = F.abs(F.col("estimate") - F.col("n_users")) <= sketches.stated_error() * F.col("n_users")
+    return (exact.withColumnRenamed("event_type", "type").join(estimates, F.col("type").eqNullSafe(F.col("event_type")))
+            .select("event_type", "rows", "n_users", near.alias("within_error")))
+
+
 # --- ingest -----------------------------------------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 

