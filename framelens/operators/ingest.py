@@ -12,13 +12,16 @@ from framelens.operators.indexing import dense_index
 from framelens.schema import CONFLICT_MARKERS, ENTRIES_PER_FEED, NO_DATE, NO_LINK, SERVED_NA, TRANSLATE_CAP
 
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a
-    bounded count); otherwise return it as is for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows of together at most
+    ``max_bytes`` as JSON text (one job over at most ``max_rows`` + 1 rows);
+    otherwise return it as is for a shuffle join."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: str = "_order") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelens.operators.ingest import BROADCAST_MAX_BYTES
 from framelens.schema import PANDAS_NA_TOKENS
 
 _POS_BITS = 32  # rows per file < 2**32; files < 2**21 keeps _order < 2**53
@@ -71,7 +72,10 @@ def read_landed_csv(spark: SparkSession, root: str, pattern: str = "*.csv",
     # line position = id minus the file's first id (files are read whole and
     # in sequence inside a partition, so a file's ids are contiguous)
     first = allc.groupBy("_file").agg(F.min("_mid").alias("_mid0"))
-    out = (allc.join(F.broadcast(first), "_file").join(F.broadcast(idx_df), "_file")
+    # both have a row per file, so the file list bounds their size
+    few = sum(len(p.encode()) + 64 for p in files) <= BROADCAST_MAX_BYTES
+    hint = F.broadcast if few else (lambda df: df)
+    out = (allc.join(hint(first), "_file").join(hint(idx_df), "_file")
            .withColumn("_order", F.col("_file_idx") * (1 << _POS_BITS) + (F.col("_mid") - F.col("_mid0")))
            .drop("_mid", "_mid0"))
     return out
