@@ -86,5 +86,8 @@ def translate_texts(texts: DataFrame, translator: Translator, memo: Snapshots, i
     put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("answer", "piece").alias("t")))), lambda x: x["t"]), "")
     done = (pieces.join(memo.read("memo"), KEY, "left").groupBy("lang", "own")
             .agg(put.alias("new"), F.count_if(F.col("answer").isNull()).alias("n_failed")))
-    out = rows.withColumn("own", F.when(foreign, F.sha2("text", 256))).join(done, ["lang", "own"], "left")
+    # rows that pass through have no key and stay out of the join, where they would all meet in one task
+    sent = F.coalesce(foreign, F.lit(False))
+    out = rows.where(sent).withColumn("own", whole).join(done, ["lang", "own"], "left").select("id", "text", "new", "n_failed")
+    out = out.unionByName(rows.where(~sent).select("id", "text"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), F.coalesce("new", "text").alias(text_col), F.coalesce("n_failed", F.lit(0)).cast("long").alias("n_failed"))
