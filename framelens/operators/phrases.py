@@ -1,16 +1,23 @@
 """Micro-tactic phrase stand-in (M6): the best TF-IDF 2-4-gram per article.
 
 n-grams of consecutive tokens of the whole text are built with ``transform``/``slice`` and exploded;
-tf is a (id, gram) aggregate, df a gram aggregate joined back; the best gram
-per article is ``max_by`` on (score, then the smaller gram text).
+the best gram per article is ``min_by`` on (-score, then the smaller gram text).
+
+As in ``tfidf``, texts are dealt into parts by id, and grams are counted and judged inside their part. For the df only
+a 128-bit key of each gram of a part travels, and back come only those of grams that two or more articles have, which
+are few: a gram without an answer has df 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions.text import tokens
+from framelens.operators.tfidf import token_key
+
+#: Articles of one part, about.
+PART_DOCS = 2000
 
 
 def ngrams(tok, n: int):
@@ -23,13 +30,19 @@ def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_min: int = 2, n_max: int = 4, n_docs: int | None = None) -> DataFrame:
     """(id, phrase, tf, df) — one row per document that has a 2-gram."""
     n = docs.count() if n_docs is None else n_docs
-    t = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("tok"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_DOCS))
+    part = F.pmod(F.xxhash64("id"), F.lit(8 * parts)).cast("int").alias("_part")
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", part).repartition(parts, "_part")
+    t = dealt.select("_part", "id", tokens("text").alias("tok"))
     allg = F.concat(*[ngrams(F.col("tok"), k) for k in range(n_min, n_max + 1)])
-    g = t.select("id", F.explode(allg).alias("gram"))
-    tf = g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sc = tf.join(df, "gram").withColumn(
-        "score", F.col("tf") * F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0))))
-    best = sc.groupBy("id").agg(F.min_by(F.struct("gram", "tf", "df"),
-                                         F.struct(-F.col("score"), F.col("gram"))).alias("b"))
+    g = t.select("_part", "id", F.explode(allg).alias("gram"))
+    tf = g.groupBy("_part", "id", "gram").agg(F.count(F.lit(1)).alias("tf")).withColumn("key", token_key("gram"))
+    local = tf.groupBy("_part", "key").agg(F.count(F.lit(1)).alias("_n"))
+    dfs = local.withColumn("df", F.sum("_n").over(Window.partitionBy("key"))).where("df > 1").repartition(parts, "_part")
+    none = {c: F.lit(None).cast(tf.schema[c].dataType).alias(c) for c in ("id", "gram", "tf")}
+    both = tf.select("_part", "key", "id", "gram", "tf", F.lit(None).cast("long").alias("df")).unionByName(
+        dfs.select("_part", "key", *none.values(), "df"))
+    met = both.withColumn("df", F.coalesce(F.max("df").over(Window.partitionBy("_part", "key")), F.lit(1))).where("tf is not null")
+    sc = met.withColumn("score", F.col("tf") * F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0))))
+    best = sc.groupBy("_part", "id").agg(F.min_by(F.struct("gram", "tf", "df"), F.struct(-F.col("score"), F.col("gram"))).alias("b"))
     return best.select("id", F.col("b.gram").alias("phrase"), F.col("b.tf").alias("tf"), F.col("b.df").alias("df"))
