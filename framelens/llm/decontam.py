@@ -28,6 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -98,7 +100,7 @@ class Index:
     """Keys of a chunk of items, by walk length and repetition."""
 
     def __init__(self, items: list[np.ndarray], repetitions: int = REPETITIONS):
-        self.items = items
+        self.items, self.lists = items, [x.tolist() for x in items]
         self.plans = []
         lengths = np.array([len(x) for x in items])
         for walk in sorted({min(WALK, n) for n in lengths.tolist()} - {0}):
@@ -138,21 +140,25 @@ class Index:
         """Rows (item, where the item would start in ``words``), without repeats; starts may be negative."""
         n, found = len(words), []
         padded = np.concatenate([words, np.zeros(WALK, np.uint64)])
+        high = (padded >> np.uint64(48)).astype(np.intp)
         for plan, filters, keys, item, offset in self.plans:
-            at = np.arange(n, dtype=np.int32)
-            start, key, step = None, None, 0
-            for c, s in enumerate(plan.steps.tolist()):
+            # the walk backwards, from the places that hold a first sample of an item to the starts that lead there
+            first = int(plan.steps[0])
+            turns = [(padded * plan.bits[j]).view(np.int64) < 0 for j in range(first)]
+            leads = filters[0][high]
+            for turn in turns[::-1]:
+                leads[:-1] ^= turn[:-1] & (leads[:-1] ^ leads[1:])
+            start = at = np.flatnonzero(leads[:n])
+            for turn in turns:
+                at = at + turn[at]
+            key, step = _mix(np.full(len(start), plan.salt, np.uint64), padded[at]), first
+            for c, s in enumerate(plan.steps.tolist()[1:], 1):
                 for j in range(step, s):
                     at = at + _bit(padded[at], plan.bits[j])
                 step = s
-                word = padded[at]
-                if c == 0:
-                    on = np.flatnonzero(filters[0][word >> np.uint64(48)])
-                    start, at, key = on, at[on], _mix(np.full(len(on), plan.salt, np.uint64), word[on])
-                else:
-                    key = _mix(key, word)
-                    on = filters[c][key >> np.uint64(48)]
-                    start, at, key = start[on], at[on], key[on]
+                key = _mix(key, padded[at])
+                on = filters[c][key >> np.uint64(48)]
+                start, at, key = start[on], at[on], key[on]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             times = hi - lo
             if times.any():
@@ -174,14 +180,14 @@ def best_run(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 def hits(index: Index, words: np.ndarray, lo: int, hi: int, cands: np.ndarray, similarity: float) -> dict[int, tuple[int, int]]:
     """item -> (edits, first word in the document) for one document, which has the words [lo, hi)."""
     out: dict[int, tuple[int, int]] = {}
-    for k in np.unique(cands[:, 0]).tolist():
-        item = index.items[k]
-        allowed = int((1 - similarity) * len(item) + 1e-9)
-        starts = np.sort(cands[cands[:, 0] == k, 1])
-        for group in np.split(starts, np.flatnonzero(np.diff(starts) > allowed + 1) + 1):
-            a, b = max(lo, int(group[0]) - allowed), min(hi, int(group[-1]) + len(item) + allowed)
+    for k, mine in groupby(sorted(cands.tolist()), key=itemgetter(0)):
+        item, allowed = index.items[k], int((1 - similarity) * len(index.items[k]) + 1e-9)
+        starts = [c[1] for c in mine]
+        breaks = [0, *(n for n in range(1, len(starts)) if starts[n] - starts[n - 1] > allowed + 1), len(starts)]
+        for n, m in pairwise(breaks):
+            a, b = max(lo, starts[n] - allowed), min(hi, starts[m - 1] + len(item) + allowed)
             near = words[a:b]
-            if np.isin(item, near).sum() < len(item) - allowed:
+            if sum(map(set(near.tolist()).__contains__, index.lists[k])) < len(item) - allowed:
                 continue
             edits, end = best_run(item, near)
             if edits <= allowed:

@@ -224,6 +224,33 @@ def test_decontam_recall_on_edits(spark):
     assert all(e <= int(0.2 * len(items[i]) + 1e-9) and i == d for (d, i), e in got.items())
 
 
+def test_decontam_walks_only_starts_that_lead_to_an_item(monkeypatch):
+    """The collisions of the plain forward walk, found without walking from starts that can't collide."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) | np.uint64(1)
+    items = [words[100:160], words[2980:], words[700:705], rng.integers(0, 1 << 63, 40, dtype=np.uint64) | np.uint64(1)]
+    index = decontam.Index(items)
+    want = set()
+    for plan, _, keys, item, offset in index.plans:
+        for start in range(len(words)):
+            key, at = np.full(1, plan.salt, np.uint64), start
+            for j in range(int(plan.steps[-1]) + 1):
+                word = words[at:at + 1] if at < len(words) else np.zeros(1, np.uint64)
+                if j in plan.steps:
+                    key = decontam._mix(key, word)
+                at += int(decontam._bit(word, plan.bits[j])[0])
+            want |= {(int(item[e]), start - int(offset[e])) for e in np.flatnonzero(keys == key)}
+    walked, bit = [0], decontam._bit
+
+    def counted(some, by):
+        walked[0] += len(some)
+        return bit(some, by)
+
+    monkeypatch.setattr(decontam, "_bit", counted)
+    assert {tuple(c) for c in index.collisions(words).tolist()} == want and (0, 100) in want
+    assert walked[0] < len(words)  # the forward walk of all starts takes several steps each, in every repetition
+
+
 def test_decontam_odd_rows(spark, odd):
     bench = spark.createDataFrame([(0, "words here and there"), (1, None), (2, "..."), (None, "at all here"), (3, "once")], "item_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id or 0, r.edits, r.start) for r in decontam.find_hits(odd, bench).collect())
