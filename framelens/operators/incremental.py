@@ -42,19 +42,34 @@ SCHEMAS = {"members": "id long, cls long", "classes": "cls long, v array<double>
            "links": "src long, dst long", "cores": "cls long, comp long"}
 
 
-def dense_links(new: DataFrame, old: DataFrame, eps: float, block_rows: int = 2048) -> DataFrame:
+#: Bytes of the vectors of one side of a block pair, and cells of one product.
+BLOCK_BYTES = 64 << 20
+PRODUCT_ROWS = 2048
+
+
+def link_blocks(n_new: int, n_all: int, cores: int, wide: int, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """(blocks of new vectors, blocks of all): a new vector goes to as many groups as there are blocks of all, a told one to
+    as many as there are of new ones."""
+    most = max(1, block_bytes // (8 * max(wide, 1)))
+    rows = max(1, min(most, math.ceil(math.sqrt(n_new * n_all / (4 * cores)))))
+    return max(1, math.ceil(n_new / rows)), max(1, math.ceil(n_all / rows))
+
+
+def dense_links(new: DataFrame, old: DataFrame, eps: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(src, dst) of the classes within cosine distance ``eps``, of which at least one is new.
 
     New vectors are dealt into blocks and so are all vectors; each block of new ones meets each block of all in one
-    bounded group. Groups emit only pairs within eps.
+    bounded group, by products of a bounded size. There are as many groups as the cores need; blocks that would come to
+    more than ``block_bytes`` are cut further. So a vector travels to a number of groups that does not grow with the
+    rows until blocks are that large. Groups emit only pairs within eps.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    n_new, n_old = new.count(), old.count()
+    size = [F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))]
+    (n_new, wide_new), (n_old, wide_old) = new.agg(*size).first(), old.agg(*size).first()
     cores = new.sparkSession.sparkContext.defaultParallelism
-    rows = max(1, min(block_rows, math.ceil(math.sqrt(n_new * (n_new + n_old) / (4 * cores)))))
-    nq, nd = max(1, math.ceil(n_new / rows)), max(1, math.ceil((n_new + n_old) / rows))
+    nq, nd = link_blocks(n_new, n_new + n_old, cores, max(wide_new, wide_old), block_bytes)
 
     def dealt(df: DataFrame, fresh: bool) -> DataFrame:
         return df.select(F.col("cls").alias("id"), "v", F.size("v").alias("dim"), F.lit(fresh).alias("fresh"))
@@ -66,22 +81,29 @@ def dense_links(new: DataFrame, old: DataFrame, eps: float, block_rows: int = 20
     asks = dealt(new, True).select("*", F.lit(True).alias("asks"), block(nq).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("d"))
     told = every.select("*", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), block(nd).alias("d"))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": np.empty(0, "int64"), "dst": np.empty(0, "int64")})
-        unit = []
-        for side in (left, right):
-            m = np.stack(side["v"].to_numpy()).astype(np.float64)
-            unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        i, j = np.nonzero(1.0 - unit[0] @ unit[1].T <= eps)
-        # a pair of new classes is met from both sides
-        once = (a[i] < b[j]) | ((a[i] != b[j]) & ~right["fresh"].to_numpy()[j])
-        i, j = i[once], j[once]
-        return pd.DataFrame({"src": np.minimum(a[i], b[j]), "dst": np.maximum(a[i], b[j])})
-
-    return asks.unionByName(told).groupBy("dim", "q", "d").applyInPandas(meet, "src long, dst long")
+    def meet(table: pa.Table) -> pa.Table:
+        ids, fresh = table["id"].to_numpy(), table["fresh"].to_numpy(zero_copy_only=False)
+        side = table["asks"].to_numpy(zero_copy_only=False)
+        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        out = [np.zeros((2, 0), np.int64)]
+        for r in range(0, len(right), PRODUCT_ROWS):
+            to = right[r:r + PRODUCT_ROWS]
+            told = (x[to] / norm[to]).T
+            for q in range(0, len(left), PRODUCT_ROWS):
+                by = left[q:q + PRODUCT_ROWS]
+                i, j = np.nonzero(1.0 - (x[by] / norm[by]) @ told <= eps)
+                a, b = ids[by][i], ids[to][j]
+                # a pair of new classes is met from both sides
+                once = (a < b) | ((a != b) & ~fresh[to][j])
+                out.append(np.stack([np.minimum(a, b)[once], np.maximum(a, b)[once]]))
+        pairs = np.concatenate(out, axis=1)
+        return pa.table({"src": pairs[0], "dst": pairs[1]})
+
+    # as many parts as groups: the groups are few and small, but work
+    met = asks.unionByName(told).repartition(min(2000, nq * nd), "dim", "q", "d")
+    return met.groupBy("dim", "q", "d").applyInArrow(meet, "src long, dst long")
 
 
 def _both_ways(links: DataFrame) -> DataFrame:

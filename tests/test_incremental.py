@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelens.operators import incremental
 from framelens.operators.incremental import EventStore
 from framelens.sources.snapshots import Snapshots
 
@@ -93,3 +94,20 @@ def test_snapshots_show_complete_versions_only(spark, tmp_path):
     assert tables.publish({"a": spark.range(7)}) == 4 and tables.read("a").count() == 7
     with pytest.raises(FileNotFoundError):
         tables.read("a", 9)
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_rows(spark):
+    few, many = (incremental.link_blocks(n // 2, n, 12, 64) for n in (20_000, 600_000))
+    assert sum(many) <= sum(few) + 2
+    assert incremental.link_blocks(10_000_000, 10_000_000, 12, 64)[0] == -(-10_000_000 // (incremental.BLOCK_BYTES // 512))
+
+
+def test_links_by_small_products_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 3))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if 1 - unit[i] @ unit[j] <= 0.02 and (i % 2 or j % 2)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(1000, [1.0, 0.0])], "cls long, v array<double>")
+    monkeypatch.setattr(incremental, "PRODUCT_ROWS", 7)
+    got = incremental.dense_links(rows.where("cls % 2 = 1"), rows.where("cls % 2 = 0"), 0.02, block_bytes=24 * 64).collect()
+    assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want
